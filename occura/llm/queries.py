@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from occura.llm import canonmap, history, plainform, topn, triejoin
-from occura.llm.common import broadcast_small, read, scratch_path
+from occura.llm import canonmap, history, langid, mixing, packing, plainform, tokens, topn, triejoin
+from occura.llm.common import broadcast_small, materialize, read, scratch_path
 
 #: Similarity of two questions that makes them near-duplicates.
 QUESTION_SIMILARITY = 0.7
@@ -85,5 +85,59 @@ def p5_question_classes(spark: SparkSession, d: str) -> DataFrame:
     return triejoin.similarity_classes(_question_keys(spark, d), "id", "key", QUESTION_SIMILARITY)
 
 
+def _counted(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Documents with their number of tokens, computed once."""
+    return materialize(tokens.with_token_count(read(spark, d, "documents", *columns, "text"), "text", "n_tokens"))
+
+
+def p6_packed(spark: SparkSession, d: str) -> DataFrame:
+    """Where every piece of every document lies, for each capacity."""
+    return packing.pack(_counted(spark, d, "doc_id"), "doc_id", "n_tokens", read(spark, d, "pack_capacity"))
+
+
+def p6_fill_report(spark: SparkSession, d: str) -> DataFrame:
+    """Containers and the share of their room that is used, for each capacity."""
+    capacities = read(spark, d, "pack_capacity")
+    return packing.fill_report(packing.pack(_counted(spark, d, "doc_id"), "doc_id", "n_tokens", capacities), capacities)
+
+
+def _mix_input(spark: SparkSession, d: str) -> DataFrame:
+    """All documents are interview write-ups, so the tree has one domain; its languages are the labels' codes."""
+    counted = _counted(spark, d, "doc_id", "lang", "source")
+    code = F.lower(F.regexp_extract(F.trim(F.col("lang")), r"^([A-Za-z]{2})(?:[-_][A-Za-z0-9]+)*$", 1))
+    return counted.select("doc_id", F.lit("interview").alias("domain"), F.when(code != "", code).alias("lang"), "source", "n_tokens")
+
+
+def p7_mixed(spark: SparkSession, d: str) -> DataFrame:
+    """Every delivery of a document in the mix."""
+    return mixing.mix(_mix_input(spark, d), read(spark, d, "mix_target"))
+
+
+def p7_share_report(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual share of every source."""
+    documents, targets = _mix_input(spark, d), read(spark, d, "mix_target")
+    return mixing.share_report(mixing.mix(documents, targets), documents, targets)
+
+
+def _languages(spark: SparkSession, d: str) -> DataFrame:
+    documents = read(spark, d, "documents", "doc_id", "text", "lang")
+    return langid.segment_languages(documents, "doc_id", "text", "lang", langid.fit(documents, "doc_id", "text", "lang"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _languages(spark, d).where("doubtful").select("doc_id", "para_no", "lang")
+
+
+def p8_paragraph_languages(spark: SparkSession, d: str) -> DataFrame:
+    """Every paragraph's languages with confidence, and the document's main language."""
+    return _languages(spark, d).select("doc_id", "para_no", "lang", F.round("confidence", 4).alias("confidence"), "main")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_unmatched_report, p2_found, p3_found, p3_plain_values, p4_found, p5_found, p5_question_classes)}
+    return {
+        f.__name__: f
+        for f in (
+            p1_found, p1_unmatched_report, p2_found, p3_found, p3_plain_values, p4_found, p5_found, p5_question_classes,
+            p6_packed, p6_fill_report, p7_mixed, p7_share_report, p8_found, p8_paragraph_languages,
+        )
+    }
