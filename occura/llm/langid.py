@@ -10,7 +10,7 @@ by a hash of the id). Labels may be wrong: after a first fit by label the sample
 distance and the profiles refitted, ``REFITS`` times. Everything else runs over all documents and whole texts,
 with numpy over Arrow batches.
 
-One check follows: a language most of whose labelled sentences have kana is out of the question for four
+One check follows: a language most of whose sentences in the sample have kana is out of the question for four
 ideographs or more without any, which keeps short Chinese titles apart from Japanese.
 
 Whole sentences, list items and titles are judged, each as one language: names, terms and short phrases inside
@@ -217,12 +217,12 @@ class Identifier:
             p.set_symbols(pool)
             given = {lang: [s for s in held if s in mine] for lang, held in per.items() if script_of.get(lang) == script}
             given = {lang: held for lang, held in given.items() if held}
-            self.kana |= {lang for lang, held in given.items() if script == "cjk" and self._kana(held)[0].mean() > 0.5}
             p.fit(given)
             for _ in range(REFITS if len(given) > 1 else 0):
                 won = self._distances(p, pool).argmin(1)
                 again = {lang: [s for s, w in zip(pool, won, strict=True) if w == i] for i, lang in enumerate(p.languages)}
                 if all(again.values()):
+                    self.kana |= {lang for lang, held in again.items() if script == "cjk" and self._kana(held)[0].mean() > 0.7}
                     p.fit(again)
 
     @staticmethod
