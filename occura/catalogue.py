@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from occura.queries import analytics
 
+_REGISTRIES = (analytics.register,)
 
-def oracle_sql() -> dict:
-    return {}
+
+def queries() -> dict[str, Callable]:
+    return {name: f for r in _REGISTRIES for name, f in r.queries.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for r in _REGISTRIES for name, sql in r.oracles.items()}
