@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from occura.queries import analytics
+from occura.queries import analytics, text
 
-_REGISTRIES = (analytics.register,)
+_REGISTRIES = (analytics.register, text.register)
 
 
 def queries() -> dict[str, Callable]:
