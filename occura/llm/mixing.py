@@ -104,8 +104,7 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     upto = Window.partitionBy(*key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = some.groupBy(*key, "bucket").agg(F.sum("n_tokens").alias("in_bucket")).withColumn("before", F.coalesce(F.sum("in_bucket").over(upto), F.lit(0)))
     sums = sums.select(*key, "bucket", "before", "in_bucket")
-    small = len(leaves) << BUCKET_BITS <= SMALL_ROWS * 2
-    placed = some.join(F.broadcast(sums) if small else sums, [*key, "bucket"]).where("before < part")
+    placed = some.join(sums, [*key, "bucket"]).where("before < part")
     inside = placed.where("before + in_bucket <= part")
     earlier = Window.partitionBy(*key, "bucket").orderBy("order_key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     edge = placed.where("before + in_bucket > part").withColumn("seen", F.col("before") + F.coalesce(F.sum("n_tokens").over(earlier), F.lit(0))).where("seen + n_tokens / 2 <= part")
