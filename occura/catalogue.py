@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from occura.queries import analytics, text
+from occura.queries import analytics, evaluation, lineage, retrieval, streams, telemetry, text
 
-_REGISTRIES = (analytics.register, text.register)
+_REGISTRIES = tuple(m.register for m in (analytics, text, lineage, retrieval, telemetry, evaluation, streams))
 
 
 def queries() -> dict[str, Callable]:
