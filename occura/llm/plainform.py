@@ -84,10 +84,11 @@ def with_plain_form(df: DataFrame, column: str, plain: str | None = None, key: s
     kept = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in out or c == column])
     if column in out:
         raise ValueError("the plain form needs a column of its own")
-    schema = T.StructType([*kept.schema.fields, *[T.StructField(c, T.StringType(), True) for c in out]])
+    # Names of its own on the way through Arrow, so that no name of the table can be in the way.
     inner = plain_sql("v")
-    names = kept.columns
-    at = names.index(column)
+    names = [f"c{i}" for i in range(len(kept.columns))]
+    at = kept.columns.index(column)
+    schema = T.StructType([T.StructField(n, f.dataType, True) for n, f in zip(names, kept.schema.fields, strict=True)] + [T.StructField(f"out{i}", T.StringType(), True) for i in range(len(out))])
 
     def run(batches: Iterator) -> Iterator:
         import duckdb
@@ -103,10 +104,10 @@ def with_plain_form(df: DataFrame, column: str, plain: str | None = None, key: s
             con.unregister("arrived")
             parts = {plain: got.column("p"), key: got.column("k")}
             made = [pa.concat_arrays(parts[c].chunks).cast(pa.string()) if parts[c].num_chunks else pa.array([], pa.string()) for c in out]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*names, *out])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=schema.names)
         con.close()
 
-    return kept.mapInArrow(run, schema)
+    return kept.toDF(*names).mapInArrow(run, schema).toDF(*kept.columns, *out)
 
 
 def changed_rows(df: DataFrame, id_column: str, column: str) -> DataFrame:

@@ -40,8 +40,9 @@ def token_ids(text: str, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY)
 def with_token_count(df: DataFrame, text: str, out: str, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
     """``df`` without ``text`` and with the number of its tokens in ``out`` (0 for null and empty texts)."""
     others = [c for c in df.columns if c not in (text, out)]
-    kept = df.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{text}`").alias("__text"))
-    schema = kept.drop("__text").withColumn(out, F.lit(0)).schema
+    names = [f"c{i}" for i in range(len(others))]
+    kept = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(others, names, strict=True)], F.col(f"`{text}`").alias("text"))
+    schema = kept.withColumn("tokens", F.lit(None).cast("int")).drop("text").schema
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -50,6 +51,6 @@ def with_token_count(df: DataFrame, text: str, out: str, folder: str = TOKENIZER
         for b in batches:
             texts = b.column(len(others)).to_pylist()
             counts = pa.array([len(enc.encode_ordinary(t)) if t else 0 for t in texts], pa.int32())
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(others)], counts], names=[*others, out])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(others)], counts], names=[*names, "tokens"])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(run, schema).toDF(*others, out)

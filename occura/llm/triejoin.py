@@ -256,9 +256,10 @@ def similar_classes(classes: DataFrame, threshold: float) -> DataFrame:
     def join(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        arrived = list(batches)
+        if not sum(b.num_rows for b in arrived):
             return
+        table = pa.Table.from_batches(arrived)
         plain = {k: table.column(k).to_numpy().astype(np.int64) for k in ("node", "hash", "size", "pos", "skips", "block")}
         as_matrix = lambda k, kind: np.frombuffer(b"".join(table.column(k).to_pylist()), kind).reshape(table.num_rows, -1)
         ahead = as_matrix("ahead", np.uint32).astype(np.int64)
