@@ -3,7 +3,8 @@
 A document longer than the container is cut into full pieces, which fill containers of their own, and a rest;
 all others stay whole. Items are taken by descending length, and each goes to the container of the lowest cost
 so far (linear plus quadratic attention cost of what it holds) that has room; a new container is opened only if
-none has.
+none has. Costs are compared in steps; among equal ones the tightest container is taken. Fine steps balance the
+cost best, coarse ones waste least room, so several are tried on the histogram.
 
 Items of one length are interchangeable, so the assignment is worked out on the histogram of lengths, which has
 at most ``capacity`` entries however many documents there are: containers in the same state form one range, and
@@ -13,7 +14,7 @@ by the rank of each within its length. Nothing but the histogram reaches the dri
 
 from __future__ import annotations
 
-import heapq
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,8 +27,11 @@ from occura.llm.common import materialize
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
 #: Documents of one length that one task ranks.
 RANKED = 50_000
-#: Shares of spare containers that are tried at the start; the fewest containers in the end win.
-SPARE = (0.0, 0.002, 0.005, 0.01, 0.02, 0.04)
+#: What is tried: into how many steps a full container's cost is divided (costs within one step count as equal, and
+#: the least room that suffices is taken there), and shares of spare containers at the start. The fewest
+#: containers win, then the lowest largest cost.
+COST_STEPS = (64, 16, 4, 2, 1)
+SPARE = (0.0, 0.005, 0.02)
 
 
 @dataclass(frozen=True)
@@ -39,39 +43,71 @@ class Plan:
     fullest: float
 
 
-def _assign(histogram: dict[int, int], capacity: int, containers: int) -> tuple[int, dict[int, list[tuple[int, int]]], float]:
-    heap = [(0.0, 0, containers, capacity)] if containers else []  # cost, first container, how many, room in each
-    used, steps = containers, {}
+def cost_of(length: int) -> float:
+    return LINEAR * length + QUADRATIC * length * length
+
+
+class _States:
+    """Ranges of containers in equal state, found by cost step, then by the least room that suffices."""
+
+    def __init__(self, step: float):
+        self.step, self.rooms, self.ranges = step, {}, {}
+
+    def add(self, cost: float, first: int, many: int, room: int) -> None:
+        at = int(cost // self.step)
+        held = self.ranges.setdefault((at, room), [])
+        if not held:
+            insort(self.rooms.setdefault(at, []), room)
+        held.append((first, many, cost))
+
+    def take(self, length: int) -> tuple[float, int, int, int] | None:
+        for at in sorted(self.rooms):
+            rooms = self.rooms[at]
+            i = bisect_left(rooms, length)
+            if i < len(rooms):
+                room = rooms[i]
+                first, many, cost = self.ranges[at, room].pop()
+                if not self.ranges[at, room]:
+                    rooms.pop(i)
+                    if not rooms:
+                        del self.rooms[at]
+                return cost, first, many, room
+        return None
+
+
+def _assign(histogram: dict[int, int], capacity: int, containers: int, step: float) -> tuple[int, dict[int, list[tuple[int, int]]], float]:
+    states = _States(step)
+    if containers:
+        states.add(0.0, 0, containers, capacity)
+    used, steps, fullest = containers, {}, 0.0
     for length in sorted(histogram, reverse=True):
-        left, given, aside = histogram[length], 0, []
-        cost = LINEAR * length + QUADRATIC * length * length
+        left, given, cost = histogram[length], 0, cost_of(length)
         while left:
-            while heap and heap[0][3] < length:
-                aside.append(heapq.heappop(heap))
-            if not heap:
-                # No room anywhere: each new container takes as many items of this length as fit.
+            state = states.take(length)
+            if state is None:
+                # No room anywhere: as many new containers as the items of this length need.
                 fresh = -(-left // (capacity // length))
-                heap.append((0.0, used, fresh, capacity))
+                states.add(0.0, used, fresh, capacity)
                 used += fresh
                 continue
-            c, first, many, room = heapq.heappop(heap)
+            c, first, many, room = state
             n = min(many, left)
             steps.setdefault(length, []).append((given, first))
             if n < many:
-                heapq.heappush(heap, (c, first + n, many - n, room))
-            heapq.heappush(heap, (c + cost, first, n, room - length))
+                states.add(c, first + n, many - n, room)
+            if room > length:
+                states.add(c + cost, first, n, room - length)
+            fullest = max(fullest, c + cost)
             given, left = given + n, left - n
-        for state in aside:
-            heapq.heappush(heap, state)
-    # Containers opened ahead that stayed empty lie at the end of the numbering or are skipped in the count.
-    empty = sum(s[2] for s in heap if s[3] == capacity)
-    return used - empty, steps, max((s[0] for s in heap), default=0.0)
+    empty = sum(many for (_, room), held in states.ranges.items() if room == capacity for _, many, _ in held)
+    return used - empty, steps, fullest
 
 
 def plan(histogram: dict[int, int], capacity: int) -> Plan:
     """The assignment of ``histogram`` (length -> items, lengths 1..capacity) with the fewest containers."""
     least = -(-sum(length * n for length, n in histogram.items()) // capacity)
-    tried = [_assign(histogram, capacity, least + int(least * s)) for s in SPARE]
+    whole = cost_of(capacity)
+    tried = [_assign(histogram, capacity, least + int(least * s), whole / n) for n in COST_STEPS for s in SPARE]
     used, steps, fullest = min(tried, key=lambda t: (t[0], t[2]))
     return Plan(used, {length: (np.array([a for a, _ in s], np.int64), np.array([b for _, b in s], np.int64)) for length, s in steps.items()}, fullest)
 
