@@ -30,14 +30,105 @@ def bm25(queries: DataFrame, index: DataFrame) -> DataFrame:
     N, document frequencies and the mean length cover the whole index. Only terms that some query has are joined
     (a semi join before the postings are weighted), and the sum is partial before its shuffle.
     """
+    weighted = _weighted(index, queries.select("term").distinct())
+    return queries.join(weighted, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("w"), DIGITS).alias("score"))
+
+
+def _weighted(index: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(term, doc_id, w) of the postings whose term some query has."""
     stats = index.select("doc_id", "length").distinct().agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean_length"))
-    wanted = queries.select("term").distinct()
     hit = index.join(wanted, "term", "left_semi")
     df = hit.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     saturation = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-    weighted = hit.join(df, "term").join(F.broadcast(stats)).select("term", "doc_id", (idf * saturation).alias("w"))
-    return queries.join(weighted, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("w"), DIGITS).alias("score"))
+    return hit.join(df, "term").join(F.broadcast(stats)).select("term", "doc_id", (idf * saturation).alias("w"))
+
+
+#: Queries and documents of one block, and posting matches that are expanded at once.
+QUERY_BLOCK, DOCUMENT_BLOCK, EXPANDED = 512, 2048, 2_000_000
+
+
+def _blocks(df: DataFrame, size: int, prefix: str) -> DataFrame:
+    """Packs rows (id, terms, weights, fields) into blocks of ``size``: ids, entries a row, and the joined arrays."""
+    names = [f"{prefix}{c}" for c in ("ids", "counts", "terms", "weights", "fields")]
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        ids: list = []
+        rows: list = []
+
+        def block() -> pa.RecordBatch:
+            joined = [np.concatenate([np.asarray(r[i], t) for r in rows]).tobytes() for i, t in enumerate((np.int64, np.float64, np.int8))]
+            counts = np.array([len(r[0]) for r in rows], np.int64).tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.string())), *[pa.array([x], pa.binary()) for x in (counts, *joined)]], names=names)
+
+        for b in batches:
+            for i, *r in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
+                ids.append(i)
+                rows.append(r)
+                if len(ids) == size:
+                    yield block()
+                    ids, rows = [], []
+        if ids:
+            yield block()
+
+    return df.mapInArrow(run, ", ".join([f"{names[0]} array<string>", *[f"{n} binary" for n in names[1:]]]))
+
+
+def bm25_top_k(queries: DataFrame, fields: list[tuple[DataFrame, float]], k: int) -> DataFrame:
+    """(query_id, doc_id, score, rank): the k best documents of every query; the best of several boosted fields counts.
+
+    The same scores as :func:`bm25`, made for many queries: the weighted postings are packed into blocks of documents
+    and the queries into blocks of queries; a task adds up one block's scores in an array and hands on k documents a
+    query (more only where they tie), so the pairs that share some term are never shuffled. Ids are strings.
+    """
+    wanted = queries.select("term").distinct()
+    postings_of = None
+    for number, (index, _) in enumerate(fields):
+        one = _weighted(index, wanted).select("doc_id", F.xxhash64("term").alias("t"), "w", F.lit(number).cast("byte").alias("f"))
+        postings_of = one if postings_of is None else postings_of.unionByName(one)
+    boosts = [b for _, b in fields]
+    per = lambda df, ident: df.groupBy(ident).agg(F.collect_list(F.struct("t", "w", "f")).alias("x")).select(ident, "x.t", "x.w", "x.f")
+    asked = queries.select("query_id", F.xxhash64("term").alias("t"), F.lit(1.0).alias("w"), F.lit(0).cast("byte").alias("f"))
+    n_docs = max(index.select("doc_id").distinct().count() for index, _ in fields)
+    parts = max(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_docs // DOCUMENT_BLOCK))
+    blocks = _blocks(per(asked, "query_id"), QUERY_BLOCK, "q").crossJoin(_blocks(per(postings_of.repartition(parts, "doc_id"), "doc_id"), DOCUMENT_BLOCK, "d"))  # blocks of a stated query set against blocks of all rows
+
+    def score(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            for r in b.to_pylist():
+                nq, nd = len(r["qids"]), len(r["dids"])
+                of_q = np.repeat(np.arange(nq), np.frombuffer(r["qcounts"], np.int64))
+                qt = np.frombuffer(r["qterms"], np.int64)
+                order = np.argsort(qt, kind="stable")
+                qt, of_q = qt[order], of_q[order]
+                of_d = np.repeat(np.arange(nd), np.frombuffer(r["dcounts"], np.int64))
+                dt, dw, df = (np.frombuffer(r[c], t) for c, t in (("dterms", np.int64), ("dweights", np.float64), ("dfields", np.int8)))
+                best = np.zeros(nq * nd)
+                for number, boost in enumerate(boosts):
+                    mine = np.flatnonzero(df == number)
+                    lo, hi = np.searchsorted(qt, dt[mine], "left"), np.searchsorted(qt, dt[mine], "right")
+                    upto = np.cumsum(hi - lo)
+                    total = np.zeros(nq * nd)
+                    at = 0
+                    while at < len(mine):
+                        stop = max(int(np.searchsorted(upto, (upto[at - 1] if at else 0) + EXPANDED, "right")), at + 1)
+                        n = hi[at:stop] - lo[at:stop]
+                        row = np.repeat(np.arange(at, stop), n)
+                        query = of_q[lo[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)]
+                        total += np.bincount(query * nd + of_d[mine[row]], weights=dw[mine[row]], minlength=nq * nd)
+                        at = stop
+                    best = np.maximum(best, np.round(total, DIGITS) * boost)
+                table = best.reshape(nq, nd)
+                least = np.partition(table, nd - k, axis=1)[:, nd - k] if nd > k else np.zeros(nq)
+                q, d = np.nonzero((table > 0) & (table >= least[:, None]))
+                ids_q, ids_d = np.array(r["qids"], object), np.array(r["dids"], object)
+                yield pa.RecordBatch.from_arrays([pa.array(ids_q[q], pa.string()), pa.array(ids_d[d], pa.string()), pa.array(table[q, d])], names=["query_id", "doc_id", "score"])
+
+    return top_k(blocks.mapInArrow(score, "query_id string, doc_id string, score double"), k)
 
 
 def top_k(scores: DataFrame, k: int, group: str = "query_id", ident: str = "doc_id") -> DataFrame:

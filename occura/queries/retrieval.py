@@ -56,7 +56,7 @@ def _indexes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 def _rankings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     text, variants = _indexes(spark, d)
     q = _queries(text)
-    return R.top_k(R.bm25(q, text), K), R.top_k(R.bm25(q, variants), K)
+    return R.bm25_top_k(q, [(text, 1.0)], K), R.bm25_top_k(q, [(variants, 1.0)], K)
 
 
 register("bm25_topk", f"{_RANKS} SELECT * FROM t")(lambda spark, d: _rankings(spark, d)[0])
@@ -68,8 +68,7 @@ def bm25_two_field_max(spark: SparkSession, d: str) -> DataFrame:
     """Best field wins; the question's own text counts twice."""
     text, variants = _indexes(spark, d)
     q = _queries(text)
-    both = R.bm25(q, text).withColumn("score", 2 * F.col("score")).unionByName(R.bm25(q, variants))
-    return R.top_k(both.groupBy("query_id", "doc_id").agg(F.max("score").alias("score")), K)
+    return R.bm25_top_k(q, [(text, 2.0), (variants, 1.0)], K)
 
 
 def _rrf_sql(w1: float, w2: float) -> str:
@@ -85,11 +84,11 @@ def _staged(spark: SparkSession, d: str) -> DataFrame:
     """Rankings by stage: main (fused), preferred (wordings of the query's own question type), and two lexical facets."""
     text, variants = _indexes(spark, d)
     q = _queries(text)
-    main = R.top_k(R.fuse([(R.top_k(R.bm25(q, text), K), 1.0), (R.top_k(R.bm25(q, variants), K), 1.0)]), 100)
+    main = R.top_k(R.fuse([(R.bm25_top_k(q, [(text, 1.0)], K), 1.0), (R.bm25_top_k(q, [(variants, 1.0)], K), 1.0)]), 100)
     kind = corpus.records(spark, d, "canonical", "id", "question_type")
     same = main.join(kind.toDF("query_id", "qt"), "query_id").join(kind.toDF("doc_id", "dt"), "doc_id").where("qt = dt").select("query_id", "doc_id", "score")
     half = F.pmod(F.xxhash64("term"), F.lit(2))
-    parts = [(main, "main"), (R.top_k(same, 100), "preferred"), (R.top_k(R.bm25(q.where(half == 0), text), K), "facet_1"), (R.top_k(R.bm25(q.where(half == 1), text), K), "facet_2")]
+    parts = [(main, "main"), (R.top_k(same, 100), "preferred"), (R.bm25_top_k(q.where(half == 0), [(text, 1.0)], K), "facet_1"), (R.bm25_top_k(q.where(half == 1), [(text, 1.0)], K), "facet_2")]
     out = None
     for df, stage in parts:
         one = df.select("query_id", F.lit(stage).alias("stage"), "doc_id", "rank")

@@ -41,6 +41,22 @@ def test_bm25_against_the_formula(spark):
     assert got == {"d1": score("d1"), "d2": score("d2")}
 
 
+def test_bm25_in_blocks_equals_the_join(spark, monkeypatch):
+    for name, value in (("QUERY_BLOCK", 3), ("DOCUMENT_BLOCK", 16), ("EXPANDED", 20)):
+        monkeypatch.setattr(R, name, value)
+    rng = np.random.default_rng(8)
+    docs = spark.createDataFrame([(f"d{i:03}", [f"t{x}" for x in rng.integers(0, 30, rng.integers(0, 12))]) for i in range(90)], "id string, ts array<string>")
+    other = spark.createDataFrame([(f"d{i:03}", [f"t{x}" for x in rng.integers(0, 30, 5)]) for i in range(0, 90, 2)], "id string, ts array<string>")
+    a, b = R.postings(docs, "id", F.col("ts")), R.postings(other, "id", F.col("ts"))
+    queries = spark.createDataFrame([(f"q{q}", f"t{t}") for q in range(7) for t in range(q, 30, 5)] + [("q9", "unseen")], "query_id string, term string")
+    rows = lambda df: {tuple(r) for r in df.select("query_id", "doc_id", "score", "rank").collect()}
+    assert rows(R.bm25_top_k(queries, [(a, 1.0)], 4)) == rows(R.top_k(R.bm25(queries, a), 4))
+    both = R.bm25(queries, a).withColumn("score", 2 * F.col("score")).unionByName(R.bm25(queries, b)).groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
+    assert rows(R.bm25_top_k(queries, [(a, 2.0), (b, 1.0)], 4)) == rows(R.top_k(both, 4))
+    assert R.bm25_top_k(queries.limit(0), [(a, 1.0)], 4).count() == 0
+    assert R.bm25_top_k(queries, [(a.limit(0), 1.0)], 4).count() == 0
+
+
 def test_cosine_top_k(spark):
     rows = spark.createDataFrame([(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, [0.0, 0.0]), (5, [math.nan, 1.0]), (6, None), (7, [1.0])], "id long, v array<float>")
     got = R.cosine_top_k(rows.where("id = 0"), rows, "id", "v", 2).orderBy("rank").collect()
