@@ -146,14 +146,14 @@ def _aligned(spark: SparkSession, d: str) -> DataFrame:
 register("neighbour_pairs", "SELECT id AS a, b FROM (SELECT id, identity, lead(id) OVER w AS b, lead(identity) OVER w AS other FROM (SELECT DISTINCT id, topic_id, normalized_question, canonical_question_id AS identity FROM occurrence WHERE canonical_question_id IS NOT NULL) WINDOW w AS (PARTITION BY topic_id ORDER BY normalized_question, id)) WHERE b IS NOT NULL AND identity <> other")(
     lambda spark, d: E.neighbours(corpus.records(spark, d, "occurrence", "id", "topic_id", "normalized_question", "canonical_question_id").where("canonical_question_id IS NOT NULL").withColumnRenamed("canonical_question_id", "identity"), "topic_id", ["normalized_question", "id"])
 )
-_JUDGE = "SELECT vec_id % 50 AS query_id, vec_id AS doc_id, label % 3 AS grade FROM embeddings WHERE vec_id % 2 = 0"
-_JUDGE2 = "SELECT vec_id % 50 AS query_id, vec_id AS doc_id, (label + 1) % 3 AS grade FROM embeddings WHERE vec_id % 3 = 0"
+_JUDGE = "SELECT vec_id % 50 AS query_id, vec_id AS doc_id, label % 3 AS grade FROM embeddings WHERE label % 2 = 0"
+_JUDGE2 = "SELECT vec_id % 50 AS query_id, vec_id AS doc_id, (label + 1) % 3 AS grade FROM embeddings WHERE label % 3 = 0"
 register("merged_judgements", f"WITH a AS ({_JUDGE}), b AS ({_JUDGE2}) SELECT * FROM a UNION ALL SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.query_id = b.query_id AND a.doc_id = b.doc_id)")(lambda spark, d: _judgements(spark, d))
 
 
 def _judgements(spark: SparkSession, d: str) -> DataFrame:
     v = corpus.scan(spark, d, "embeddings", "vec_id", "label")
-    side = lambda m, k: v.where(F.col("vec_id") % m == 0).select((F.col("vec_id") % 50).alias("query_id"), F.col("vec_id").alias("doc_id"), ((F.col("label") + k) % 3).alias("grade"))
+    side = lambda m, k: v.where(F.col("label") % m == 0).select((F.col("vec_id") % 50).alias("query_id"), F.col("vec_id").alias("doc_id"), ((F.col("label") + k) % 3).alias("grade"))
     return E.merged_judgements(side(2, 0), side(3, 1))
 
 
