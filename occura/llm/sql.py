@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from occura.llm.plainform import key_sql, plain_sql
+
 _P4 = """
 WITH asked AS (
   SELECT DISTINCT i.company_normalized, o.canonical_question_id
@@ -13,6 +15,46 @@ FROM asked JOIN scored ON canonical_question_id = scored.id
 QUALIFY rank_no <= 5
 """
 
+# All pairs of questions that share a piece, counted piece by piece.
+_PAIRS = f"""
+c AS (SELECT id, min(batch_no) AS batch_no, min({key_sql("plain")}) AS k FROM (SELECT id, batch_no, {plain_sql("canonical_text")} AS plain FROM (SELECT DISTINCT id, batch_no, canonical_text FROM canonical)) GROUP BY id),
+g AS (SELECT DISTINCT id, substr(k, i, 2) AS piece FROM c, LATERAL (SELECT unnest(range(1, length(k))) AS i)),
+n AS (SELECT id, count(*) AS n FROM g GROUP BY id),
+o AS (SELECT a.id AS ia, b.id AS ib, count(*) AS s FROM g a JOIN g b ON a.piece = b.piece AND a.id < b.id GROUP BY ALL),
+alike AS (SELECT ia, ib FROM o JOIN n x ON x.id = ia JOIN n y ON y.id = ib WHERE 10 * s >= 7 * (x.n + y.n - s))
+"""
+_CLASSES = f"""
+WITH {_PAIRS}, m AS (SELECT id, k, min(id) OVER (PARTITION BY k) AS class_id, count(*) OVER (PARTITION BY k) AS class_size FROM c WHERE k IS NOT NULL),
+pair AS (SELECT ia AS a, ib AS b FROM alike UNION ALL SELECT ib, ia FROM alike),
+l AS (SELECT a AS id, count(DISTINCT y.k) AS links FROM pair JOIN m x ON x.id = a JOIN m y ON y.id = b WHERE x.k <> y.k GROUP BY 1)
+SELECT m.id, class_id, class_size, coalesce(links, 0) AS links FROM m LEFT JOIN l ON l.id = m.id
+"""
+_HASH = "regexp_replace(regexp_replace(regexp_replace(lower(raw_file_hash), '^\\s*(sha-?256|0x)[:=\\s-]*', ''), '[\\s:_-]+', '', 'g'), '^0x', '')"
+_P2 = f"""
+WITH {_PAIRS},
+pair AS (SELECT ia AS a, ib AS b FROM alike UNION ALL SELECT ib, ia FROM alike),
+f AS (SELECT DISTINCT id, batch_no, {_HASH} AS h FROM source_revision WHERE regexp_full_match({_HASH}, '[0-9a-f]{{64}}')),
+met AS (
+  SELECT 'canonical' AS table_name, x.id, y.batch_no, y.id AS other FROM pair JOIN c x ON x.id = a JOIN c y ON y.id = b WHERE y.batch_no < x.batch_no
+  UNION ALL SELECT 'source_revision', x.id, y.batch_no, y.id FROM f x JOIN (SELECT h, min(batch_no) AS batch_no, arg_min(id, (batch_no, id)) AS id FROM f GROUP BY h) y ON x.h = y.h AND y.batch_no < x.batch_no),
+best AS (SELECT table_name, id, arg_min(other, (batch_no, other)) AS other FROM met GROUP BY ALL)
+SELECT table_name, least(id, other) AS id_a, greatest(id, other) AS id_b FROM best
+"""
+
+
+def _changed(table: str, column: str) -> str:
+    return f"SELECT DISTINCT '{table}' AS table_name, id AS row_id, {column} AS original, plain AS plain_form FROM (SELECT id, {column}, {plain_sql(column)} AS plain FROM {table}) WHERE plain <> {column}"
+
+
+_P3 = f"{_changed('interview', 'company_raw')} UNION ALL {_changed('canonical', 'canonical_text')}"
+
 
 def oracle_sql() -> dict:
-    return {"p4_found": _P4}
+    return {
+        "p2_found": _P2,
+        "p3_found": f"SELECT table_name, row_id FROM ({_P3})",
+        "p3_plain_values": f"SELECT row_id, original, plain_form FROM ({_P3})",
+        "p4_found": _P4,
+        "p5_found": f"WITH {_PAIRS} SELECT ia AS id_a, ib AS id_b FROM alike",
+        "p5_question_classes": _CLASSES,
+    }
