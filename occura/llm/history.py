@@ -25,6 +25,7 @@ from occura.llm.common import bigram_hashes, jaccard_bigrams, materialize
 BANDS, ROWS, SEED = 40, 5, 20240117
 #: Partitions of each store table; a batch's set of partitions is the only thing the driver collects.
 BUCKETS = 16
+STORED_CLASSES = "kind string, class_hash long, class_key string, signature binary, first_batch int, first_id string, bucket int"
 CLASS_COLUMNS = ("kind", "class_hash", "class_key", "signature", "first_batch", "first_id")
 
 
@@ -118,30 +119,31 @@ class History:
         bands = new.where("band_keys IS NOT NULL").select("class_hash", F.explode("band_keys").alias("band_key"))
         bands = bands.withColumn("bucket", F.pmod("band_key", F.lit(BUCKETS)).cast("int"))
 
-        touched = [r.bucket for r in new.select("bucket").distinct().collect()]
-        known = self._stored("classes", "kind string, class_hash long, class_key string, signature binary, first_batch int, first_id string, bucket int", touched)
+        # Which partitions the batch's texts and band keys fall in: at most 2 * BUCKETS rows, from one job.
+        places = F.array_union(F.array(F.col("bucket")), F.transform(F.coalesce("band_keys", F.array().cast("array<long>")), lambda k: (F.pmod(k, F.lit(BUCKETS)) + BUCKETS).cast("int")))
+        touched = sorted(r.place for r in new.select(F.explode(places).alias("place")).distinct().collect())
+
+        known = self._stored("classes", STORED_CLASSES, [t for t in touched if t < BUCKETS])
         same = new.select("bucket", "class_hash", "kind", "class_key").join(known.select("bucket", "class_hash", "kind", "class_key", "first_batch", "first_id"), ["bucket", "class_hash", "kind", "class_key"])
-        same = materialize(same.select("class_hash", "class_key", "first_batch", "first_id"))
-        matches = same
+        matches = same.select("class_hash", "class_key", "first_batch", "first_id", F.lit(True).alias("is_known"))
         if "bands" in self.written:
-            touched_bands = [r.bucket for r in bands.select("bucket").distinct().collect()]
-            stored = self._stored("bands", "band_key long, class_hash long, bucket int", touched_bands)
+            stored = self._stored("bands", "band_key long, class_hash long, bucket int", [t - BUCKETS for t in touched if t >= BUCKETS])
             meet = bands.join(stored.withColumnRenamed("class_hash", "old_hash"), ["bucket", "band_key"]).where("class_hash <> old_hash").select("class_hash", "old_hash").distinct()
             mine = new.select("class_hash", "kind", "class_key", "signature")
-            theirs = self._stored("classes", known.schema.simpleString()[7:-1].replace(":", " "), list(range(BUCKETS))).select(
+            theirs = self._stored("classes", STORED_CLASSES, list(range(BUCKETS))).select(
                 F.col("class_hash").alias("old_hash"), F.col("kind").alias("old_kind"), F.col("class_key").alias("old_key"), F.col("signature").alias("old_signature"), "first_batch", "first_id"
             )
             pairs = meet.join(mine, "class_hash").join(theirs, "old_hash").where("kind = old_kind")
             near = pairs.select("class_hash", "class_key", "old_key", "signature", "old_signature", "first_batch", "first_id").mapInArrow(self._verify(), "class_hash long, class_key string, first_batch int, first_id string")
-            matches = same.unionByName(near)
-        best = matches.groupBy("class_hash", "class_key").agg(F.min(F.struct("first_batch", "first_id")).alias("m"))
-        found = materialize(members.join(best, (members.class_hash == best.class_hash) & (members.key == best.class_key)).select("kind", "id", F.col("m.first_id").alias("match_id")))
+            matches = matches.unionByName(near.withColumn("is_known", F.lit(False)))
+        best = materialize(matches.groupBy("class_hash", "class_key").agg(F.min(F.struct("first_batch", "first_id")).alias("m"), F.max("is_known").alias("is_known")))
 
-        fresh = new.join(same.select("class_hash", "class_key"), ["class_hash", "class_key"], "left_anti")
+        fresh = new.join(best.where("is_known").select("class_hash", "class_key"), ["class_hash", "class_key"], "left_anti")
         self._append(fresh.select(*CLASS_COLUMNS, "bucket"), "classes")
-        fresh_bands = fresh.where("band_keys IS NOT NULL").select("class_hash", F.explode("band_keys").alias("band_key")).select("band_key", "class_hash", F.pmod("band_key", F.lit(BUCKETS)).cast("int").alias("bucket"))
-        self._append(fresh_bands, "bands")
-        return found
+        fresh_bands = fresh.where("band_keys IS NOT NULL").select("class_hash", F.explode("band_keys").alias("band_key"))
+        self._append(fresh_bands.select("band_key", "class_hash", F.pmod("band_key", F.lit(BUCKETS)).cast("int").alias("bucket")), "bands")
+        hit = best.select("class_hash", F.col("class_key").alias("key"), F.col("m.first_id").alias("match_id"))
+        return members.join(hit, ["class_hash", "key"]).select("kind", "id", "match_id")
 
     def _verify(self):
         threshold = self.threshold
