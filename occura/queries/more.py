@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from occura import corpus
 from occura.corpus import ACTIVE_SQL, ANNOTATION_SQL, STATE_SQL
+from occura.functions.text import digest
 from occura.operators import evaluation as E
 from occura.operators import retrieval as R
 from occura.queries.retrieval import _RANKS, _indexes, _queries, _ranked_sql, _rrf_sql
@@ -270,3 +271,122 @@ def set_operations(spark: SparkSession, d: str) -> DataFrame:
         one = df.agg(F.count("*").alias("topics")).select(F.lit(part).alias("part"), "topics")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+# ---------------------------------------------------------------- grounding, nesting, incremental reading
+
+_QUOTED = "s AS (SELECT id, raw_question, source_spans[1].quote AS quote FROM (SELECT DISTINCT id, raw_question, source_spans FROM occurrence) WHERE len(source_spans) > 0)"
+
+
+@register("quote_grounding", f"""WITH {_QUOTED} SELECT id, CASE WHEN quote = '' OR n = 0 THEN 'MISSING' WHEN n > 1 THEN 'AMBIGUOUS' ELSE 'FOUND' END AS outcome, CASE WHEN quote <> '' AND n = 1 THEN strpos(raw_question, quote) - 1 END AS start_char
+    FROM (SELECT *, CASE WHEN quote = '' THEN 0 ELSE len(string_split(raw_question, quote)) - 1 END AS n FROM s)""")
+def quote_grounding(spark: SparkSession, d: str) -> DataFrame:
+    """Where a span's quote lies in its question; one that occurs twice is ambiguous, one that is not there is missing."""
+    o = corpus.records(spark, d, "occurrence", "id", "raw_question", "source_spans").where(F.size("source_spans") > 0)
+    s = o.select("id", "raw_question", F.col("source_spans")[0]["quote"].alias("quote"))
+    shorter = F.length("raw_question") - F.length(F.replace("raw_question", "quote", F.lit("")))
+    n = F.when(F.col("quote") == "", 0).otherwise(F.floor(shorter / F.length("quote")))
+    outcome = F.when(n == 0, "MISSING").when(n > 1, "AMBIGUOUS").otherwise("FOUND")
+    return s.select("id", outcome.alias("outcome"), F.when(n == 1, F.expr("locate(quote, raw_question)") - 1).cast("long").alias("start_char"))
+
+
+@register("nested_round_trip", """WITH o AS (SELECT DISTINCT id, interview_id, question_type, question_order FROM occurrence), n AS (SELECT interview_id, list({'id': id, 'kind': question_type, 'place': question_order} ORDER BY question_order, id) AS questions FROM o GROUP BY 1)
+    SELECT interview_id, len(questions) AS questions, questions[1].id AS first_id, list_aggregate(list_transform(questions, lambda q: q.place), 'max') AS last_place FROM n""")
+def nested_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Questions nested in their interview in order, the form in which an extraction arrives (an interview has few)."""
+    o = corpus.records(spark, d, "occurrence", "id", "interview_id", "question_type", "question_order")
+    n = o.groupBy("interview_id").agg(F.array_sort(F.collect_list(F.struct("question_order", "id", "question_type"))).alias("questions"))
+    return n.select("interview_id", F.size("questions").cast("long").alias("questions"), F.col("questions")[0]["id"].alias("first_id"), F.array_max(F.transform("questions", lambda q: q["question_order"])).alias("last_place"))
+
+
+@register("event_tail", "SELECT event_id, user_id, event_type FROM events WHERE event_id > 500 ORDER BY event_id LIMIT 200")
+def event_tail(spark: SparkSession, d: str) -> DataFrame:
+    """What a reader gets that has seen everything up to sequence 500: at most 200 events."""
+    return corpus.scan(spark, d, "events", "event_id", "user_id", "event_type").where("event_id > 500").orderBy("event_id").limit(200)
+
+
+@register("last_eight_per_user", """SELECT user_id, string_agg(event_type, ',' ORDER BY ts, event_id) AS recent FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 8) GROUP BY 1""")
+def last_eight_per_user(spark: SparkSession, d: str) -> DataFrame:
+    """The last eight events of each user in order; cut before they are gathered."""
+    w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
+    e = corpus.scan(spark, d, "events", "user_id", "ts", "event_id", "event_type").withColumn("n", F.row_number().over(w)).where("n <= 8")
+    recent = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda x: x["event_type"])
+    return e.groupBy("user_id").agg(F.array_join(recent, ",").alias("recent"))
+
+
+@register("snapshot_deltas", """WITH s AS (SELECT id, question_order, interview_id, normalized_question AS now, lag(normalized_question) OVER (PARTITION BY interview_id ORDER BY question_order, id) AS before FROM (SELECT DISTINCT id, question_order, interview_id, normalized_question FROM occurrence))
+    SELECT id, CASE WHEN before IS NULL THEN now WHEN starts_with(now, before) THEN substr(now, length(before) + 1) ELSE now END AS delta, before IS NOT NULL AND NOT starts_with(now, before) AS restarted FROM s""")
+def snapshot_deltas(spark: SparkSession, d: str) -> DataFrame:
+    """What each snapshot adds to the one before it; a snapshot that does not continue it starts over."""
+    w = Window.partitionBy("interview_id").orderBy("question_order", "id")
+    o = corpus.records(spark, d, "occurrence", "id", "question_order", "interview_id", "normalized_question")
+    s = o.withColumn("before", F.lag("normalized_question").over(w))
+    goes_on = F.startswith("normalized_question", "before")
+    rest = F.expr("substring(normalized_question, length(before) + 1)")
+    return s.select("id", F.when(F.col("before").isNotNull() & goes_on, rest).otherwise(F.col("normalized_question")).alias("delta"), (F.col("before").isNotNull() & ~goes_on).alias("restarted"))
+
+
+_POOLS = f"{_RANKS}, u AS (SELECT query_id, doc_id, rank AS text_rank, NULL AS variant_rank FROM t WHERE rank <= 10 UNION ALL SELECT query_id, doc_id, NULL, rank FROM w WHERE rank <= 10)"
+
+
+@register("judging_pool", f"{_POOLS} SELECT query_id, doc_id, min(text_rank) AS text_rank, min(variant_rank) AS variant_rank FROM u GROUP BY ALL")
+def judging_pool(spark: SparkSession, d: str) -> DataFrame:
+    """The union of several pipelines' best ten, with each one's rank: what a judge has to see once."""
+    text, variants = _indexes(spark, d)
+    q = _queries(text)
+    none = F.lit(None).cast("long")
+    a = R.bm25_top_k(q, [(text, 1.0)], 10).select("query_id", "doc_id", F.col("rank").alias("text_rank"), none.alias("variant_rank"))
+    b = R.bm25_top_k(q, [(variants, 1.0)], 10).select("query_id", "doc_id", none.alias("text_rank"), F.col("rank").alias("variant_rank"))
+    return a.unionByName(b).groupBy("query_id", "doc_id").agg(F.min("text_rank").alias("text_rank"), F.min("variant_rank").alias("variant_rank"))
+
+
+@register("recall_by_family", f"""{_RANKS}, m AS (SELECT DISTINCT id, primary_topic_id AS topic FROM canonical), g AS (SELECT a.id AS query_id, b.id AS doc_id, a.topic FROM (SELECT DISTINCT query_id FROM q) x JOIN m a ON a.id = x.query_id JOIN m b ON b.topic = a.topic AND b.id <> a.id WHERE a.topic NOT IN ('misc.unsorted', 'talk.hr'))
+    SELECT topic, count(*) AS relevant, count(t.doc_id) AS found, round(CAST(count(t.doc_id) AS DOUBLE) / count(*), 6) AS recall FROM g LEFT JOIN t ON t.query_id = g.query_id AND t.doc_id = g.doc_id GROUP BY 1""")
+def recall_by_family(spark: SparkSession, d: str) -> DataFrame:
+    """Recall at 50 of each topic family."""
+    text, _ = _indexes(spark, d)
+    q = _queries(text)
+    m = corpus.records(spark, d, "canonical", "id", "primary_topic_id").where("primary_topic_id NOT IN ('misc.unsorted', 'talk.hr')")
+    gold = q.select("query_id").distinct().join(m.toDF("query_id", "topic"), "query_id").join(m.toDF("doc_id", "topic"), "topic").where("query_id <> doc_id")
+    got = R.bm25_top_k(q, [(text, 1.0)], 50).select("query_id", "doc_id", F.lit(1).alias("hit"))
+    return gold.join(got, ["query_id", "doc_id"], "left").groupBy("topic").agg(F.count("*").alias("relevant"), F.count("hit").alias("found"), E.ratio(F.count("hit"), F.count("*")).alias("recall"))
+
+
+@register("document_inventory", """WITH b AS (SELECT DISTINCT b.id, r.source_document_id, b.processing_state, b.decision, b.publication_state FROM document_build b JOIN (SELECT DISTINCT id, source_document_id FROM source_revision) r ON r.id = b.source_revision_id)
+    SELECT s.id, count(b.id) AS builds, count(*) FILTER (b.processing_state = 'FAILED') AS failed, CASE WHEN max(s.active_build_id) IS NOT NULL THEN 'PUBLISHED' WHEN count(*) FILTER (b.processing_state = 'STAGING') > 0 THEN 'RUNNING' WHEN count(*) FILTER (b.processing_state = 'FAILED') > 0 THEN 'FAILED'
+      WHEN count(b.id) > 0 THEN 'BUILT' ELSE 'PENDING' END AS status FROM (SELECT DISTINCT id, active_build_id FROM source_document) s LEFT JOIN b ON b.source_document_id = s.id GROUP BY 1""")
+def document_inventory(spark: SparkSession, d: str) -> DataFrame:
+    """One row a source document with its builds and the first status that applies."""
+    revision = corpus.records(spark, d, "source_revision", "id", "source_document_id").select(F.col("id").alias("source_revision_id"), "source_document_id")
+    build = corpus.records(spark, d, "document_build", "id", "source_revision_id", "processing_state").withColumnRenamed("id", "build_id").join(revision, "source_revision_id")
+    source = corpus.records(spark, d, "source_document", "id", "active_build_id")
+    n = lambda s: F.count(F.when(F.col("processing_state") == s, 1))
+    status = F.when(F.max("active_build_id").isNotNull(), "PUBLISHED").when(n("STAGING") > 0, "RUNNING").when(n("FAILED") > 0, "FAILED").when(F.count("build_id") > 0, "BUILT").otherwise("PENDING")
+    return source.join(build.drop("source_revision_id"), source.id == build.source_document_id, "left").groupBy("id").agg(F.count("build_id").alias("builds"), n("FAILED").alias("failed"), status.alias("status"))
+
+
+@register("revision_fingerprints", "SELECT id, sha256(source_document_id || chr(31) || raw_file_hash || chr(31) || raw_file_path) AS fingerprint FROM (SELECT DISTINCT id, source_document_id, raw_file_hash, raw_file_path FROM source_revision) WHERE raw_file_hash IS NOT NULL")
+def revision_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    """A content fingerprint per revision, which a reviewed draft must still match when it is published."""
+    r = corpus.records(spark, d, "source_revision", "id", "source_document_id", "raw_file_hash", "raw_file_path").where("raw_file_hash IS NOT NULL")
+    return r.select("id", digest(F.col("source_document_id"), F.col("raw_file_hash"), F.col("raw_file_path")).alias("fingerprint"))
+
+
+@register("question_memory", """SELECT company_normalized, id, created_at FROM (SELECT DISTINCT id, company_normalized, created_at FROM interview WHERE company_normalized IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY company_normalized ORDER BY created_at DESC, id) <= 3""")
+def question_memory(spark: SparkSession, d: str) -> DataFrame:
+    """At most the three newest records of each key."""
+    w = Window.partitionBy("company_normalized").orderBy(F.desc("created_at"), "id")
+    i = corpus.records(spark, d, "interview", "id", "company_normalized", "created_at").where("company_normalized IS NOT NULL")
+    return i.withColumn("n", F.row_number().over(w)).where("n <= 3").select("company_normalized", "id", "created_at")
+
+
+@register("verified_overrides", """WITH o AS (SELECT DISTINCT id, question_type, confidence FROM occurrence), v AS (SELECT id, CASE WHEN substr(md5(id), 12, 1) < '4' THEN NULL ELSE substr(md5(id), 13, 1) < '8' END AS keep FROM o WHERE substr(md5(id), 14, 1) < 'c')
+    SELECT o.id, CASE WHEN v.id IS NULL THEN 'UNVERIFIED' WHEN keep IS NULL THEN 'INVALID' WHEN keep THEN 'KEPT' ELSE 'DROPPED' END AS outcome, CASE WHEN coalesce(keep, true) THEN confidence ELSE 0 END AS confidence FROM o LEFT JOIN v ON v.id = o.id""")
+def verified_overrides(spark: SparkSession, d: str) -> DataFrame:
+    """A second judgement laid over a first ranking: a valid rejection overrides it, an invalid or missing one does not."""
+    o = corpus.records(spark, d, "occurrence", "id", "question_type", "confidence")
+    keep = F.when(corpus.nibble("id", 12) < "4", None).otherwise(corpus.nibble("id", 13) < "8")
+    v = o.where(corpus.nibble("id", 14) < "c").select("id", keep.alias("keep"), F.lit(True).alias("judged"))
+    j = o.join(v, "id", "left")
+    outcome = F.when(F.col("judged").isNull(), "UNVERIFIED").when(F.col("keep").isNull(), "INVALID").when(F.col("keep"), "KEPT").otherwise("DROPPED")
+    return j.select("id", outcome.alias("outcome"), F.when(F.coalesce("keep", F.lit(True)), F.col("confidence")).otherwise(0.0).alias("confidence"))
