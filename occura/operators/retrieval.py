@@ -91,8 +91,7 @@ def bm25_top_k(queries: DataFrame, fields: list[tuple[DataFrame, float]], k: int
     boosts = [b for _, b in fields]
     per = lambda df, ident: df.groupBy(ident).agg(F.collect_list(F.struct("t", "w", "f")).alias("x")).select(ident, "x.t", "x.w", "x.f")
     asked = queries.select("query_id", F.xxhash64("term").alias("t"), F.lit(1.0).alias("w"), F.lit(0).cast("byte").alias("f"))
-    n_docs = max(index.select("doc_id").distinct().count() for index, _ in fields)
-    parts = max(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_docs // DOCUMENT_BLOCK))
+    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, so that small inputs still use every core
     blocks = _blocks(per(asked, "query_id"), QUERY_BLOCK, "q").crossJoin(_blocks(per(postings_of.repartition(parts, "doc_id"), "doc_id"), DOCUMENT_BLOCK, "d"))  # blocks of a stated query set against blocks of all rows
 
     def score(batches: Iterator) -> Iterator:
