@@ -6,6 +6,8 @@ aggregation with partial aggregation before the shuffle), so counts are counts o
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,19 +35,27 @@ def lineage(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def active_interviews(spark: SparkSession, d: str) -> DataFrame:
-    """Eligible interviews of active builds."""
-    interview = records(
-        spark, d, "interview", "id", "build_id", "company_normalized", "position_normalized", "job_family", "language_tags", "round", "interview_date", "publish_date", "analytics_eligible"
-    ).where("analytics_eligible")
+INTERVIEW_ATTRIBUTES = ("company_normalized", "position_normalized", "job_family", "language_tags", "round", "interview_date", "publish_date")
+OCCURRENCE_ATTRIBUTES = ("question_type", "topic_id")
+
+
+def active_interviews(spark: SparkSession, d: str, need: Collection[str] = INTERVIEW_ATTRIBUTES) -> DataFrame:
+    """Eligible interviews of active builds with the attributes in ``need``.
+
+    Removing repeats groups by every column that is read, so what nobody needs must not be named: the optimizer
+    cannot prune a grouping column.
+    """
+    columns = [c for c in INTERVIEW_ATTRIBUTES if c in need]
+    interview = records(spark, d, "interview", "id", "build_id", *columns, "analytics_eligible").where("analytics_eligible")
     return interview.withColumnRenamed("id", "interview_id").drop("analytics_eligible").join(lineage(spark, d), "build_id")
 
 
-def active_occurrences(spark: SparkSession, d: str, *, with_canonical: bool = True) -> DataFrame:
-    """One row per asked question of the active corpus; without ``with_canonical`` also those not yet identified."""
-    columns = ["id", "interview_id", "canonical_question_id", "question_type", "topic_id"]
+def active_occurrences(spark: SparkSession, d: str, *, with_canonical: bool = True, need: Collection[str] = (*INTERVIEW_ATTRIBUTES, *OCCURRENCE_ATTRIBUTES)) -> DataFrame:
+    """One row per asked question of the active corpus, with its ids and the attributes in ``need``; without
+    ``with_canonical`` also those not yet identified."""
+    columns = ["id", "interview_id", "canonical_question_id", *[c for c in OCCURRENCE_ATTRIBUTES if c in need]]
     occurrence = records(spark, d, "occurrence", *columns).withColumnRenamed("id", "occurrence_id")
-    active = occurrence.join(active_interviews(spark, d), "interview_id")
+    active = occurrence.join(active_interviews(spark, d, need), "interview_id")
     if not with_canonical:
         return active
     canonical = records(spark, d, "canonical", "id").withColumnRenamed("id", "canonical_question_id")

@@ -17,6 +17,11 @@ RECENT_MONTHS = 3
 DIGITS = 9
 
 
+# Attributes that grouping and counting read.
+MEASURED = ("company_normalized", "interview_date", "publish_date")
+GROUPED = {"question": (), "company": ("company_normalized",), "round": ("round",), "topic_l1": ("topic_id",), "topic_l2": ("topic_id",)}
+
+
 def group_key(by: str) -> F.Column:
     """The grouping expression; missing companies and rounds form a group of their own."""
     if by == "question":

@@ -52,6 +52,18 @@ class FilterSpec:
         return {f.name: getattr(self, f.name) for f in fields(self) if getattr(self, f.name) is not None}
 
 
+# Columns of an active occurrence that each condition reads.
+_READS = {
+    "company": ("company_normalized",), "position": ("position_normalized", "job_family", "language_tags"), "job_family": ("job_family",), "language": ("language_tags",), "topic_l1": ("topic_id",),
+    "topic_l2": ("topic_id",), "question_type": ("question_type",), "round": ("round",), "start": ("interview_date", "publish_date"), "end": ("interview_date", "publish_date"),
+}
+
+
+def reads(spec: FilterSpec) -> set[str]:
+    """The attributes that the conditions of ``spec`` need."""
+    return {c for name in spec.applied() for c in _READS.get(name, ())}
+
+
 def canonical_tag(tag: str) -> str:
     """Known language tags in capitals; others as they are."""
     return tag.upper() if tag.upper() in KNOWN_TAGS else tag

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from occura import corpus
 from occura.corpus import ACTIVE_SQL, ANNOTATION_SQL, STATE_SQL
 from occura.operators import analytics as A
-from occura.operators.filters import INTERVIEW, PUBLISH, FilterSpec, apply
+from occura.operators.filters import INTERVIEW, PUBLISH, FilterSpec, apply, reads
 from occura.registry import Registry
 
 register = Registry()
@@ -22,8 +22,8 @@ _WITH = f"WITH {ACTIVE_SQL}"
 _ROW = "occurrence_id, canonical_question_id, interview_id, source_id"
 
 
-def _active(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.active_occurrences(spark, d)
+def _active(spark: SparkSession, d: str, *need: str) -> DataFrame:
+    return corpus.active_occurrences(spark, d, need=need)
 
 
 def _filtered(name: str, spec: FilterSpec, where: str, *, labels: bool = False) -> None:
@@ -31,7 +31,7 @@ def _filtered(name: str, spec: FilterSpec, where: str, *, labels: bool = False)
     sql = f"{_WITH}{', ' + ANNOTATION_SQL if labels else ''} SELECT {_ROW} FROM active WHERE {where}"
 
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return apply(_active(spark, d), spec, corpus.annotations(spark, d) if labels else None).select(*_ROW.split(", "))
+        return apply(_active(spark, d, *reads(spec)), spec, corpus.annotations(spark, d) if labels else None).select(*_ROW.split(", "))
 
     register(name, sql)(run)
 
@@ -67,7 +67,7 @@ def filter_anti_unannotated(spark: SparkSession, d: str) -> DataFrame:
 @register("filter_company_of_list", f"{_WITH} SELECT {_ROW} FROM active WHERE company_normalized = (SELECT company_name FROM company_ref WHERE ref_id = 1)")
 def filter_company_of_list(spark: SparkSession, d: str) -> DataFrame:
     company = corpus.scan(spark, d, "company_ref", "ref_id", "company_name").where("ref_id = 1").first().company_name
-    return apply(_active(spark, d), FilterSpec(company=company)).select(*_ROW.split(", "))
+    return apply(_active(spark, d, "company_normalized"), FilterSpec(company=company)).select(*_ROW.split(", "))
 
 
 @register("visitor_search", "SELECT DISTINCT id, source_identity FROM source_document WHERE contains(lower(source_identity), 'code') OR contains(lower(coalesce(source_url, '')), 'code') OR contains(lower(original_relative_path), 'code')")
@@ -101,24 +101,24 @@ _KEYS = {
 
 
 def _stats(by: str) -> None:
-    register(f"stats_by_{by}", f"{_WITH} {_group_sql(_KEYS[by])}")(lambda spark, d: A.grouped(_active(spark, d), by, AS_OF))
+    register(f"stats_by_{by}", f"{_WITH} {_group_sql(_KEYS[by])}")(lambda spark, d: A.grouped(_active(spark, d, *A.MEASURED, *A.GROUPED[by]), by, AS_OF))
 
 
 for _by in _KEYS:
     _stats(_by)
 
-register("stats_totals", f"{_WITH} SELECT count(*) AS occurrences, count(DISTINCT interview_id) AS interviews, count(DISTINCT source_id) AS source_documents, count(DISTINCT company_normalized) AS known_companies FROM active")(lambda spark, d: A.totals(_active(spark, d)))
+register("stats_totals", f"{_WITH} SELECT count(*) AS occurrences, count(DISTINCT interview_id) AS interviews, count(DISTINCT source_id) AS source_documents, count(DISTINCT company_normalized) AS known_companies FROM active")(lambda spark, d: A.totals(_active(spark, d, "company_normalized")))
 register("stats_time_month", f"{_WITH} SELECT coalesce(split_part(topic_id, '.', 1), '其他') AS key, strftime({_WHEN}, '%Y-%m') AS bucket, count(*) AS occurrences FROM active WHERE {_WHEN} IS NOT NULL GROUP BY ALL")(
-    lambda spark, d: A.time_buckets(_active(spark, d), "topic_l1", "month")
+    lambda spark, d: A.time_buckets(_active(spark, d, "topic_id", "interview_date", "publish_date"), "topic_l1", "month")
 )
 register("stats_time_week", f"{_WITH} SELECT coalesce(round, 'UNKNOWN') AS key, strftime(date_trunc('week', {_WHEN}), '%Y-%m-%d') AS bucket, count(*) AS occurrences FROM active WHERE {_WHEN} IS NOT NULL GROUP BY ALL")(
-    lambda spark, d: A.time_buckets(_active(spark, d), "round", "week")
+    lambda spark, d: A.time_buckets(_active(spark, d, "round", "interview_date", "publish_date"), "round", "week")
 )
 register(
     "stats_date_coverage",
     f"""{_WITH} SELECT (SELECT count(*) FROM active WHERE {_WHEN} IS NULL) AS unknown_date_count,
     (SELECT count(*) FROM active WHERE {_WHEN} >= DATE '2025-07-01' AND {_WHEN} < DATE '2026-01-01' AND interview_date IS NULL AND publish_date IS NOT NULL) AS publish_fallback_count""",
-)(lambda spark, d: A.date_coverage(_active(spark, d), WINDOW, apply))
+)(lambda spark, d: A.date_coverage(_active(spark, d, "interview_date", "publish_date"), WINDOW, apply))
 
 
 # ---------------------------------------------------------------- scores, ranks, pages
@@ -134,7 +134,7 @@ gapped AS (SELECT b.*, coalesce(u.user_status, 'UNSEEN') AS user_status,
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    active = _active(spark, d)
+    active = _active(spark, d, *A.MEASURED)
     return A.scored(A.grouped(active, "question", AS_OF), A.totals(active))
 
 
@@ -180,15 +180,15 @@ register("offset_page", f"{_WITH} SELECT occurrence_id, canonical_question_id FR
     lambda spark, d: _active(spark, d).select("occurrence_id", "canonical_question_id").orderBy("occurrence_id").offset(50).limit(25)
 )
 register("witness_rows", f"{_WITH} SELECT canonical_question_id AS key, min(occurrence_id) AS occurrence_id, arg_min(interview_id, occurrence_id) AS interview_id, arg_min(company_normalized, occurrence_id) AS company FROM (SELECT *, 1 AS x FROM active) GROUP BY 1")(
-    lambda spark, d: _active(spark, d).groupBy(F.col("canonical_question_id").alias("key")).agg(F.min(F.struct("occurrence_id", "interview_id", "company_normalized")).alias("w"))
+    lambda spark, d: _active(spark, d, "company_normalized").groupBy(F.col("canonical_question_id").alias("key")).agg(F.min(F.struct("occurrence_id", "interview_id", "company_normalized")).alias("w"))
     .select("key", "w.occurrence_id", "w.interview_id", F.col("w.company_normalized").alias("company"))
 )
 register.oracles["witness_rows"] = f"{_WITH}, w AS (SELECT canonical_question_id AS key, min(occurrence_id) AS occurrence_id FROM active GROUP BY 1) SELECT key, w.occurrence_id, a.interview_id, a.company_normalized AS company FROM w JOIN active a ON a.occurrence_id = w.occurrence_id"
 
 _COUNT = "count(DISTINCT canonical_question_id) AS canonical_questions, count(*) AS occurrences, count(DISTINCT interview_id) AS interviews, count(DISTINCT source_id) AS source_documents, count(DISTINCT company_normalized) AS known_companies"
-register("count_scope", f"{_WITH} SELECT {_COUNT} FROM active")(lambda spark, d: A.count_scope(_active(spark, d)))
+register("count_scope", f"{_WITH} SELECT {_COUNT} FROM active")(lambda spark, d: A.count_scope(_active(spark, d, "company_normalized")))
 register("count_review_scope", f"{_WITH}, {STATE_SQL} SELECT {_COUNT} FROM (SELECT a.* FROM active a LEFT JOIN user_state u ON a.canonical_question_id = u.canonical_question_id WHERE coalesce(user_status, 'UNSEEN') IN ('UNSEEN', 'WEAK'))")(
-    lambda spark, d: A.count_scope(A.review_scope(_active(spark, d), corpus.user_states(spark, d), STATUSES))
+    lambda spark, d: A.count_scope(A.review_scope(_active(spark, d, "company_normalized"), corpus.user_states(spark, d), STATUSES))
 )
 register(
     "task_coverage",
@@ -199,8 +199,8 @@ register(
 
 # ---------------------------------------------------------------- details
 
-register("detail_distribution", f"{_WITH} SELECT canonical_question_id AS key, coalesce(company_normalized, 'UNKNOWN') AS value, count(*) AS occurrences FROM active GROUP BY ALL")(lambda spark, d: A.distribution(_active(spark, d), "company"))
-register("detail_round_distribution", f"{_WITH} SELECT canonical_question_id AS key, coalesce(round, 'UNKNOWN') AS value, count(*) AS occurrences FROM active GROUP BY ALL")(lambda spark, d: A.distribution(_active(spark, d), "round"))
+register("detail_distribution", f"{_WITH} SELECT canonical_question_id AS key, coalesce(company_normalized, 'UNKNOWN') AS value, count(*) AS occurrences FROM active GROUP BY ALL")(lambda spark, d: A.distribution(_active(spark, d, "company_normalized"), "company"))
+register("detail_round_distribution", f"{_WITH} SELECT canonical_question_id AS key, coalesce(round, 'UNKNOWN') AS value, count(*) AS occurrences FROM active GROUP BY ALL")(lambda spark, d: A.distribution(_active(spark, d, "round"), "round"))
 register("detail_variants", "SELECT canonical_question_id AS key, count(DISTINCT normalized_question) AS variants, min(normalized_question) AS first_variant FROM occurrence WHERE canonical_question_id IS NOT NULL GROUP BY 1")(
     lambda spark, d: corpus.scan(spark, d, "occurrence", "canonical_question_id", "normalized_question").where("canonical_question_id IS NOT NULL")
     .groupBy(F.col("canonical_question_id").alias("key")).agg(F.countDistinct("normalized_question").alias("variants"), F.min("normalized_question").alias("first_variant"))

@@ -43,7 +43,7 @@ register(
     n AS (SELECT DISTINCT id, primary_topic_id, question_type FROM canonical)
     SELECT canonical_question_id, topic_id, v.question_type, votes FROM v LEFT JOIN n ON n.id = v.canonical_question_id
     QUALIFY row_number() OVER (PARTITION BY canonical_question_id ORDER BY votes DESC, coalesce(topic_id = primary_topic_id AND v.question_type = n.question_type, false) DESC, topic_id, v.question_type) = 1""",
-)(lambda spark, d: L.majority_label(corpus.active_occurrences(spark, d), corpus.records(spark, d, "canonical", "id", "primary_topic_id", "question_type")))
+)(lambda spark, d: L.majority_label(corpus.active_occurrences(spark, d, need=("topic_id", "question_type")), corpus.records(spark, d, "canonical", "id", "primary_topic_id", "question_type")))
 _ASSIGNED = """WITH o AS (SELECT DISTINCT id, canonical_question_id, substr(md5(id), 5, 1) AS n FROM occurrence WHERE canonical_question_id IS NOT NULL),
 a AS (SELECT id AS occurrence_id, canonical_question_id, 'AUTO' AS decision, 1 AS valid_from, CASE WHEN n < '8' THEN 5 END AS valid_to FROM o
   UNION ALL SELECT id, canonical_question_id, 'REVIEWED', 5, NULL FROM o WHERE n < '8')"""
@@ -78,7 +78,7 @@ register("corpus_status", f"""{_WITH} SELECT (SELECT count(DISTINCT id) FROM sou
 
 def _status(spark: SparkSession, d: str) -> DataFrame:
     n = lambda t: corpus.scan(spark, d, t, "id").agg(F.countDistinct("id").alias(t))
-    active = corpus.active_occurrences(spark, d).agg(F.countDistinct("interview_id").alias("interviews"), F.count("*").alias("occurrences"), F.countDistinct("canonical_question_id").alias("canonical_questions"))
+    active = corpus.active_occurrences(spark, d, need=()).agg(F.countDistinct("interview_id").alias("interviews"), F.count("*").alias("occurrences"), F.countDistinct("canonical_question_id").alias("canonical_questions"))
     ratio = F.round(1 - F.try_divide("canonical_questions", "occurrences"), 6).alias("dedup_ratio")
     return active.crossJoin(n("source_document")).crossJoin(n("source_revision")).select(F.col("source_document").alias("sources"), F.col("source_revision").alias("revisions"), "interviews", "occurrences", "canonical_questions", ratio)
 

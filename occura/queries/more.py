@@ -229,7 +229,7 @@ def result_assembly(spark: SparkSession, d: str) -> DataFrame:
     q = _queries(text)
     hits = R.top_k(R.fuse([(R.bm25_top_k(q, [(text, 1.0)], 50), 1.0), (R.bm25_top_k(q, [(variants, 1.0)], 50), 1.0)]), 3).select("query_id", "doc_id", "rank")
     wanted = hits.select(F.col("doc_id").alias("canonical_question_id")).distinct()
-    facts = corpus.active_occurrences(spark, d).join(wanted, "canonical_question_id", "left_semi").groupBy(F.col("canonical_question_id").alias("doc_id")).agg(
+    facts = corpus.active_occurrences(spark, d, need=("company_normalized",)).join(wanted, "canonical_question_id", "left_semi").groupBy(F.col("canonical_question_id").alias("doc_id")).agg(
         F.count("*").alias("occurrences"), F.countDistinct("company_normalized").alias("companies"), F.min("source_id").alias("first_source")
     )
     zero = F.lit(0).cast("long")
@@ -242,7 +242,7 @@ def result_assembly(spark: SparkSession, d: str) -> DataFrame:
 def candidate_payload(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("interview_id").orderBy("occurrence_id")
     raw = corpus.records(spark, d, "occurrence", "id", "raw_question").withColumnRenamed("id", "occurrence_id")
-    a = corpus.active_occurrences(spark, d).select("occurrence_id", "interview_id", "canonical_question_id").join(raw, "occurrence_id")
+    a = corpus.active_occurrences(spark, d, need=()).select("occurrence_id", "interview_id", "canonical_question_id").join(raw, "occurrence_id")
     return a.select("canonical_question_id", F.concat(F.lit("c"), F.row_number().over(w) - 1).alias("alias"), F.left("raw_question", F.lit(40)).alias("clipped"))
 
 
