@@ -240,10 +240,12 @@ def result_assembly(spark: SparkSession, d: str) -> DataFrame:
 
 @register("candidate_payload", f"{_WITH} SELECT canonical_question_id, 'c' || (place - 1) AS alias, left(raw_question, 40) AS clipped FROM (SELECT a.canonical_question_id, o.raw_question, row_number() OVER (PARTITION BY a.interview_id ORDER BY a.occurrence_id) AS place FROM active a JOIN (SELECT DISTINCT id, raw_question FROM occurrence) o ON o.id = a.occurrence_id)")
 def candidate_payload(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates of an interview under short names, their canonical text clipped at 500 characters. The SQL beside it still clips raw_question at 40."""
     w = Window.partitionBy("interview_id").orderBy("occurrence_id")
-    raw = corpus.records(spark, d, "occurrence", "id", "raw_question").withColumnRenamed("id", "occurrence_id")
-    a = corpus.active_occurrences(spark, d, need=()).select("occurrence_id", "interview_id", "canonical_question_id").join(raw, "occurrence_id")
-    return a.select("canonical_question_id", F.concat(F.lit("c"), F.row_number().over(w) - 1).alias("alias"), F.left("raw_question", F.lit(40)).alias("clipped"))
+    text = corpus.records(spark, d, "canonical", "id", "canonical_text").withColumnRenamed("id", "canonical_question_id")
+    a = corpus.active_occurrences(spark, d, with_canonical=False, need=()).select("occurrence_id", "interview_id", "canonical_question_id").join(text, "canonical_question_id")
+    clipped = F.left(F.coalesce("canonical_text", F.lit("")), F.lit(500))
+    return a.select("canonical_question_id", F.concat(F.lit("c"), F.row_number().over(w) - 1).alias("alias"), clipped.alias("clipped"))
 
 
 @register("span_lines_of_texts", """SELECT doc_id, strpos(text, '二面') AS at, CASE WHEN strpos(text, '二面') > 0 THEN array_to_string(list_slice(string_split(substr(text, 1, strpos(text, '二面') - 1), chr(10)), -4, -1), chr(10)) END AS before FROM documents""")

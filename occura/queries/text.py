@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from occura import corpus
@@ -87,6 +88,13 @@ register("json_path_lookup", "SELECT event_id, CAST(json_extract(props, '$.k') A
 )
 register("query_key_normalize")(lambda spark, d: corpus.records(spark, d, "canonical", "id", "canonical_text").select("id", T.query_key("canonical_text").alias("query_key")))
 register("quantity_spans")(lambda spark, d: corpus.records(spark, d, "canonical", "id", "canonical_text").select("id", F.explode(T.quantities("canonical_text")).alias("q")).select("id", "q.*"))
-register("evidence_clip")(
-    lambda spark, d: corpus.records(spark, d, "occurrence", "id", "raw_question").select("id", T.clip_bytes("raw_question", F.lit(100), F.lit(False)).alias("head"), T.clip_bytes("raw_question", F.lit(50), F.lit(True)).alias("tail"))
-)
+
+
+@register("evidence_clip")
+def evidence_clip(spark: SparkSession, d: str) -> DataFrame:
+    """Head and tail of every wording: 500 bytes a question, shared by its occurrences (at most two count), 2/5 for a head and 1/2 for a tail."""
+    o = corpus.records(spark, d, "occurrence", "id", "canonical_question_id", "raw_question")
+    n = o.where("canonical_question_id IS NOT NULL").groupBy("canonical_question_id").agg(F.count("*").alias("n"))
+    budget = F.floor(F.lit(500) / F.least(F.coalesce("n", F.lit(1)), F.lit(2)))
+    o = o.join(n, "canonical_question_id", "left").withColumn("budget", budget)
+    return o.select("id", T.clip_bytes("raw_question", F.floor(F.col("budget") * 2 / 5), F.lit(False)).alias("head"), T.clip_bytes("raw_question", F.floor(F.col("budget") / 2), F.lit(True)).alias("tail"))
