@@ -49,8 +49,8 @@ QUERY_BLOCK, DOCUMENT_BLOCK, EXPANDED = 512, 2048, 2_000_000
 
 
 def _blocks(df: DataFrame, size: int, prefix: str) -> DataFrame:
-    """Packs rows (id, terms, weights, fields) into blocks of ``size``: ids, entries a row, and the joined arrays."""
-    names = [f"{prefix}{c}" for c in ("ids", "counts", "terms", "weights", "fields")]
+    """Packs rows (id, terms, weights, fields, kind) into blocks of ``size``: ids, entries a row, the joined arrays, and kinds."""
+    names = [f"{prefix}{c}" for c in ("ids", "counts", "terms", "weights", "fields", "kinds")]
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -61,10 +61,11 @@ def _blocks(df: DataFrame, size: int, prefix: str) -> DataFrame:
         def block() -> pa.RecordBatch:
             joined = [np.concatenate([np.asarray(r[i], t) for r in rows]).tobytes() for i, t in enumerate((np.int64, np.float64, np.int8))]
             counts = np.array([len(r[0]) for r in rows], np.int64).tobytes()
-            return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.string())), *[pa.array([x], pa.binary()) for x in (counts, *joined)]], names=names)
+            kinds = np.array([r[3] for r in rows], np.int64).tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.string())), *[pa.array([x], pa.binary()) for x in (counts, *joined, kinds)]], names=names)
 
         for b in batches:
-            for i, *r in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
+            for i, *r in zip(*(b.column(c).to_pylist() for c in range(5)), strict=True):
                 ids.append(i)
                 rows.append(r)
                 if len(ids) == size:
@@ -76,12 +77,15 @@ def _blocks(df: DataFrame, size: int, prefix: str) -> DataFrame:
     return df.mapInArrow(run, ", ".join([f"{names[0]} array<string>", *[f"{n} binary" for n in names[1:]]]))
 
 
-def bm25_top_k(queries: DataFrame, fields: list[tuple[DataFrame, float]], k: int) -> DataFrame:
+def bm25_top_k(queries: DataFrame, fields: list[tuple[DataFrame, float]], k: int, kinds: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank): the k best documents of every query; the best of several boosted fields counts.
 
     The same scores as :func:`bm25`, made for many queries: the weighted postings are packed into blocks of documents
     and the queries into blocks of queries; a task adds up one block's scores in an array and hands on k documents a
     query (more only where they tie), so the pairs that share some term are never shuffled. Ids are strings.
+
+    With ``kinds``, (id, kind), a query ranks only the documents of its own kind. They are chosen before the cut to k;
+    N, document frequencies and the mean length still cover the whole index.
     """
     wanted = queries.select("term").distinct()
     postings_of = None
@@ -89,7 +93,14 @@ def bm25_top_k(queries: DataFrame, fields: list[tuple[DataFrame, float]], k: int
         one = _weighted(index, wanted).select("doc_id", F.xxhash64("term").alias("t"), "w", F.lit(number).cast("byte").alias("f"))
         postings_of = one if postings_of is None else postings_of.unionByName(one)
     boosts = [b for _, b in fields]
-    per = lambda df, ident: df.groupBy(ident).agg(F.collect_list(F.struct("t", "w", "f")).alias("x")).select(ident, "x.t", "x.w", "x.f")
+
+    def per(df: DataFrame, ident: str) -> DataFrame:
+        rows = df.groupBy(ident).agg(F.collect_list(F.struct("t", "w", "f")).alias("x"))
+        if kinds is None:
+            return rows.select(ident, "x.t", "x.w", "x.f", F.lit(0).cast("long").alias("kind"))
+        known = kinds.toDF(ident, "kind").where("kind IS NOT NULL")
+        return rows.join(known, ident).select(ident, "x.t", "x.w", "x.f", F.xxhash64("kind").alias("kind"))
+
     asked = queries.select("query_id", F.xxhash64("term").alias("t"), F.lit(1.0).alias("w"), F.lit(0).cast("byte").alias("f"))
     parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, so that small inputs still use every core
     blocks = _blocks(per(asked, "query_id"), QUERY_BLOCK, "q").crossJoin(_blocks(per(postings_of.repartition(parts, "doc_id"), "doc_id"), DOCUMENT_BLOCK, "d"))  # blocks of a stated query set against blocks of all rows
@@ -122,6 +133,7 @@ def bm25_top_k(queries: DataFrame, fields: list[tuple[DataFrame, float]], k: int
                         at = stop
                     best = np.maximum(best, np.round(total, DIGITS) * boost)
                 table = best.reshape(nq, nd)
+                table[np.frombuffer(r["qkinds"], np.int64)[:, None] != np.frombuffer(r["dkinds"], np.int64)[None, :]] = 0
                 least = np.partition(table, nd - k, axis=1)[:, nd - k] if nd > k else np.zeros(nq)
                 q, d = np.nonzero((table > 0) & (table >= least[:, None]))
                 ids_q, ids_d = np.array(r["qids"], object), np.array(r["dids"], object)

@@ -14,6 +14,8 @@ from occura.registry import Registry
 
 register = Registry()
 K = 50
+#: Documents of each list that is fused for the preferred branch.
+BRANCH = 100
 
 _NUMBER = "CAST('0x' || substr(id, 1, 8) AS BIGINT)"
 _INDEX = f"""c AS (SELECT DISTINCT id, canonical_text FROM canonical),
@@ -81,14 +83,14 @@ register("hybrid_rrf_pool50", f"{_RANKS} SELECT * FROM {_ranked_sql(_rrf_sql(1,
 
 
 def _staged(spark: SparkSession, d: str) -> DataFrame:
-    """Rankings by stage: main (fused), preferred (wordings of the query's own question type), and two lexical facets."""
+    """Rankings by stage: main (fused), preferred (fused, over the questions of the query's own type alone), and two lexical facets."""
     text, variants = _indexes(spark, d)
     q = _queries(text)
     main = R.top_k(R.fuse([(R.bm25_top_k(q, [(text, 1.0)], K), 1.0), (R.bm25_top_k(q, [(variants, 1.0)], K), 1.0)]), 100)
     kind = corpus.records(spark, d, "canonical", "id", "question_type")
-    same = main.join(kind.toDF("query_id", "qt"), "query_id").join(kind.toDF("doc_id", "dt"), "doc_id").where("qt = dt").select("query_id", "doc_id", "score")
+    preferred = R.top_k(R.fuse([(R.bm25_top_k(q, [(text, 1.0)], BRANCH, kind), 1.0), (R.bm25_top_k(q, [(variants, 1.0)], BRANCH, kind), 1.0)]), 100)
     half = F.pmod(F.xxhash64("term"), F.lit(2))
-    parts = [(main, "main"), (R.top_k(same, 100), "preferred"), (R.bm25_top_k(q.where(half == 0), [(text, 1.0)], K), "facet_1"), (R.bm25_top_k(q.where(half == 1), [(text, 1.0)], K), "facet_2")]
+    parts = [(main, "main"), (preferred, "preferred"), (R.bm25_top_k(q.where(half == 0), [(text, 1.0)], K), "facet_1"), (R.bm25_top_k(q.where(half == 1), [(text, 1.0)], K), "facet_2")]
     out = None
     for df, stage in parts:
         one = df.select("query_id", F.lit(stage).alias("stage"), "doc_id", "rank")

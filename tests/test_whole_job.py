@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from occura import catalogue
+from occura.operators import retrieval as R
 from tests.corpora import seed_tables, write
 
 
@@ -26,3 +28,33 @@ def test_evidence_clip_shares_500_bytes(spark, tmp_path):
     got = {r.id: (r.head, r.tail) for r in catalogue.queries()["evidence_clip"](spark, str(tmp_path)).collect()}
     whole, half = (text[:200], text[-250:]), (text[:100], text[-125:])
     assert got == {"a": whole, "b": half, "c": half, "d0": half, "d1": half, "d2": half, "e": whole}
+
+
+def test_bm25_of_one_kind_is_chosen_before_the_cut(spark, monkeypatch):
+    for name, value in (("QUERY_BLOCK", 3), ("DOCUMENT_BLOCK", 16), ("EXPANDED", 20)):
+        monkeypatch.setattr(R, name, value)
+    rng = np.random.default_rng(8)
+    docs = spark.createDataFrame([(f"d{i:03}", [f"t{x}" for x in rng.integers(0, 30, rng.integers(1, 12))]) for i in range(90)], "id string, ts array<string>")
+    index = R.postings(docs, "id", F.col("ts"))
+    queries = spark.createDataFrame([(f"d{q:03}", f"t{t}") for q in range(7) for t in range(q, 30, 5)], "query_id string, term string")
+    kinds = spark.createDataFrame([(f"d{i:03}", None if i % 10 == 9 else f"k{i % 3}") for i in range(90) if i != 50], "id string, kind string")
+    same = R.bm25(queries, index).join(kinds.toDF("query_id", "a"), "query_id").join(kinds.toDF("doc_id", "b"), "doc_id").where("a = b")
+    rows = lambda df: {tuple(r) for r in df.select("query_id", "doc_id", "score", "rank").collect()}
+    assert rows(R.bm25_top_k(queries, [(index, 1.0)], 4, kinds)) == rows(R.top_k(same, 4))
+
+
+def ranked_far_down(spark, path: str) -> tuple[str, list[str]]:
+    """150 questions that share every word with the one query, and ten of the query's type that share one word."""
+    ident = lambda n: f"{n:08x}-0000"
+    far = [ident(20 * i + 7) for i in range(10)]
+    rows = [(ident(20), "alpha beta gamma", "PRINCIPLE"), *[(ident(20 * i + 1), "alpha beta gamma", "CODING") for i in range(150)], *[(i, "alpha delta epsilon zeta", "PRINCIPLE") for i in far]]
+    c = spark.createDataFrame(rows, "id string, canonical_text string, question_type string")
+    c.write.parquet(f"{path}/canonical.parquet")
+    c.select(F.concat(F.lit("o"), "id").alias("id"), F.col("id").alias("canonical_question_id"), F.col("canonical_text").alias("normalized_question")).write.parquet(f"{path}/occurrence.parquet")
+    return path, far
+
+
+def test_preferred_pool_searches_the_type_before_the_cut(spark, tmp_path):
+    d, far = ranked_far_down(spark, str(tmp_path))
+    got = catalogue.queries()["preferred_pool"](spark, d).where("source = 'preferred'").collect()
+    assert {r.doc_id for r in got} == set(far)
