@@ -10,7 +10,7 @@ from occura.corpus import ACTIVE_SQL, ANNOTATION_SQL, STATE_SQL
 from occura.functions.text import digest
 from occura.operators import evaluation as E
 from occura.operators import retrieval as R
-from occura.queries.retrieval import _RANKS, _indexes, _queries, _ranked_sql, _rrf_sql
+from occura.queries.retrieval import _RANKS, BRANCH, _indexes, _queries, _ranked_sql, _rrf_sql
 from occura.registry import Registry
 
 register = Registry()
@@ -227,7 +227,7 @@ def result_assembly(spark: SparkSession, d: str) -> DataFrame:
     """The three best hits of every query with their text and facts; facts are computed for hits only."""
     text, variants = _indexes(spark, d)
     q = _queries(text)
-    hits = R.top_k(R.fuse([(R.bm25_top_k(q, [(text, 1.0)], 50), 1.0), (R.bm25_top_k(q, [(variants, 1.0)], 50), 1.0)]), 3).select("query_id", "doc_id", "rank")
+    hits = R.top_k(R.fuse([(R.bm25_top_k(q, [(text, 1.0)], BRANCH), 1.0), (R.bm25_top_k(q, [(variants, 1.0)], BRANCH), 1.0)]), 3).select("query_id", "doc_id", "rank")
     wanted = hits.select(F.col("doc_id").alias("canonical_question_id")).distinct()
     facts = corpus.active_occurrences(spark, d, need=("company_normalized",)).join(wanted, "canonical_question_id", "left_semi").groupBy(F.col("canonical_question_id").alias("doc_id")).agg(
         F.count("*").alias("occurrences"), F.countDistinct("company_normalized").alias("companies"), F.min("source_id").alias("first_source")

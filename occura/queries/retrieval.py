@@ -13,9 +13,8 @@ from occura.queries.text import terms_sql
 from occura.registry import Registry
 
 register = Registry()
-K = 50
-#: Documents of each list that is fused for the preferred branch.
-BRANCH = 100
+#: Documents of each list of the main and preferred branches, and of a facet's list. The SQL still takes 50 of every list.
+BRANCH, K = 100, 50
 
 _NUMBER = "CAST('0x' || substr(id, 1, 8) AS BIGINT)"
 _INDEX = f"""c AS (SELECT DISTINCT id, canonical_text FROM canonical),
@@ -58,7 +57,7 @@ def _indexes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 def _rankings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     text, variants = _indexes(spark, d)
     q = _queries(text)
-    return R.bm25_top_k(q, [(text, 1.0)], K), R.bm25_top_k(q, [(variants, 1.0)], K)
+    return R.bm25_top_k(q, [(text, 1.0)], BRANCH), R.bm25_top_k(q, [(variants, 1.0)], BRANCH)
 
 
 register("bm25_topk", f"{_RANKS} SELECT * FROM t")(lambda spark, d: _rankings(spark, d)[0])
@@ -70,7 +69,7 @@ def bm25_two_field_max(spark: SparkSession, d: str) -> DataFrame:
     """Best field wins; the question's own text counts twice."""
     text, variants = _indexes(spark, d)
     q = _queries(text)
-    return R.bm25_top_k(q, [(text, 2.0), (variants, 1.0)], K)
+    return R.bm25_top_k(q, [(text, 2.0), (variants, 1.0)], BRANCH)
 
 
 def _rrf_sql(w1: float, w2: float) -> str:
@@ -86,7 +85,7 @@ def _staged(spark: SparkSession, d: str) -> DataFrame:
     """Rankings by stage: main (fused), preferred (fused, over the questions of the query's own type alone), and two lexical facets."""
     text, variants = _indexes(spark, d)
     q = _queries(text)
-    main = R.top_k(R.fuse([(R.bm25_top_k(q, [(text, 1.0)], K), 1.0), (R.bm25_top_k(q, [(variants, 1.0)], K), 1.0)]), 100)
+    main = R.top_k(R.fuse([(R.bm25_top_k(q, [(text, 1.0)], BRANCH), 1.0), (R.bm25_top_k(q, [(variants, 1.0)], BRANCH), 1.0)]), 100)
     kind = corpus.records(spark, d, "canonical", "id", "question_type")
     preferred = R.top_k(R.fuse([(R.bm25_top_k(q, [(text, 1.0)], BRANCH, kind), 1.0), (R.bm25_top_k(q, [(variants, 1.0)], BRANCH, kind), 1.0)]), 100)
     half = F.pmod(F.xxhash64("term"), F.lit(2))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from occura import catalogue
 from occura.operators import retrieval as R
+from occura.queries import retrieval as queries
 from tests.corpora import seed_tables, write
 
 
@@ -58,3 +59,12 @@ def test_preferred_pool_searches_the_type_before_the_cut(spark, tmp_path):
     d, far = ranked_far_down(spark, str(tmp_path))
     got = catalogue.queries()["preferred_pool"](spark, d).where("source = 'preferred'").collect()
     assert {r.doc_id for r in got} == set(far)
+
+
+def test_branches_rank_100_and_facets_50(spark, tmp_path):
+    d, _ = ranked_far_down(spark, str(tmp_path))
+    for name in ("bm25_topk", "bm25_variants_topk", "bm25_two_field_max"):
+        assert catalogue.queries()[name](spark, d).count() == 100, name
+    stages = {r.stage: r["count"] for r in queries._staged(spark, d).groupBy("stage").count().collect()}
+    assert stages["main"] == 100
+    assert max(n for s, n in stages.items() if s.startswith("facet")) == 50
