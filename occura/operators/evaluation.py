@@ -124,6 +124,11 @@ def aligned(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     return pairs.withColumn("n", F.count("*").over(one_g)).withColumn("m", F.count("*").over(one_p)).where("n = 1 AND m = 1").select("gold_id", "predicted_id")
 
 
+def spans_of(df: DataFrame) -> DataFrame:
+    """Every span of every record, a span listed twice once: the columns of ``df`` with ``position`` and ``span`` for source_spans."""
+    return df.select(*[c for c in df.columns if c != "source_spans"], F.posexplode(F.array_distinct("source_spans")).alias("position", "span"))
+
+
 def neighbours(df: DataFrame, group: str, order: list[str]) -> DataFrame:
     """(a, b) of neighbouring ids in sorted order within a group, where the identity differs."""
     w = Window.partitionBy(group).orderBy(*order)

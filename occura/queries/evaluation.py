@@ -136,11 +136,11 @@ register(
 
 
 def _aligned(spark: SparkSession, d: str) -> DataFrame:
-    """Gold spans against the same spans moved by three characters."""
-    o = corpus.records(spark, d, "occurrence", "id", "normalized_question", "source_spans").where(F.size("source_spans") > 0)
-    first = F.col("source_spans")[0]
-    gold = o.select("id", first["revision_id"].alias("doc_id"), first["start_char"].alias("start"), first["end_char"].alias("end"), F.col("normalized_question").alias("text"))
-    return E.aligned(gold, gold.withColumn("start", F.col("start") + 3).withColumn("end", F.col("end") + 3))
+    """Gold spans, each of a question's own, against the same spans moved by three characters."""
+    o = E.spans_of(corpus.records(spark, d, "occurrence", "id", "normalized_question", "source_spans"))
+    gold = o.select(F.struct("id", "position").alias("id"), F.col("span.revision_id").alias("doc_id"), F.col("span.start_char").alias("start"), F.col("span.end_char").alias("end"), F.col("normalized_question").alias("text"))
+    pairs = E.aligned(gold, gold.withColumn("start", F.col("start") + 3).withColumn("end", F.col("end") + 3))
+    return pairs.select(F.col("gold_id.id").alias("gold_id"), F.col("predicted_id.id").alias("predicted_id"))
 
 
 register("neighbour_pairs", "SELECT id AS a, b FROM (SELECT id, identity, lead(id) OVER w AS b, lead(identity) OVER w AS other FROM (SELECT DISTINCT id, topic_id, normalized_question, canonical_question_id AS identity FROM occurrence WHERE canonical_question_id IS NOT NULL) WINDOW w AS (PARTITION BY topic_id ORDER BY normalized_question, id)) WHERE b IS NOT NULL AND identity <> other")(

@@ -104,9 +104,8 @@ per AS (SELECT s.doc_id, count(*) FILTER (n < 'e') AS gold, count(*) FILTER (n >
 def extraction_scoring(spark: SparkSession, d: str) -> DataFrame:
     """Spans found against spans wanted: micro over all, macro over documents. A digest of the id decides which side has a span."""
     n = corpus.nibble("id", 11)
-    first = F.col("source_spans")[0]
-    s = corpus.records(spark, d, "occurrence", "id", "normalized_question", "source_spans").where(F.size("source_spans") > 0)
-    s = s.select("id", first["revision_id"].alias("doc_id"), first["start_char"].alias("start"), first["end_char"].alias("end"), F.col("normalized_question").alias("text"), (n < "e").alias("in_gold"), (n >= "3").alias("found"))
+    s = E.spans_of(corpus.records(spark, d, "occurrence", "id", "normalized_question", "source_spans"))
+    s = s.select(F.struct("id", "position").alias("id"), F.col("span.revision_id").alias("doc_id"), F.col("span.start_char").alias("start"), F.col("span.end_char").alias("end"), F.col("normalized_question").alias("text"), (n < "e").alias("in_gold"), (n >= "3").alias("found"))
     side = s.select("id", "doc_id", "start", "end", "text", "in_gold", "found")
     hits = E.aligned(side.where("in_gold").drop("in_gold", "found"), side.where("found").drop("in_gold", "found")).select(F.col("gold_id").alias("id"), F.lit(1).alias("hit"))
     per = s.join(hits, "id", "left").groupBy("doc_id").agg(F.count(F.when(F.col("in_gold"), 1)).alias("gold"), F.count(F.when(F.col("found"), 1)).alias("predicted"), F.count("hit").alias("tp"))
@@ -283,9 +282,9 @@ _QUOTED = "s AS (SELECT id, raw_question, source_spans[1].quote AS quote FROM (S
 @register("quote_grounding", f"""WITH {_QUOTED} SELECT id, CASE WHEN quote = '' OR n = 0 THEN 'MISSING' WHEN n > 1 THEN 'AMBIGUOUS' ELSE 'FOUND' END AS outcome, CASE WHEN quote <> '' AND n = 1 THEN strpos(raw_question, quote) - 1 END AS start_char
     FROM (SELECT *, CASE WHEN quote = '' THEN 0 ELSE len(string_split(raw_question, quote)) - 1 END AS n FROM s)""")
 def quote_grounding(spark: SparkSession, d: str) -> DataFrame:
-    """Where a span's quote lies in its question; one that occurs twice is ambiguous, one that is not there is missing."""
-    o = corpus.records(spark, d, "occurrence", "id", "raw_question", "source_spans").where(F.size("source_spans") > 0)
-    s = o.select("id", "raw_question", F.col("source_spans")[0]["quote"].alias("quote"))
+    """Where each span's quote lies in its question, a row a span; one that occurs twice is ambiguous, one that is not there is missing."""
+    o = E.spans_of(corpus.records(spark, d, "occurrence", "id", "raw_question", "source_spans"))
+    s = o.select("id", "raw_question", F.col("span.quote").alias("quote"))
     shorter = F.length("raw_question") - F.length(F.replace("raw_question", "quote", F.lit("")))
     n = F.when(F.col("quote") == "", 0).otherwise(F.floor(shorter / F.length("quote")))
     outcome = F.when(n == 0, "MISSING").when(n > 1, "AMBIGUOUS").otherwise("FOUND")

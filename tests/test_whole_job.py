@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -68,3 +70,18 @@ def test_branches_rank_100_and_facets_50(spark, tmp_path):
     stages = {r.stage: r["count"] for r in queries._staged(spark, d).groupBy("stage").count().collect()}
     assert stages["main"] == 100
     assert max(n for s, n in stages.items() if s.startswith("facet")) == 50
+
+
+def test_every_span_is_grounded_scored_and_aligned(spark, tmp_path):
+    span = lambda start, quote: ("r", start, start + 10, quote)
+    rows = [("a", "one two", "text", [span(0, "one"), span(100, "three")]), ("b", "one two", "other", [span(200, "two"), span(200, "two")]), ("c", "x", "none", [])]
+    schema = "id string, raw_question string, normalized_question string, source_spans array<struct<revision_id string, start_char int, end_char int, quote string>>"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/occurrence.parquet")
+    run = lambda name: sorted(tuple(r) for r in catalogue.queries()[name](spark, str(tmp_path)).collect())
+    assert run("quote_grounding") == [("a", "FOUND", 0), ("a", "MISSING", None), ("b", "FOUND", 4)]
+    assert run("span_alignment") == [("a", "a"), ("a", "a"), ("b", "b")]
+    side = {i: hashlib.md5(i.encode()).hexdigest()[10] for i in ("a", "b")}  # noqa: S324
+    n = {"a": 2, "b": 1}
+    gold, found = (sum(n[i] for i in n if ok(side[i])) for ok in (lambda x: x < "e", lambda x: x >= "3"))
+    both = sum(n[i] for i in n if "3" <= side[i] < "e")
+    assert [r[:3] for r in run("extraction_scoring")] == [(both, found - both, gold - both)]
