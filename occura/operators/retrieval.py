@@ -152,33 +152,31 @@ def cosine_top_k(queries: DataFrame, rows: DataFrame, ident: str, vector: str, k
     """(query_id, id, score, rank): the k rows nearest each query, itself left out, ties by id.
 
     Exact. Vectors are packed into blocks; a task multiplies a block of queries by a block of rows and hands on only
-    k candidates a query, so what is shuffled is k per query and block. Vectors that are null, of another length
-    than the first of their block, zero or not finite are left out.
+    k candidates a query, so what is shuffled is k per query and block. Vectors that are null, empty, zero or not finite
+    are left out, before they are packed; a block holds vectors of one length, and only equal lengths are compared.
     """
 
     def packed(df: DataFrame, names: tuple[str, str]) -> DataFrame:
         def run(batches: Iterator) -> Iterator:
             import pyarrow as pa
 
-            ids: list = []
-            vectors: list = []
+            by_length: dict[int, list] = {}
 
-            def block() -> pa.RecordBatch:
-                good = [(i, np.asarray(v, np.float32)) for i, v in zip(ids, vectors, strict=True) if v is not None and len(v) == len(vectors[0] or ())]
-                good = [(i, v) for i, v in good if np.isfinite(v).all() and v.any()]
-                data = np.concatenate([v for _, v in good]).tobytes() if good else b""
+            def block(good: list) -> pa.RecordBatch:
+                data = np.concatenate([v for _, v in good]).tobytes()
                 return pa.RecordBatch.from_arrays([pa.array([[i for i, _ in good]], pa.list_(pa.int64())), pa.array([data], pa.binary())], names=list(names))
 
             for b in batches:
-                ids.extend(b.column(0).to_pylist())
-                vectors.extend(b.column(1).to_pylist())
-                while len(ids) >= BLOCK:
-                    rest = ids[BLOCK:], vectors[BLOCK:]
-                    ids, vectors = ids[:BLOCK], vectors[:BLOCK]
-                    yield block()
-                    ids, vectors = rest
-            if ids:
-                yield block()
+                for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    v = np.asarray(() if x is None else x, np.float32)
+                    if not np.isfinite(v).all() or not v.any():
+                        continue
+                    good = by_length.setdefault(len(v), [])
+                    good.append((i, v))
+                    if len(good) == BLOCK:
+                        yield block(by_length.pop(len(v)))
+            for good in by_length.values():
+                yield block(good)
 
         return df.select(F.col(ident).cast("long"), vector).mapInArrow(run, f"{names[0]} array<long>, {names[1]} binary")
 

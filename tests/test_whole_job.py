@@ -85,3 +85,10 @@ def test_every_span_is_grounded_scored_and_aligned(spark, tmp_path):
     gold, found = (sum(n[i] for i in n if ok(side[i])) for ok in (lambda x: x < "e", lambda x: x >= "3"))
     both = sum(n[i] for i in n if "3" <= side[i] < "e")
     assert [r[:3] for r in run("extraction_scoring")] == [(both, found - both, gold - both)]
+
+
+def test_a_bad_vector_at_the_head_of_a_block_costs_no_neighbour(spark):
+    for bad in (None, [], [1.0], [0.0, 0.0]):
+        rows = spark.createDataFrame([(0, bad), (1, [1.0, 0.0]), (2, [2.0, 0.1]), (3, [1.0])], "id long, v array<float>").coalesce(1)
+        got = R.cosine_top_k(rows.where("id < 2"), rows, "id", "v", 3).where("query_id = 1").collect()
+        assert [r.id for r in got] == [2], bad
