@@ -20,6 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from occura.functions.text import normal_hash  # noqa: F401, part of this module's interface
 from occura.llm.common import bigram_hashes, jaccard_bigrams, materialize
 
 BANDS, ROWS, SEED = 40, 5, 20240117
@@ -29,13 +30,6 @@ STORED_CLASSES = "kind string, class_hash long, class_key string, signature bina
 CLASS_COLUMNS = ("kind", "class_hash", "class_key", "signature", "first_batch", "first_id")
 
 
-def normal_hash(column: str) -> F.Column:
-    """A file hash as 64 lower-case hex digits, however it was spelled; null if it is not one."""
-    digits = F.regexp_replace(F.regexp_replace(F.lower(F.col(column)), r"(?U)^\s*(sha-?256|0x)[:=\s-]*", ""), r"(?U)[\s:_-]+", "")
-    digits = F.regexp_replace(digits, "^0x", "")
-    return F.when(digits.rlike("^[0-9a-f]{64}$"), digits)
-
-
 def _functions() -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(SEED)
     return rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1), rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)

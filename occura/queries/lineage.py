@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from occura import corpus
 from occura.corpus import ACTIVE_SQL
+from occura.functions.text import normal_hash
 from occura.operators import lineage as L
 from occura.operators.retrieval import cosine_top_k
 from occura.registry import Registry
@@ -95,9 +96,10 @@ def _digests(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+# The same 64 digits however spelled; what is no hash counts as written. The SQL only lowers the case.
 register("files_under_several_documents", "SELECT lower(raw_file_hash) AS file_hash, count(DISTINCT source_document_id) AS documents, min(id) AS first_revision FROM source_revision WHERE raw_file_hash IS NOT NULL GROUP BY 1 HAVING count(DISTINCT source_document_id) > 1")(
     lambda spark, d: corpus.scan(spark, d, "source_revision", "id", "source_document_id", "raw_file_hash").where("raw_file_hash IS NOT NULL")
-    .groupBy(F.lower("raw_file_hash").alias("file_hash")).agg(F.countDistinct("source_document_id").alias("documents"), F.min("id").alias("first_revision")).where("documents > 1")
+    .groupBy(F.coalesce(normal_hash("raw_file_hash"), F.lower("raw_file_hash")).alias("file_hash")).agg(F.countDistinct("source_document_id").alias("documents"), F.min("id").alias("first_revision")).where("documents > 1")
 )
 register("quality_repeated_rows", " UNION ALL ".join(f"SELECT '{t}' AS table_name, id, count(*) AS records FROM {t} GROUP BY id HAVING count(*) > 1" for t in ("interview", "canonical", "occurrence", "source_revision")))(lambda spark, d: _repeated(spark, d))
 

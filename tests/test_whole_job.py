@@ -92,3 +92,11 @@ def test_a_bad_vector_at_the_head_of_a_block_costs_no_neighbour(spark):
         rows = spark.createDataFrame([(0, bad), (1, [1.0, 0.0]), (2, [2.0, 0.1]), (3, [1.0])], "id long, v array<float>").coalesce(1)
         got = R.cosine_top_k(rows.where("id < 2"), rows, "id", "v", 3).where("query_id = 1").collect()
         assert [r.id for r in got] == [2], bad
+
+
+def test_files_are_the_same_however_the_hash_is_spelled(spark, tmp_path):
+    a, b = "ab" * 32, "cd" * 32
+    rows = [("r1", "s1", a), ("r2", "s2", f"SHA256: {a.upper()}"), ("r3", "s3", f"0x{b}"), ("r4", "s3", b), ("r5", "s4", "Lost"), ("r6", "s5", "lost"), ("r7", "s6", None)]
+    spark.createDataFrame(rows, "id string, source_document_id string, raw_file_hash string").write.parquet(f"{tmp_path}/source_revision.parquet")
+    got = {tuple(r) for r in catalogue.queries()["files_under_several_documents"](spark, str(tmp_path)).collect()}
+    assert got == {(a, 2, "r1"), ("lost", 2, "r5")}
