@@ -1,10 +1,11 @@
-"""Checking new batches for repeats of anything accepted before, without reading the history again.
+"""Checking new batches for repeats of anything accepted before, without working out its keys again.
 
 The history is a store in the shared folder. For every distinct text (class) it keeps once
   * ``classes``: the text, its minwise signature (one byte for each of ``BANDS * ROWS`` functions), and the
     first arrival (lowest batch, then lowest id), partitioned by a hash of the text;
   * ``bands``: one row per band key (a hash of ``ROWS`` minwise values), partitioned by a hash of the key.
-A batch computes its own keys, reads only the partitions that they fall in, verifies what meets there on the
+A batch computes its own keys, reads the partitions of ``bands`` that they fall in (with ``BUCKETS`` partitions any real
+batch touches all) and all of ``classes``, verifies what meets there on the
 signatures and then exactly, and afterwards appends the keys of its new texts. Exact copies of a text in the
 history meet through its class and add nothing, however many there are.
 
