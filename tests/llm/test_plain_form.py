@@ -7,6 +7,7 @@ from occura.llm import plainform
 CASES = {
     "ＱＰＳ１２": "QPS12", "（１）": "（1）", "⼀种⽤法": "一种用法", "不同": "不同", "P​9\xad9": "P99", "a　b\xa0c d": "a b c d", "école": "école",
     "Sраrk": "Spark", "QΡЅ": "QPS", "Вертолин公司": "Вертолин公司", "α-β 剪枝": "α-β 剪枝", "Θ(n²)": "Θ(n²)", "x\ty ": "x\ty ", "": "", "Kе́val": "Kéval", "нейронnet": "нейронnet", "ﾃｽﾄ": "テスト", "！？，": "！？，",
+    "ｶﾞｰﾄﾞﾊﾟ": "ガードパ", "ﾞ": "゛", "𝐆𝐨𝟏": "Go1", "ﬁne": "fine", "Gооɡle": "Google", "ԍo": "Go", "հello": "hello", "Հայաստան": "Հայաստան", "第Ⅳ章①": "第Ⅳ章①", "μs λx Δt": "μs λx Δt", "ɡɑ": "ɡɑ", "か\u3099": "が",
 }
 
 
