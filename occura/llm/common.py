@@ -20,9 +20,11 @@ def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFram
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors see: ``spark.checkpoint.dir``, or a temporary one where that is unset (tests)."""
+    """Folder that all executors see: ``spark.checkpoint.dir``; a local session without one gets a temporary folder."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
         configured = tempfile.mkdtemp(prefix="occura-shared-")
         spark.sparkContext.setCheckpointDir(configured)
     return configured
@@ -40,10 +42,46 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/occura-{name}-{uuid.uuid4().hex}"
 
 
-def small_rows(df: DataFrame, limit: int = SMALL_ROWS) -> list | None:
-    """The rows of a reference table, or None if it has more than ``limit`` (then callers join instead)."""
-    rows = df.limit(limit + 1).collect()
-    return rows if len(rows) <= limit else None
+def write_table(df: DataFrame, path: str, *partition: str) -> DataFrame:
+    """Compute ``df`` once into a table at ``path`` and read it from there; readers fetch only the columns they name."""
+    df.write.partitionBy(*partition).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Files:
+    """The few things asked of the shared file system itself: list, read, write and remove small files."""
+
+    def __init__(self, spark: SparkSession):
+        self.jvm, self.conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def _at(self, path: str):
+        where = self.jvm.org.apache.hadoop.fs.Path(path)
+        return where, where.getFileSystem(self.conf)
+
+    def names(self, path: str) -> list[str]:
+        where, fs = self._at(path)
+        return sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []
+
+    def numbers(self, path: str, prefix: str) -> list[int]:
+        return [int(n.removeprefix(prefix)) for n in self.names(path) if n.startswith(prefix)]
+
+    def write(self, path: str, text: str) -> None:
+        where, fs = self._at(path)
+        out = fs.create(where, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+
+    def text(self, path: str) -> str:
+        where, fs = self._at(path)
+        source = fs.open(where)
+        try:
+            return bytes(source.readAllBytes()).decode()
+        finally:
+            source.close()
+
+    def remove(self, path: str) -> None:
+        where, fs = self._at(path)
+        fs.delete(where, True)
 
 
 def broadcast_small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
@@ -90,6 +128,22 @@ def bigram_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return owner, h, distinct
 
 
+def exact_similarities(xs: list[str], ys: list[str]) -> np.ndarray:
+    """Exact similarity of every pair (x, y) over two-character pieces; -1 where neither has a piece."""
+    pieces: dict[str, set] = {}
+    out = np.empty(len(xs))
+    for i, (x, y) in enumerate(zip(xs, ys, strict=True)):
+        if len(pieces) > 2_000:  # the sets kept for texts that come again are bounded
+            pieces.clear()
+        for t in (x, y):
+            if t not in pieces:
+                pieces[t] = {t[j : j + 2] for j in range(len(t) - 1)}
+        a, b = pieces[x], pieces[y]
+        both = len(a & b)
+        out[i] = both / ((len(a) + len(b) - both) or -1) if a or b else -1.0
+    return out
+
+
 def jaccard_bigrams(a: str, b: str) -> float | None:
     """Exact similarity of two key texts over two-character pieces; None if neither has a piece."""
     x = {a[i : i + 2] for i in range(len(a) - 1)}

@@ -113,17 +113,70 @@ def test_history_batch_by_batch(spark, tmp_path):
     assert got == want
 
 
-def test_history_keeps_between_sessions_and_copies_add_nothing(spark, tmp_path):
-    schema = "kind string, id string, batch_no int, key string, exact boolean"
+ARRIVALS = "kind string, id string, batch_no int, key string, exact boolean"
+
+
+def test_history_opened_again_and_copies_add_nothing(spark, tmp_path):
     path = str(tmp_path / "store")
     h = history.History(spark, path, 0.7)
-    assert h.arrive(spark.createDataFrame([("t", f"a{i:03}", 1, "how do you scale a queue", False) for i in range(50)], schema)).count() == 0
-    assert spark.read.parquet(f"{path}/classes").count() == 1
-    again = history.History(spark, path, 0.7)
-    again.written = {"classes", "bands"}  # a later run over the same folder
-    got = again.arrive(spark.createDataFrame([("t", "b1", 2, "how do you scale a queue", False), ("t", "b2", 2, "how do you scale the queue", False), ("u", "b3", 2, "how do you scale a queue", False)], schema))
+    assert h.arrive(spark.createDataFrame([("t", f"a{i:03}", 1, "how do you scale a queue", False) for i in range(50)], ARRIVALS)).count() == 0
+    assert h.stored("classes").count() == 1
+    h.close()
+    again = history.History(spark, path, 0.7)  # knows nothing but the folder
+    got = again.arrive(spark.createDataFrame([("t", "b1", 2, "how do you scale a queue", False), ("t", "b2", 2, "how do you scale the queue", False), ("u", "b3", 2, "how do you scale a queue", False)], ARRIVALS))
     assert {r.id: r.match_id for r in got.collect()} == {"b1": "a000", "b2": "a000"}
-    assert again.arrive(spark.createDataFrame([], schema)).count() == 0
+    assert again.arrive(spark.createDataFrame([], ARRIVALS)).count() == 0
+    again.close(remove=True)
+    assert not (tmp_path / "store").exists()
+
+
+def test_history_retries(spark, tmp_path):
+    """A batch accepted twice, or interrupted before its marker, leaves its rows once."""
+    path = str(tmp_path / "store")
+    one = spark.createDataFrame([("t", "a", 1, "how do you scale a queue", False)], ARRIVALS)
+    two = spark.createDataFrame([("t", "b", 2, "how do you scale the queue", False)], ARRIVALS)
+    h = history.History(spark, path, 0.7)
+    h.arrive(one, 1)
+    h.arrive(two, 2)
+    assert [r.match_id for r in h.arrive(two, 2).collect()] == ["a"]
+    assert h.stored("classes").count() == 2
+    h.close()
+    h.files.remove(f"{path}/accepted/2")  # as if the second batch had been cut off
+    h = history.History(spark, path, 0.7)
+    assert h.stored("classes").count() == 1
+    assert [r.match_id for r in h.arrive(two, 2).collect()] == ["a"]
+    assert (h.stored("classes").count(), h.stored("bands").count()) == (2, 2 * history.BANDS)
+    h.close()
+
+
+def test_history_grows_its_buckets(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(history, "BUCKET_ROWS", {"bands": 300, "classes": 20})
+    rows = corpus(260, 3)
+    h = history.History(spark, str(tmp_path / "store"), 0.7)
+    for n, (lo, hi) in enumerate(((0, 10), (10, 120), (120, 260))):
+        got = h.arrive(spark.createDataFrame([("t", i, n, k, False) for i, k in rows[lo:hi]], ARRIVALS), n).count()
+    assert h.layout["generation"] > 1 and h.layout["bands"] > 8 and got > 0
+    assert h.stored("classes").count() == len({k for _, k in rows})
+    h.close()
+
+
+def test_small_batch_reads_little_of_the_store(spark, tmp_path):
+    """A few texts name their keys: the scan hands on a part of the stored rows only, before any other filter."""
+    rng = random.Random(4)
+    rows = [("t", f"{i:06}", 1, "".join(chr(rng.randint(0x4E00, 0x9FA0)) for _ in range(20)), False) for i in range(20_000)]
+    h = history.History(spark, str(tmp_path / "store"), 0.7)
+    h.arrive(spark.createDataFrame(rows, ARRIVALS))
+    keys = history.band_keys(history.minwise([r[3] for r in rows[:3]])[0]).ravel().tolist()
+    few = h.stored("bands", keys)
+    assert few.count() >= len(keys)
+    plan = few._jdf.queryExecution().executedPlan()
+    plan.executeCollect()
+    leaf = plan.collectLeaves().head()
+    read = leaf.metrics().apply("numOutputRows").value()
+    assert len(keys) <= read < 0.4 * 20_000 * history.BANDS
+    got = h.arrive(spark.createDataFrame([("t", f"n{i}", 2, rows[i][3][:-1], False) for i in range(10)], ARRIVALS))
+    assert {r.id: r.match_id for r in got.collect()} == {f"n{i}": rows[i][1] for i in range(10)}
+    h.close()
 
 
 def test_hash_spellings(spark):
