@@ -1,19 +1,20 @@
 """Near-duplicate texts by a distributed prefix-tree join (exact, any Jaccard threshold).
 
-Every text is the set of its two-character pieces, written in one global order, rare pieces first. A set is
-stored in a prefix tree under each of its leading pieces; a tree node is a path of shared pieces, so all texts
-below it share one partial overlap (the depth). A text enters a node only while the pieces it skipped still
-allow the threshold, and a pair is dropped as soon as depth plus the shorter remaining length can no longer
-reach the overlap that the two sizes demand. Nodes with many members are split by their next shared piece.
+Every text is the set of its two-character pieces, written in one global order, rare pieces first. The tree's nodes
+are paths of shared pieces: all texts below a node share that partial overlap (its depth). A text enters a child only
+while the pieces that it skipped on the way still allow the threshold, and a pair is dropped as soon as depth plus the
+shorter remaining length can no longer reach the overlap that the two sizes demand.
 
 Stages, all distributed:
   1. texts with the same key text form a class (``min`` id); only classes are joined;
   2. pieces are counted in a table of 2**18 slots, which is all that the driver sees (about 1 MB); the order
      of the slots by count is the global order (any total order keeps the join exact);
-  3. each class is sent to the tree nodes of its prefix; a node with very many members is cut into blocks of
-     bounded size, one task row per pair of blocks, so no task and no node grows with the data;
-  4. inside a node pairs are pruned by remaining length, then by the bit difference of two small bitmaps (a
-     lower bound of the set difference), both in numpy over whole partitions;
+  3. each class is sent to the first-level nodes of its prefix with the pieces that follow within its reach; a node
+     with very many members is cut into blocks of bounded size, one task row per pair of blocks, so no task and no
+     node grows with the data;
+  4. every first-level node is split by the next shared piece, whatever its size, and nodes further down while that
+     lessens the comparisons; below, pairs are pruned by remaining length and by the bit difference of two small
+     bitmaps (a lower bound of the set difference), both in numpy over whole partitions;
   5. surviving pairs are verified on the exact pieces of the texts.
 No candidate is capped or sampled. Texts with fewer than two letters have no pieces and match nothing.
 """
@@ -22,22 +23,31 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from occura.llm.common import bigram_hashes, jaccard_bigrams, materialize, partitions_for
+from occura.llm.common import Files, bigram_hashes, exact_similarities, materialize, partitions_for, scratch_path, write_table
 
 SLOT_BITS = 18
-#: Members of one tree node that are compared with each other in one task; beyond it the node is cut in blocks.
-BLOCK = 20_000
-#: Nodes above this size are split by the next shared piece when that lessens the comparisons.
-SPLIT = 512
-#: Pieces after the node's own that travel with a member, for splitting.
-AHEAD = 10
-#: Pairs handled at once in memory.
-CHUNK = 400_000
+
+
+@dataclass(frozen=True)
+class Limits:
+    """What bounds the work in memory; none of it changes the result.
+
+    ``block``: members of one first-level node that are compared with each other in one task. ``levels``: deepest
+    level of the tree. ``worth``: a node below the second level is opened if that leaves less than this share of its
+    comparisons (an entry costs as much as ``entry`` comparisons). ``chunk``: pairs or entries handled at once.
+    """
+
+    block: int = 20_000
+    levels: int = 4
+    worth: float = 0.7
+    entry: float = 5.0
+    chunk: int = 1_000_000
 
 
 def classes_of(df: DataFrame, id_column: str, key_column: str) -> DataFrame:
@@ -72,123 +82,212 @@ class _Prefixes:
     def __init__(self, texts: list[str], rank: np.ndarray, threshold: float):
         owner, h, distinct = bigram_hashes(texts)
         shift = np.uint32(32 - SLOT_BITS)
-        code = (rank[h >> shift].astype(np.uint64) << np.uint64(int(shift))) | (h & np.uint32((1 << int(shift)) - 1))
-        packed = np.unique((owner.astype(np.uint64) << np.uint64(32)) | code)  # sorts within the owner, drops clashes
+        code = (rank[h >> shift] << shift) | (h & np.uint32((1 << int(shift)) - 1))
+        packed = (owner.astype(np.uint64) << np.uint64(32)) | code
+        packed.sort()
+        packed = packed[np.r_[True, packed[1:] != packed[:-1]]] if len(packed) else packed  # pieces whose hashes clash count once
         self.owner = (packed >> np.uint64(32)).astype(np.int64)
-        self.code = (packed & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        self.code = packed.astype(np.uint32)
         self.size = distinct
-        starts = np.zeros(len(texts) + 1, np.int64)
-        starts[1:] = np.cumsum(np.bincount(self.owner, minlength=len(texts)))
-        self.end = starts[1:]
-        self.pos = np.arange(len(self.code)) - starts[self.owner]
+        counts = np.bincount(self.owner, minlength=len(texts))
+        self.end = np.cumsum(counts)
+        self.start = self.end - counts
         least = np.ceil(threshold * self.size - 1e-9).astype(np.int64)
         self.skips = np.maximum(self.size - least, 0)
-        self.at = np.flatnonzero(self.pos <= self.skips[self.owner])
 
     def bitmaps(self, words: int) -> np.ndarray:
-        bits = np.zeros((len(self.size), words), np.uint64)
+        bits = np.zeros(len(self.size) * words, np.uint64)
         mixed = ((self.code.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(33)) % np.uint64(words * 64)
-        np.bitwise_or.at(bits, (self.owner, (mixed >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (mixed & np.uint64(63)))
-        return bits.view(np.int64)
-
-
-def _reach(size: np.ndarray, rest: np.ndarray, depth: int, threshold: float) -> np.ndarray:
-    """Largest size of a partner with which ``depth`` shared pieces and ``rest`` pieces to come can do."""
-    share = threshold / (1 + threshold)
-    return np.floor((depth + rest) / share + 1e-9).astype(np.int64) - size
-
-
-def _node_pairs(node: np.ndarray, size: np.ndarray, reach: np.ndarray, block: np.ndarray, diagonal: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows within each node whose sizes and remaining lengths allow the threshold; rows sorted by (node, size)."""
-    n = len(node)
-    if n < 2:
-        return
-    starts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
-    group = np.cumsum(np.r_[False, node[1:] != node[:-1]])
-    # Sizes ascend within a node: one search over (group, size) finds how far each row reaches.
-    span = int(max(size.max(), 1)) + 1
-    place = group * span + size
-    ends = np.searchsorted(place, group * span + np.minimum(reach, span - 1), side="right")
-    ends = np.minimum(ends, np.r_[starts[1:], n][group])
-    counts = np.maximum(ends - np.arange(n) - 1, 0)
-    total = np.cumsum(counts)
-    done = 0
-    while done < n:
-        upto = int(np.searchsorted(total, (total[done - 1] if done else 0) + CHUNK, side="right"))
-        upto = min(max(upto, done + 1), n)
-        c = counts[done:upto]
-        if c.sum():
-            left = np.repeat(np.arange(done, upto), c)
-            right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(c) - c, c)
-            ok = (reach[right] >= size[left]) & (diagonal[left] | (block[left] != block[right]))
-            ok &= size[left] >= threshold * size[right] - 1e-9
-            if ok.any():
-                yield left[ok], right[ok]
-        done = upto
-
-
-def _split(rows: dict[str, np.ndarray], depth: int, threshold: float) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """Which rows stay in their node, and the child rows of the nodes that are worth splitting."""
-    node = rows["node"]
-    keep = np.ones(len(node), bool)
-    if len(node) < SPLIT or depth > AHEAD:
-        return keep, {}
-    _, group, sizes = np.unique(node, return_inverse=True, return_counts=True)
-    window = rows["skips"] + depth - rows["pos"]  # pieces after this one in which the next shared one must lie
-    missing = np.bincount(group, weights=(window > rows["ahead"].shape[1] - rows["used"]) & (rows["used"] + window > 0), minlength=len(sizes)) > 0
-    # A member that may already match at this depth needs no further shared piece, so its node stays whole.
-    missing |= np.bincount(group, weights=rows["size"] - rows["skips"] <= depth, minlength=len(sizes)) > 0
-    big = (sizes >= SPLIT) & ~missing
-    chosen = np.flatnonzero(big[group])
-    if not len(chosen):
-        return keep, {}
-    w = np.maximum(window[chosen], 0)
-    parent = np.repeat(chosen, w)
-    step = np.arange(len(parent)) - np.repeat(np.cumsum(w) - w, w) + 1
-    nxt = rows["ahead"][parent, rows["used"][parent] + step - 1]
-    there = nxt >= 0
-    parent, step, nxt = parent[there], step[there], nxt[there]
-    child_key = (node[parent] * np.int64(0x9E3779B97F4A7C1) ^ (nxt + 1) * np.int64(0x2545F4914F6CDD1D))
-    pair = np.stack([group[parent], child_key], 1)
-    uniq, inv, n_child = np.unique(pair, axis=0, return_inverse=True, return_counts=True)
-    cost = np.bincount(uniq[:, 0], weights=n_child.astype(float) ** 2, minlength=len(sizes)) + 40.0 * np.bincount(group[parent], minlength=len(sizes))
-    better = big & (cost < 0.7 * sizes.astype(float) ** 2)
-    keep[better[group]] = False
-    use = better[group[parent]] & (n_child[inv.ravel()] > 1)
-    parent, step, child_key = parent[use], step[use], child_key[use]
-    child = {k: v[parent] for k, v in rows.items() if k not in ("node", "pos", "used")}
-    child |= {"node": child_key, "pos": rows["pos"][parent] + step, "used": rows["used"][parent] + step}
-    return keep, child
-
-
-def _join_partition(rows: dict[str, np.ndarray], threshold: float) -> np.ndarray:
-    """Distinct pairs (hash, hash) of one partition's nodes that pass the length and bitmap bounds."""
-    found, depth = [], 1
-    while len(rows.get("node", ())) > 1:
-        keep, child = _split(rows, depth, threshold)
-        here = {k: v[keep] for k, v in rows.items()}
-        order = np.lexsort((here["size"], here["node"]))
-        here = {k: v[order] for k, v in here.items()}
-        bits = here["bits"].view(np.uint64)
-        size, h = here["size"], here["hash"]
-        reach = _reach(size, size - here["pos"] - 1, depth, threshold)
-        for left, right in _node_pairs(here["node"], size, reach, here["block"], here["diagonal"], threshold):
+        np.bitwise_or.at(bits, self.owner * words + (mixed >> np.uint64(6)).astype(np.int64), np.uint64(1) << (mixed & np.uint64(63)))
+        return bits.reshape(-1, words)
+
+
+def _runs(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For runs of these lengths laid end to end: the run of each place, and its place within the run."""
+    run = np.repeat(np.arange(len(lengths)), lengths)
+    return run, np.arange(len(run)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+
+
+class _Tree:
+    """The nodes of one partition. Members are first-level entries; ``ahead`` holds the pieces that follow each.
+
+    An entry of the frontier is (node, member, used): the member stands in the node with its ``used``-th piece ahead
+    as the last shared one (0: the first-level piece itself). Pieces passed over on the way count as skipped.
+    """
+
+    def __init__(self, members: dict[str, np.ndarray], threshold: float, limits: Limits):
+        self.m, self.t, self.limits = members, threshold, limits
+        self.share = threshold / (1 + threshold)
+        self.opened = [0] * (limits.levels + 1)  # nodes opened per level, for tests
+        self.found: list[np.ndarray] = []
+
+    def pairs(self) -> np.ndarray:
+        """Distinct pairs (hash, hash) that pass the length and bitmap bounds."""
+        m, chunk = self.m, self.limits.chunk
+        _, names = np.unique(m["hash"], return_inverse=True)
+        self.names = names.astype(np.int64)
+        order = np.argsort(m["node"], kind="stable")
+        node = m["node"][order]
+        starts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]]) if len(node) else np.empty(0, np.int64)
+        sizes = np.diff(np.r_[starts, len(node)])
+        many = np.flatnonzero(sizes > 1)
+        # Whole nodes are taken together until their entries fill a chunk.
+        weight = np.cumsum(np.add.reduceat(m["window"][order] + 1, starts)[many]) if len(many) else np.empty(0, np.int64)
+        for part in np.split(many, np.searchsorted(weight, np.arange(chunk, weight[-1], chunk), side="right")) if len(many) else ():
+            if len(part):
+                run, place = _runs(sizes[part])
+                entry = order[starts[part][run] + place]
+                self._open(run, entry, np.zeros(len(entry), np.int64), 1)
+        if not self.found:
+            return np.empty((0, 2), np.int64)
+        both = np.unique(np.concatenate(self.found))
+        by_name = np.empty(int(self.names.max()) + 1, np.int64)
+        by_name[self.names] = m["hash"]
+        a, b = by_name[both >> 32], by_name[both & 0xFFFFFFFF]
+        return np.stack([np.minimum(a, b), np.maximum(a, b)], 1)
+
+    def _open(self, node: np.ndarray, entry: np.ndarray, used: np.ndarray, depth: int) -> None:
+        """Splits nodes by their next shared piece; the children are opened in turn or compared."""
+        m = self.m
+        self.opened[depth] += len(np.unique(node))
+        # The next shared piece lies within the skips that are left: skips + depth - (pieces passed so far).
+        # A member may already have all it needs: then the pair is due here.
+        due = m["size"][entry] - m["skips"][entry] <= depth
+        if due.any():
+            held = np.isin(node, node[due])
+            self._compare(node[held], entry[held], used[held], depth)
+        window = np.clip(m["skips"][entry] + depth - m["pos"][entry] - used, 0, m["window"][entry] - used)
+        parent, step = _runs(window)
+        if not len(parent):
+            return
+        deeper = used[parent] + step + 1
+        piece = m["ahead"][m["at"][entry[parent]] + deeper - 1].astype(np.uint64)
+        key = (node[parent].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (piece * np.uint64(0xC2B2AE3D27D4EB4F))
+        key ^= key >> np.uint64(29)
+        # Child (32 bits of its hash; a clash only adds comparisons) and place in one number: one sort groups children.
+        packed = ((key * np.uint64(0xBF58476D1CE4E5B9)) & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(key), dtype=np.uint64)
+        packed.sort()
+        child, place = packed >> np.uint64(32), (packed & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        edge = child[1:] != child[:-1]
+        group = np.concatenate(([0], np.cumsum(edge)))
+        sizes = np.bincount(group)
+        held = sizes[group] > 1
+        group, place = group[held], place[held]
+        entry, used = entry[parent[place]], deeper[place]
+        if depth + 1 < self.limits.levels:
+            self._lessen(group, entry, used, depth + 1)
+        else:
+            self._compare(group, entry, used, depth + 1)
+
+    def _lessen(self, node: np.ndarray, entry: np.ndarray, used: np.ndarray, depth: int) -> None:
+        """Opens the nodes where that pays, and compares the members of the others."""
+        if not len(node):
+            return
+        m = self.m
+        sizes = np.bincount(node)
+        window = np.clip(m["skips"][entry] + depth - m["pos"][entry] - used, 0, m["window"][entry] - used)
+        cost = np.bincount(node, weights=window) * self.limits.entry
+        big = cost < self.limits.worth * sizes * (sizes - 1.0) / 4
+        opens = big[node]
+        self._compare(node[~opens], entry[~opens], used[~opens], depth)
+        if opens.any():
+            # What opening leaves is known only when tried; members that share all they have gain nothing from it.
+            again = self._children(node[opens], entry[opens], used[opens], window[opens], len(sizes))
+            good = (big & (again + cost < self.limits.worth * sizes * (sizes - 1.0) / 2))[node]
+            kept = opens & ~good
+            self._compare(node[kept], entry[kept], used[kept], depth)
+            if good.any():
+                self._open(node[good], entry[good], used[good], depth)
+
+    def _children(self, node: np.ndarray, entry: np.ndarray, used: np.ndarray, window: np.ndarray, nodes: int) -> np.ndarray:
+        """Pairs within the children of each node."""
+        parent, step = _runs(window)
+        piece = self.m["ahead"][self.m["at"][entry[parent]] + used[parent] + step].astype(np.int64)
+        child, n = np.unique((node[parent] << 32) | piece, return_counts=True)
+        return np.bincount(child >> 32, weights=n * (n - 1.0) / 2, minlength=nodes)
+
+    def _compare(self, node: np.ndarray, entry: np.ndarray, used: np.ndarray, depth: int) -> None:
+        """Pairs within each node whose sizes and remaining lengths allow the threshold, then by their bitmaps."""
+        m, n = self.m, len(node)
+        if n < 2:
+            return
+        size = m["size"][entry]
+        order = np.argsort(node * (int(size.max()) + 1) + size, kind="stable")
+        node, entry, size = node[order], entry[order], size[order]
+        rest = size - m["pos"][entry] - used[order] - 1
+        reach = np.floor((depth + rest) / self.share + 1e-9).astype(np.int64) - size
+        # Sizes ascend within a node: one search over (node, size) finds how far each row reaches.
+        span = int(size.max()) + 1
+        ends = np.searchsorted(node * span + size, node * span + np.minimum(reach, span - 1), side="right")
+        counts = np.maximum(ends - np.arange(n) - 1, 0)
+        total = np.cumsum(counts)
+        block, diagonal, bits, names = m["block"][entry], m["diagonal"][entry], m["bits"][entry], self.names[entry]
+        done = 0
+        while done < n:
+            upto = min(max(int(np.searchsorted(total, (total[done - 1] if done else 0) + self.limits.chunk, side="right")), done + 1), n)
+            run, place = _runs(counts[done:upto])
+            left = run + done
+            right = left + 1 + place
+            done = upto
             both = size[left] + size[right]
-            most = both - 2 * np.ceil(threshold / (1 + threshold) * both - 1e-9).astype(np.int64)
-            apart = np.bitwise_count(bits[left, 0] ^ bits[right, 0]).astype(np.int64)
-            for w in range(1, bits.shape[1]):
-                near = apart <= most
-                left, right, most, apart = left[near], right[near], most[near], apart[near]
-                apart = apart + np.bitwise_count(bits[left, w] ^ bits[right, w])
-            near = (apart <= most) & (h[left] != h[right])
-            if near.any():
-                a, b = h[left[near]], h[right[near]]
-                found.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0))
-        rows, depth = child, depth + 1
-    return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
-
-
-def similar_classes(classes: DataFrame, threshold: float) -> DataFrame:
+            most = both - 2 * np.ceil(self.share * both - 1e-9).astype(np.int64)
+            near = np.flatnonzero((np.bitwise_count(bits[left, 0] ^ bits[right, 0]) <= most) & (reach[right] >= size[left]))
+            left, right, most = left[near], right[near], most[near]
+            apart = np.bitwise_count(bits[left] ^ bits[right]).sum(1)
+            ok = (apart <= most) & (diagonal[left] | (block[left] != block[right])) & (names[left] != names[right])
+            if ok.any():
+                a, b = names[left[ok]], names[right[ok]]
+                self.found.append(np.unique((np.minimum(a, b) << 32) | np.maximum(a, b)))
+
+
+MEMBER = "node long, hash long, size int, pos int, skips int, block int, diagonal boolean, bits binary, ahead array<int>"
+
+
+def _flat_lists(column) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and values of a list column."""
+    return column.offsets.to_numpy().astype(np.int64), column.values.to_numpy(zero_copy_only=False)
+
+
+def tree_of(table, threshold: float, limits: Limits) -> _Tree:
+    """The tree of an Arrow table of members."""
+    table = table.combine_chunks()
+    one = {k: table.column(k).chunk(0) for k in table.schema.names}
+    plain = {k: one[k].to_numpy(zero_copy_only=False).astype(np.int64) for k in ("node", "hash", "size", "pos", "skips", "block")}
+    offsets, ahead = _flat_lists(one["ahead"])
+    lengths = np.diff(np.frombuffer(one["bits"].buffers()[1], np.int32)[: len(one["bits"]) + 1])
+    words = int(lengths[0]) // 8
+    bits = np.frombuffer(one["bits"].buffers()[2], np.uint64)[: len(lengths) * words].reshape(-1, words)
+    return _Tree(plain | {"diagonal": one["diagonal"].to_numpy(zero_copy_only=False).astype(bool), "bits": bits, "at": offsets[:-1], "window": np.diff(offsets), "ahead": ahead.view(np.uint32)}, threshold, limits)
+
+
+def members_of(batch, blocks: np.ndarray):
+    """Members of the first-level nodes from rows (hash, size, skips, bits, prefix); ``blocks`` counts those of a slot.
+
+    A slot with at most one member counts 0 blocks: nothing can match there.
+    """
+    import pyarrow as pa
+
+    offsets, prefix = _flat_lists(batch.column("prefix"))
+    prefix = prefix.view(np.uint32)
+    names, size, skips = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("hash", "size", "skips"))
+    owner, pos = _runs(np.minimum(np.diff(offsets), skips + 1))
+    code = prefix[offsets[owner] + pos]
+    n_blocks = blocks[code >> (32 - SLOT_BITS)].astype(np.int64)
+    row, other = _runs(n_blocks)
+    if not len(row):
+        return None
+    owner, pos, code = owner[row], pos[row], code[row].astype(np.int64)
+    own = (names[owner] & 0x7FFFFFFF) % n_blocks[row]
+    low, high = np.minimum(own, other), np.maximum(own, other)
+    ahead = np.diff(offsets)[owner] - pos - 1
+    run, step = _runs(ahead)
+    window = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(ahead))).astype(np.int32)), pa.array(prefix[(offsets[owner] + pos)[run] + 1 + step].view(np.int32)))
+    small = lambda a: pa.array(a.astype(np.int32))
+    arrays = [pa.array((code << 30) ^ (low << 15) ^ high), pa.array(names[owner]), small(size[owner]), small(pos), small(skips[owner]), small(own), pa.array(low == high), batch.column("bits").take(pa.array(owner)), window]
+    return pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in MEMBER.split(", ")])
+
+
+def similar_classes(classes: DataFrame, threshold: float, limits: Limits = Limits()) -> DataFrame:  # noqa: B008
     """Pairs (key_a, key_b, similarity) of different class keys at or above ``threshold``.
 
     ``classes`` has one row per (class_key, class_hash). The hash only names a text in transit: what it finds is
@@ -207,71 +306,47 @@ def similar_classes(classes: DataFrame, threshold: float) -> DataFrame:
     words = int(np.clip(math.ceil(2 * pieces / max(docs, 1) / 64), 2, 16))
     shared_rank = spark.sparkContext.broadcast(rank)  # 1 MB, whatever the data
 
-    def member_counts(batches: Iterator) -> Iterator:
+    def prefixes(batches: Iterator) -> Iterator:
+        """(hash, size, skips, bits, prefix): the pieces of each text as far as the tree's levels may look."""
         import pyarrow as pa
 
-        total = np.zeros(1 << SLOT_BITS, np.int64)
         for b in batches:
             p = _Prefixes(b.column(0).to_pylist(), shared_rank.value, threshold)
-            total += np.bincount(p.code[p.at] >> (32 - SLOT_BITS), minlength=1 << SLOT_BITS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["slot", "n"])
-
-    members = np.zeros(1 << SLOT_BITS, np.int32)
-    rows_sent = 0
-    for r in classes.select("class_key").mapInArrow(member_counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
-        members[int(r.slot)] = min(int(r.n), 2**31 - 1)
-        rows_sent += int(r.n)
-    blocks = spark.sparkContext.broadcast(np.maximum(-(-members // BLOCK), 1).astype(np.int32) * (members > 1))
-    fields = ["node", "hash", "size", "pos", "skips", "block", "diagonal", "bits", "ahead"]
+            n = np.minimum(p.skips + limits.levels, p.end - p.start)
+            run, place = _runs(n)
+            listed = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(p.code[p.start[run] + place].view(np.int32)))
+            bits = pa.FixedSizeBinaryArray.from_buffers(pa.binary(words * 8), len(n), [None, pa.py_buffer(np.ascontiguousarray(p.bitmaps(words)))]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(p.size.astype(np.int32)), pa.array(p.skips.astype(np.int32)), bits, listed], names=["hash", "size", "skips", "bits", "prefix"])
 
-    def postings(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+    texts = classes.select("class_key", "class_hash")
+    path = scratch_path(spark, "prefixes")
+    written = write_table(texts.mapInArrow(prefixes, "hash long, size int, skips int, bits binary, prefix array<int>"), path)
+    slot = F.explode(F.transform(F.slice("prefix", 1, F.col("skips") + 1), lambda c: F.shiftrightunsigned(c, 32 - SLOT_BITS)))
+    members = np.zeros(1 << SLOT_BITS, np.int64)
+    for r in written.select(slot.alias("slot")).groupBy("slot").count().where("count > 1").collect():
+        members[int(r.slot)] = int(r["count"])
+    blocks = -(-members // limits.block)
+    rows_sent = int((members * blocks).sum())
+    shared_blocks = spark.sparkContext.broadcast(blocks.astype(np.int32))  # 1 MB, whatever the data
 
+    def postings(batches: Iterator) -> Iterator:
         for b in batches:
-            names = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            p = _Prefixes(b.column(0).to_pylist(), shared_rank.value, threshold)
-            bits = p.bitmaps(words)
-            n_blocks = blocks.value[p.code[p.at] >> (32 - SLOT_BITS)].astype(np.int64)
-            row = np.repeat(p.at, n_blocks)  # nodes with one member are left out: nothing can match there
-            if not len(row):
-                continue
-            many = np.repeat(n_blocks, n_blocks)
-            other = np.arange(len(row)) - np.repeat(np.cumsum(n_blocks) - n_blocks, n_blocks)
-            owner = p.owner[row]
-            own = (names[owner] & 0x7FFFFFFF) % many
-            low, high = np.minimum(own, other), np.maximum(own, other)
-            node = (p.code[row] << 30) ^ (low << 15) ^ high
-            ahead_at = row[:, None] + 1 + np.arange(AHEAD)
-            ahead = np.where(ahead_at < p.end[owner][:, None], p.code[np.minimum(ahead_at, len(p.code) - 1)], -1)
-            arrays = [
-                pa.array(node), pa.array(names[owner]), pa.array(p.size[owner].astype(np.int32)), pa.array(p.pos[row].astype(np.int32)), pa.array(p.skips[owner].astype(np.int32)),
-                pa.array(own.astype(np.int32)), pa.array(low == high),
-                pa.FixedSizeBinaryArray.from_buffers(pa.binary(words * 8), len(row), [None, pa.py_buffer(np.ascontiguousarray(bits[owner]))]).cast(pa.binary()),
-                pa.FixedSizeBinaryArray.from_buffers(pa.binary(AHEAD * 4), len(row), [None, pa.py_buffer(np.ascontiguousarray(ahead.astype(np.uint32)))]).cast(pa.binary()),
-            ]
-            for lo in range(0, len(row), 50_000):
-                yield pa.RecordBatch.from_arrays([a.slice(lo, 50_000) for a in arrays], names=fields)
+            sent = members_of(b, shared_blocks.value)
+            for lo in range(0, sent.num_rows if sent else 0, 50_000):
+                yield sent.slice(lo, 50_000)
 
     def join(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        arrived = list(batches)
-        if not sum(b.num_rows for b in arrived):
-            return
-        table = pa.Table.from_batches(arrived)
-        plain = {k: table.column(k).to_numpy().astype(np.int64) for k in ("node", "hash", "size", "pos", "skips", "block")}
-        as_matrix = lambda k, kind: np.frombuffer(b"".join(table.column(k).to_pylist()), kind).reshape(table.num_rows, -1)
-        ahead = as_matrix("ahead", np.uint32).astype(np.int64)
-        ahead[ahead == 0xFFFFFFFF] = -1
-        plain |= {"diagonal": table.column("diagonal").to_numpy(zero_copy_only=False).astype(bool), "bits": as_matrix("bits", np.int64), "ahead": ahead, "used": np.zeros(table.num_rows, np.int64)}
-        del table
-        pairs = _join_partition(plain, threshold)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["ha", "hb"])
+        arrived = [b for b in batches if b.num_rows]
+        if arrived:
+            pairs = tree_of(pa.Table.from_batches(arrived), threshold, limits).pairs()
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["ha", "hb"])
 
-    texts = classes.select("class_key", "class_hash")
-    sent = texts.mapInArrow(postings, "node long, hash long, size int, pos int, skips int, block int, diagonal boolean, bits binary, ahead binary")
-    found = sent.repartition(partitions_for(spark, rows_sent, 250_000), "node").mapInArrow(join, "ha long, hb long").distinct()
+    found = written.mapInArrow(postings, MEMBER).repartition(partitions_for(spark, rows_sent, 250_000), "node").mapInArrow(join, "ha long, hb long").distinct()
+    near_path = scratch_path(spark, "candidates")
+    found = write_table(found, near_path)
+    Files(spark).remove(path)
     a = texts.select(F.col("class_hash").alias("ha"), F.col("class_key").alias("key_a"))
     b = texts.select(F.col("class_hash").alias("hb"), F.col("class_key").alias("key_b"))
     candidates = found.join(a, "ha").join(b, "hb").select("key_a", "key_b")
@@ -281,9 +356,9 @@ def similar_classes(classes: DataFrame, threshold: float) -> DataFrame:
 
         for batch in batches:
             x, y = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            s = [jaccard_bigrams(p, q) for p, q in zip(x, y, strict=True)]
-            ok = [i for i, v in enumerate(s) if v is not None and v >= threshold - 1e-12 and x[i] != y[i]]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for i in ok], pa.string()), pa.array([y[i] for i in ok], pa.string()), pa.array([s[i] for i in ok], pa.float64())], names=["key_a", "key_b", "similarity"])
+            s = exact_similarities(x, y)
+            take = pa.array([i for i in np.flatnonzero(s >= threshold - 1e-12) if x[i] != y[i]], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(c.take(take) for c in batch.columns), pa.array(s).take(take)], names=["key_a", "key_b", "similarity"])
 
     return candidates.mapInArrow(verify, "key_a string, key_b string, similarity double")
 

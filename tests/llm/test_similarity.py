@@ -4,6 +4,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -44,41 +45,46 @@ def test_pairs_equal_brute_force(spark, threshold):
     assert set(got) == brute([r for r in rows if len(r[1] or "") > 1], threshold)
 
 
-def test_nodes_split_and_cut_into_blocks_lose_nothing(spark, monkeypatch):
-    """Small limits make every node split by its next pieces, be compared in chunks, and be cut into blocks."""
-    for name, value in (("BLOCK", 8), ("SPLIT", 4), ("CHUNK", 50)):
-        monkeypatch.setattr(triejoin, name, value)
+@pytest.mark.parametrize("limits", [triejoin.Limits(block=8, chunk=50), triejoin.Limits(levels=2), triejoin.Limits(levels=5, worth=9.0, entry=0.0)])
+def test_limits_lose_nothing(spark, limits):
+    """Nodes cut into blocks, compared in chunks, opened to two levels only or wherever they can be: limits travel with the task."""
     rows = corpus(260, 9)
-    assert {(r.id_a, r.id_b) for r in triejoin.similar_pairs(spark.createDataFrame(rows, SCHEMA), "id", "key", 0.7).collect()} == brute(rows, 0.7)
+    member = triejoin.classes_of(spark.createDataFrame(rows, SCHEMA), "id", "key")
+    got = {(r.key_a, r.key_b) for r in triejoin.similar_classes(member.select("class_key", "class_hash").distinct(), 0.7, limits).collect()}
+    texts = sorted({k for _, k in rows})
+    assert {frozenset(x) for x in got} == {frozenset(x) for x in combinations(texts, 2) if common.jaccard_bigrams(*x) >= 0.7 - 1e-12}
 
 
-@settings(max_examples=40, deadline=None)
-@given(st.lists(st.text("abc", max_size=12), max_size=25, unique=True), st.sampled_from([0.4, 0.6, 0.7, 0.85]), st.sampled_from([2, 64]))
-def test_tree_join_of_one_partition(texts, threshold, split):
-    """The numpy part alone: every similar pair must be among what it lets through."""
-    texts = [t for t in texts if len(t) > 1]
+def tree(texts, threshold, limits):
     rank = np.random.default_rng(1).permutation(1 << triejoin.SLOT_BITS).astype(np.uint32)
-    if not texts:
-        return
     p = triejoin._Prefixes(texts, rank, threshold)
-    row, owner = p.at, p.owner[p.at]
-    ahead = np.full((len(row), triejoin.AHEAD), -1, np.int64)
-    for i, r in enumerate(row):
-        rest = p.code[r + 1 : min(r + 1 + triejoin.AHEAD, p.end[p.owner[r]])]
-        ahead[i, : len(rest)] = rest
-    n = len(row)
-    rows = {"node": p.code[row], "hash": owner, "size": p.size[owner], "pos": p.pos[row], "skips": p.skips[owner], "block": np.zeros(n, np.int64), "diagonal": np.ones(n, bool), "bits": p.bitmaps(2)[owner], "ahead": ahead, "used": np.zeros(n, np.int64)}
-    old = triejoin.SPLIT
-    triejoin.SPLIT = split
-    try:
-        found = {tuple(x) for x in triejoin._join_partition(rows, threshold).tolist()}
-    finally:
-        triejoin.SPLIT = old
+    n = np.minimum(p.skips + limits.levels, p.end - p.start)
+    listed = pa.array([p.code[s : s + k].view(np.int32).tolist() for s, k in zip(p.start, n, strict=True)], pa.list_(pa.int32()))
+    bits = pa.array([x.tobytes() for x in p.bitmaps(2)], pa.binary())
+    rows = pa.RecordBatch.from_arrays([pa.array(np.arange(len(texts))), pa.array(p.size), pa.array(p.skips), bits, listed], names=["hash", "size", "skips", "bits", "prefix"])
+    return triejoin.tree_of(pa.Table.from_batches([triejoin.members_of(rows, np.ones(1 << triejoin.SLOT_BITS, np.int32))]), threshold, limits)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("abc", min_size=2, max_size=12), min_size=1, max_size=25, unique=True), st.sampled_from([0.4, 0.6, 0.7, 0.85]), st.sampled_from([triejoin.Limits(), triejoin.Limits(levels=2, chunk=7), triejoin.Limits(levels=6, worth=9.0, entry=0.0)]))
+def test_tree_of_one_partition(texts, threshold, limits):
+    """The numpy part alone: every similar pair must be among what it lets through."""
+    found = {tuple(x) for x in tree(texts, threshold, limits).pairs().tolist()}
     for i, j in combinations(range(len(texts)), 2):
         if common.jaccard_bigrams(texts[i], texts[j]) >= threshold - 1e-12:
             assert (i, j) in found
 
 
+def test_every_first_level_node_is_opened():
+    rows = [k for _, k in corpus(200, 4)]
+    t = tree(sorted(set(rows)), 0.7, triejoin.Limits())
+    pairs = t.pairs()
+    _, n = np.unique(t.m["node"], return_counts=True)
+    assert len(pairs) and t.opened[1] == (n > 1).sum() > 50
+    deep = tree(sorted(set(rows)), 0.7, triejoin.Limits(worth=9.0, entry=0.0))
+    assert {tuple(x) for x in deep.pairs().tolist()} and deep.opened[2] > 0
+
+
 def test_classes_do_not_expand_copies(spark):
     rows = [(f"c{i:04}", "同一个问题怎么回答") for i in range(500)] + [("x1", "同一个问题怎么回答吗"), ("x2", "完全不同的内容"), ("x3", None), ("x4", "")]
     got = {r.id: r for r in triejoin.similarity_classes(spark.createDataFrame(rows, SCHEMA), "id", "key", 0.7).collect()}
