@@ -44,10 +44,10 @@ class Limits:
     """
 
     block: int = 20_000
-    levels: int = 4
+    levels: int = 3
     worth: float = 0.7
     entry: float = 5.0
-    chunk: int = 1_000_000
+    chunk: int = 250_000
 
 
 def classes_of(df: DataFrame, id_column: str, key_column: str) -> DataFrame:
@@ -221,20 +221,23 @@ class _Tree:
         ends = np.searchsorted(node * span + size, node * span + np.minimum(reach, span - 1), side="right")
         counts = np.maximum(ends - np.arange(n) - 1, 0)
         total = np.cumsum(counts)
-        block, diagonal, bits, names = m["block"][entry], m["diagonal"][entry], m["bits"][entry], self.names[entry]
+        block, diagonal, names = m["block"][entry], m["diagonal"][entry], self.names[entry]
+        bits = [np.ascontiguousarray(m["bits"][entry, w]) for w in range(m["bits"].shape[1])]
+        sums = np.arange(2 * span)
+        most_of = (sums - 2 * np.ceil(self.share * sums - 1e-9)).astype(np.int32)  # by the sum of both sizes
+        size, reach = size.astype(np.int32), np.minimum(reach, 2**31 - 1).astype(np.int32)
         done = 0
         while done < n:
             upto = min(max(int(np.searchsorted(total, (total[done - 1] if done else 0) + self.limits.chunk, side="right")), done + 1), n)
-            run, place = _runs(counts[done:upto])
-            left = run + done
-            right = left + 1 + place
+            c = counts[done:upto]
+            right = np.arange(int(c.sum())) + np.repeat(np.arange(done + 1, upto + 1) - (np.cumsum(c) - c), c)
+            near = np.flatnonzero(np.bitwise_count(np.repeat(bits[0][done:upto], c) ^ bits[0][right]) <= most_of[np.repeat(size[done:upto], c) + size[right]])
+            left, right = np.repeat(np.arange(done, upto), c)[near], right[near]
             done = upto
-            both = size[left] + size[right]
-            most = both - 2 * np.ceil(self.share * both - 1e-9).astype(np.int64)
-            near = np.flatnonzero((np.bitwise_count(bits[left, 0] ^ bits[right, 0]) <= most) & (reach[right] >= size[left]))
-            left, right, most = left[near], right[near], most[near]
-            apart = np.bitwise_count(bits[left] ^ bits[right]).sum(1)
-            ok = (apart <= most) & (diagonal[left] | (block[left] != block[right])) & (names[left] != names[right])
+            fits = reach[right] >= size[left]
+            left, right = left[fits], right[fits]
+            apart = sum(np.bitwise_count(w[left] ^ w[right]).astype(np.int32) for w in bits)
+            ok = (apart <= most_of[size[left] + size[right]]) & (diagonal[left] | (block[left] != block[right])) & (names[left] != names[right])
             if ok.any():
                 a, b = names[left[ok]], names[right[ok]]
                 self.found.append(np.unique((np.minimum(a, b) << 32) | np.maximum(a, b)))
