@@ -1,14 +1,16 @@
 """Mapping freely typed values to the entry of a reference list that is meant.
 
 Distinct values only are looked at, however many rows carry them:
-  1. plain form and normalisation give each value one or more keys (the whole value, the value without legal
-     form, place and the like, its parts, parts in the other order);
-  2. the reference list (names, foreign names, aliases) is an inverted index of character n-grams, weighted by
-     how few entries have them; the keys' n-grams retrieve candidates by an equi-join on the n-gram;
-  3. candidates are scored by weighted cosine. A key equal to an entry scores 1; any other candidate must pass
-     the threshold and a bounded edit distance, and lead the next best entry by a margin;
-  4. values that only describe their relation to an entry ("supplier of ..."), and values without an accepted
-     candidate, are reported as unmatched (``UNMATCHED``).
+  1. plain form and normalisation give each value its keys: the whole value and, if separators divide it, its parts;
+  2. the reference list (names, foreign names, aliases) is an inverted index of character n-grams (single Chinese
+     characters, pairs, pairs with a gap, both ends); a key's n-grams retrieve candidates by an equi-join;
+  3. candidates are scored by weighted cosine. An n-gram of the list weighs by how few spellings have it; one that the
+     list lacks weighs by how few distinct values have it, and nothing once more than ``DECORATION`` of them do: legal
+     forms, places, levels and remarks around a name are learned from the values, not listed;
+  4. the best entry is accepted if its score reaches the threshold and leads the next entry by the margin. Everything
+     else is reported as unmatched (``UNMATCHED``).
+That a value only describes its relation to an entry ("supplier of ...") cannot be counted from values, since such
+phrases go with many names as legal forms do; a field's rules may list these phrases.
 """
 
 from __future__ import annotations
@@ -22,43 +24,34 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from occura.llm.common import broadcast_small, materialize
+from occura.llm.common import broadcast_small, materialize, scratch_path, write_table
 from occura.llm.plainform import with_plain_form
 
 UNMATCHED = -1
+#: Share of the distinct values above which an n-gram that the list lacks is decoration.
+DECORATION = 0.002
+#: Weight of an n-gram that a single value has and the list lacks, as a share of the largest weight of the list.
+UNKNOWN = 0.6
+#: Score of a part of a value, as a share of what the whole value would get; of any spelling that is not equal.
+PART, UNEQUAL = 0.97, 0.999
 
 
 @dataclass(frozen=True)
 class Rules:
-    """What a field's values carry besides the name. Patterns apply to lower-case plain text."""
+    """How a field's values are accepted; ``relations`` is a pattern over lower-case plain text."""
 
-    prefixes: str = ""
-    suffixes: str = ""
-    words: str = ""
+    threshold: float = 0.5
+    margin: float = 0.01
     relations: str = ""
-    synonyms: tuple[tuple[str, str], ...] = ()
-    threshold: float = 0.45
-    margin: float = 0.03
 
 
-# Places, legal forms and remarks around a company's name.
-_PLACES = "北京|上海|广州|深圳|杭州|成都|南京|武汉|西安|厦门|苏州|天津|重庆|长沙|合肥|青岛|大连|济南|郑州|福州|宁波|无锡|珠海|东莞|佛山|沈阳|昆明|香港|中国"
+# Phrases that name an entry only to describe another employer.
 COMPANY = Rules(
-    prefixes=f"公司|单位|企业|{_PLACES}|关于|记",
-    suffixes=f"股份有限公司|有限责任公司|有限公司|信息技术|网络技术|科技|技术|网络|软件|集团|控股|公司|面经|面试|总部|分公司|已拒|{_PLACES}",
-    words="inc|ltd|co|corp|corporation|company|llc|plc|gmbh|limited|group|holding|holdings|tech|technology|technologies|china",
     relations="供应商|代理商|经销商|外包|前员工|前同事|离职员工|不是|并非|而非|合作方|合作伙伴|竞争对手|竞品|友商|的客户|的乙方|对标|挂靠|加盟商|收购方|\\b(?:supplier|vendor|reseller|contractor|outsourc\\w*|distributor|agent|competitor|subcontract\\w*) (?:of|to|for)\\b|\\bnot\\b|\\bex-|\\bformer(?:ly)?\\b",
 )
-# Levels, intakes and slang around a position's name.
-POSITION = Rules(
-    prefixes="高级|资深|初级|中级|首席|助理|实习生|实习|校招|社招|急招|招聘|(?:19|20)?\\d\\d届|应届",
-    suffixes="岗位|岗|职位|方向|实习生|实习|校招|社招|可转正|[pt]\\d+",
-    words="sr|senior|jr|junior|staff|principal|lead|intern|internship|campus|graduate|[pt]\\d+",
-    synonyms=(("攻城狮", "工程师"), ("工程狮", "工程师"), ("攻城师", "工程师"), ("程序猿", "程序员"), ("程序媛", "程序员")),
-)
+POSITION = Rules()
 
-_SEPARATORS = re.compile(r"[\s/\\|·•,，、:：;；。.!！?？()（）\[\]【】《》<>「」『』“”\"'‘’#_~*&+\-–—]+")
-_NOT_ALNUM = re.compile(r"[\W_]+")
+_SEPARATORS = re.compile(r"[\W_]+")
 _ACCENTED = re.compile("[\u00c0-\u024f\u1e00-\u1eff]")
 
 
@@ -67,67 +60,23 @@ def fold(text: str) -> str:
     return _ACCENTED.sub(lambda m: unicodedata.normalize("NFD", m[0])[0], text.lower())
 
 
-def _strip(key: str, ends: re.Pattern | None, starts: re.Pattern | None) -> list[str]:
-    """Every shorter reading of ``key`` with decorations off either end, the longest first."""
-    seen, queue = [key], [key]
-    while queue:
-        k = queue.pop(0)
-        for cut in (ends.sub("", k) if ends else k, starts.sub("", k) if starts else k):
-            if cut and cut not in seen:
-                seen.append(cut)
-                queue.append(cut)
-    return seen[1:]
-
-
-class KeyMaker:
-    """Turns a plain value into (tier, key) pairs; tier 0 is the whole value, 1 stripped, 2 parts, 3 parts turned round."""
-
-    def __init__(self, rules: Rules):
-        self.rules = rules
-        self.ends = re.compile(f"(?:{rules.suffixes})$") if rules.suffixes else None
-        self.starts = re.compile(f"^(?:{rules.prefixes})") if rules.prefixes else None
-        self.words = re.compile(f"^(?:{rules.words})$") if rules.words else None
-        self.relations = re.compile(rules.relations) if rules.relations else None
-
-    def keys(self, plain: str | None) -> list[tuple[int, str]]:
-        text = fold(plain or "")
-        for a, b in self.rules.synonyms:
-            text = text.replace(a, b)
-        whole = _NOT_ALNUM.sub("", text)
-        if not whole:
-            return []
-        out: dict[str, int] = {whole: 0}
-        parts = [_NOT_ALNUM.sub("", p) for p in _SEPARATORS.split(text)]
-        parts = [p for p in parts if p]
-        kept = [p for p in parts if not (self.words and self.words.match(p))]
-        while len(kept) > 1 and self.ends and not self.ends.sub("", kept[-1]):
-            kept = kept[:-1]
-        while len(kept) > 1 and self.starts and not self.starts.sub("", kept[0]):
-            kept = kept[1:]
-        for k in ("".join(kept), whole):
-            if k:
-                out.setdefault(k, 1)
-                for cut in _strip(k, self.ends, self.starts):
-                    out.setdefault(cut, 1)
-        if len(parts) > 1:
-            for p in parts:
-                out.setdefault(p, 2)
-                for cut in _strip(p, self.ends, self.starts):
-                    out.setdefault(cut, 2)
-            if len(kept) == 2:
-                out.setdefault(kept[1] + kept[0], 3)
-        return [(tier, k) for k, tier in out.items() if len(k) > 1 or tier == 0]
-
-    def related(self, plain: str | None) -> bool:
-        return bool(self.relations and plain and self.relations.search(plain.lower()))
+def keys_of(plain: str | None) -> list[tuple[str, bool]]:
+    """(key, whether it is the whole value): letters and digits of a plain value, and of its parts of two or more."""
+    parts = [p for p in _SEPARATORS.split(fold(plain or "")) if p]
+    whole = "".join(parts)
+    return [(whole, True)] * bool(whole) + [(p, False) for p in sorted(set(parts)) if p != whole and len(p) > 1]
 
 
 def _grams(col: str) -> F.Column:
-    """Character unigrams, bigrams and edge-marked bigrams of a key, each once."""
-    marked = F.concat(F.lit("^"), F.col(col), F.lit("$"))
-    singles = F.transform(F.sequence(F.lit(1), F.length(col)), lambda i: F.substring(F.col(col), i, F.lit(1)))
-    doubles = F.transform(F.sequence(F.lit(1), F.length(col) + 1), lambda i: F.substring(marked, i, F.lit(2)))
-    return F.array_distinct(F.concat(singles, doubles))
+    """Single Chinese characters, pairs, pairs with a gap and both ends of a key, each once."""
+    k, n = F.col(col), F.length(col)
+    at = lambda shift: F.sequence(F.lit(1), F.greatest(n - shift, F.lit(1)))
+    one = F.filter(F.split(k, ""), lambda c: c > F.lit("\u2e7f"))
+    two = F.when(n > 1, F.transform(at(1), lambda i: F.substring(k, i, F.lit(2))))
+    gap = F.when(n > 2, F.transform(at(2), lambda i: F.concat(F.substring(k, i, F.lit(1)), F.lit("_"), F.substring(k, i + 2, F.lit(1)))))
+    ends = F.when(n > 1, F.array(F.concat(F.lit("^"), F.left(k, F.lit(1))), F.concat(F.right(k, F.lit(1)), F.lit("$"))))
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.concat(one, *[F.coalesce(x, none) for x in (two, gap, ends)]))
 
 
 def reference_names(ref: DataFrame, ref_id: str, names: list[str], alias_lists: list[str]) -> DataFrame:
@@ -141,7 +90,7 @@ def reference_names(ref: DataFrame, ref_id: str, names: list[str], alias_lists:
         import pyarrow as pa
 
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_NOT_ALNUM.sub("", fold(x)) for x in b.column(1).to_pylist()], pa.string())], names=["ref_id", "name"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_SEPARATORS.sub("", fold(x)) for x in b.column(1).to_pylist()], pa.string())], names=["ref_id", "name"])
 
     plain = with_plain_form(spelled, "spelled", plain="plain").select("ref_id", "plain")
     return materialize(plain.mapInArrow(folded, "ref_id int, name string").where("name <> ''").distinct())
@@ -151,52 +100,55 @@ def map_values(values: DataFrame, value: str, reference: DataFrame, rules: Rules
     """(value, ref_id, score) for every distinct non-null value; ref_id is UNMATCHED and score null where none is meant.
 
     ``reference`` is the result of :func:`reference_names`. Ties between entries are unmatched; an empty list
-    leaves everything unmatched.
+    leaves everything unmatched. The result is a table in the shared folder, worked out once.
     """
+    spark = values.sparkSession
     distinct = values.select(F.col(f"`{value}`").cast("string").alias("value")).where("value IS NOT NULL").distinct()
-    plain = with_plain_form(distinct, "value", plain="plain")
-    maker = KeyMaker(rules)
+    relations = re.compile(rules.relations) if rules.relations else None
 
     def make(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
-            v, t, k, r = [], [], [], []
-            for text, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                related = maker.related(p)
-                for tier, key in maker.keys(p):
-                    v.append(text), t.append(tier), k.append(key), r.append(related)
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.string()), pa.array(t, pa.int32()), pa.array(k, pa.string()), pa.array(r, pa.bool_())], names=["value", "tier", "key", "related"])
-
-    keys = materialize(plain.mapInArrow(make, "value string, tier int, key string, related boolean"))
-
-    # Inverted index over the list: n-gram -> entries, weighted by rarity among the spellings.
+            v, k, w, r = [], [], [], []
+            for text, plain in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                related = bool(relations and plain and relations.search(plain.lower()))
+                for key, whole in keys_of(plain) or [(None, True)]:
+                    v.append(text), k.append(key), w.append(whole), r.append(related)
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.string()), pa.array(k, pa.string()), pa.array(w, pa.bool_()), pa.array(r, pa.bool_())], names=["value", "key", "whole", "related"])
+
+    # A number of its own: the distinct values are few bytes, which adaptive execution would put into one task.
+    spread = distinct.repartition(spark.sparkContext.defaultParallelism, "value")
+    keys = write_table(with_plain_form(spread, "value", plain="plain").mapInArrow(make, "value string, key string, whole boolean, related boolean"), scratch_path(spark, "keys"))
+
+    # Inverted index over the list: n-gram -> spellings, weighted by rarity among the spellings. w2 is a weight squared.
     posted = reference.select("ref_id", "name", F.explode(_grams("name")).alias("gram"))
-    total = reference.count()
-    weight = posted.groupBy("gram").agg((F.log((F.lit(total) + 1.0) / (F.count("*") + 1.0)) + 1.0).alias("w"))
-    rare = math.log(total + 1.0) + 1.0
-    index = posted.join(weight, "gram")
-    norms = index.groupBy("ref_id", "name").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("name_norm"))
-    index = broadcast_small(index.join(norms, ["ref_id", "name"]), 1_000_000)
-    weight = broadcast_small(weight, 1_000_000)
-
-    key_grams = keys.select("key").distinct().select("key", F.explode(_grams("key")).alias("gram")).join(weight, "gram", "left").withColumn("w", F.coalesce("w", F.lit(rare)))
-    key_norms = key_grams.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("key_norm"))
-    dots = key_grams.select("key", "gram").join(index, "gram").groupBy("key", "ref_id", "name", "name_norm").agg(F.sum(F.col("w") * F.col("w")).alias("dot"))
-    # Latin names tolerate one slip of the keyboard (a swap counts as two edits), Chinese ones of four characters
-    # or more one wrong character; shorter names and acronyms must be exact.
-    latin = F.col("key").rlike(r"^[\x{21}-\x{24F}]+$")
-    slips = F.when(latin & (F.length("key") >= 6), 2).when(~latin & (F.length("key") >= 4), 1).otherwise(0)
-    scored = (
-        dots.join(key_norms, "key").withColumn("score", F.when(F.col("key") == F.col("name"), 1.0).otherwise(F.col("dot") / (F.col("key_norm") * F.col("name_norm"))))
-        .where((F.col("key") == F.col("name")) | ((F.col("score") >= rules.threshold) & (F.abs(F.length("key") - F.length("name")) <= 1) & (F.levenshtein("key", "name") <= slips)))
-        .select("key", "ref_id", F.when(F.col("key") == F.col("name"), 1).otherwise(0).alias("exact"), "score")
-    )
-    # An exact key beats a similar one, the whole value beats its parts, a longer key a shorter one.
-    met = keys.join(scored, "key").where(~F.col("related") | ((F.col("exact") == 1) & (F.col("tier") == 0)))
-    best = met.groupBy("value", "ref_id").agg(F.max(F.struct("exact", (-F.col("tier")).alias("order"), F.length("key").alias("len"), "score")).alias("b"))
-    w = Window.partitionBy("value").orderBy(F.col("b").desc(), "ref_id")
-    ranked = best.withColumn("place", F.row_number().over(w)).withColumn("next", F.lead("b").over(w)).where("place = 1")
-    clear = F.col("next").isNull() | (F.struct("b.exact", "b.order", "b.len") != F.struct("next.exact", "next.order", "next.len")) & (F.col("b.exact") == 1) | (F.col("b.score") - F.col("next.score") >= rules.margin)
-    decided = ranked.where(clear).select("value", "ref_id", F.col("b.score").alias("score"))
-    return distinct.join(decided, "value", "left").select("value", F.coalesce("ref_id", F.lit(UNMATCHED)).alias("ref_id"), "score")
+    spellings = reference.count()
+    weight = posted.groupBy("gram").agg((0.5 - F.log(F.count("*") / F.lit(spellings + 1.0))).alias("w"))
+    index = posted.join(weight, "gram").withColumn("w2", F.col("w") * F.col("w"))
+    norms = index.groupBy("ref_id", "name").agg(F.sqrt(F.sum("w2")).alias("name_norm"))
+    index = materialize(index.join(norms, ["ref_id", "name"]).select("gram", "ref_id", "name", "name_norm", "w2"))
+    listed = broadcast_small(index.groupBy("gram").agg(F.max("w2").alias("w2")), 1_000_000)
+
+    # What the list lacks is counted over the distinct whole values.
+    grams = keys.where("key IS NOT NULL").groupBy("key").agg(F.max("whole").alias("whole")).select("key", "whole", F.explode(_grams("key")).alias("gram")).join(listed, "gram", "left")
+    grams = write_table(grams, scratch_path(spark, "grams"))
+    wholes = keys.where("whole AND key IS NOT NULL").select("key").distinct().count()
+    often = max(DECORATION * wholes, 2.0)
+    lacking = grams.where("w2 IS NULL AND whole").groupBy("gram").agg(F.count("*").alias("n"))
+    # Those that a single value has need no row: that is what a missing one says.
+    most = UNKNOWN * math.log(spellings + 1.0)
+    lacking = broadcast_small(lacking.where("n > 1").select("gram", F.greatest(F.lit(0.0), most * (1 - F.log("n") / math.log(often))).alias("other")), 1_000_000)
+    alone = F.pow(F.coalesce("other", F.lit(most)), 2)
+    key_norms = grams.join(lacking, "gram", "left").groupBy("key").agg(F.sqrt(F.sum(F.coalesce("w2", alone))).alias("key_norm"))
+    dots = grams.where("w2 IS NOT NULL").select("key", "gram").join(broadcast_small(index, 1_000_000), "gram").groupBy("key", "ref_id", "name", "name_norm").agg(F.sum("w2").alias("dot"))
+    score = F.when(F.col("key") == F.col("name"), 1.0).otherwise(F.least(F.lit(UNEQUAL), F.col("dot") / (F.col("key_norm") * F.col("name_norm"))))
+    # Below the threshold by more than the margin a candidate can neither be accepted nor hinder another.
+    scored = dots.join(key_norms, "key").withColumn("score", score).where(F.col("score") >= rules.threshold - rules.margin).groupBy("key", "ref_id").agg(F.max("score").alias("score"))
+    met = keys.join(scored, "key").withColumn("score", F.when(F.col("whole"), F.col("score")).otherwise(F.col("score") * PART)).where("NOT related OR (whole AND score = 1.0)")
+    best = met.groupBy("value", "ref_id").agg(F.max("score").alias("score"))
+    by_score = Window.partitionBy("value").orderBy(F.desc("score"), "ref_id")
+    ranked = best.withColumn("place", F.row_number().over(by_score)).withColumn("next", F.coalesce(F.lead("score").over(by_score), F.lit(-1.0)))
+    decided = ranked.where((F.col("place") == 1) & (F.col("score") >= rules.threshold) & (F.col("score") - F.col("next") >= rules.margin) & (F.col("score") > F.col("next")))
+    found = keys.select("value").distinct().join(decided.select("value", "ref_id", "score"), "value", "left")
+    return write_table(found.select("value", F.coalesce("ref_id", F.lit(UNMATCHED)).alias("ref_id"), "score"), scratch_path(spark, "mapped"))
