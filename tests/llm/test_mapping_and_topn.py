@@ -51,7 +51,7 @@ def test_threshold_and_margin_decide(spark, companies):
     values = [*COMPANIES, "汀洁芯片", "Jehmornax"]
     strict = mapped(spark, companies, names, rules, values, OTHERS)
     no_threshold = mapped(spark, companies, names, replace(rules, threshold=0.0), values, OTHERS)
-    wide = mapped(spark, companies, names, replace(rules, margin=0.2), values, OTHERS)
+    wide = mapped(spark, companies, names, replace(rules, margin=0.6), values, OTHERS)
     assert strict["汀洁芯片"] == -1  # equally far from two entries
     assert strict["Jehmornax"] == -1 and no_threshold["Jehmornax"] != -1
     assert {v for v in values if wide[v] != strict[v]} and all(wide[v] in (strict[v], -1) for v in values)
