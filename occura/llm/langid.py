@@ -13,6 +13,10 @@ with numpy over Arrow batches.
 One check follows: a language most of whose sentences in the sample have kana is out of the question for four
 ideographs or more without any, which keeps short Chinese titles apart from Japanese.
 
+Letters fall into three scripts: Latin, Chinese with kana, and all others together. Sentences whose script has no
+profile come out as ``UNKNOWN`` with confidence 0, so no text is passed over; a labelled language of another script
+(Cyrillic, Hangul, ...) gets a profile like any other.
+
 Whole sentences, list items and titles are judged, each as one language: names, terms and short phrases inside
 another language's sentence do not change it. Code blocks, inline code, links, dates and rules are not text.
 """
@@ -21,6 +25,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -34,7 +39,10 @@ REFITS = 3
 PROFILE = 600
 #: Relative lead that a language other than the document's main one needs.
 LEAD = 0.04
-_TABLE = 0x30000
+#: The language of text that no profile is for.
+UNKNOWN = "und"
+#: Code points told apart, and symbols of one script's n-grams (16 bits each): the most frequent ones of the sample.
+_TABLE, _SYMBOLS = 0x32400, 65_000
 
 _FENCE = re.compile(r"^\s*(?:```|~~~)")
 _MARKER = re.compile(r"^\s*(?:(?:#{1,6}|[-*+•]|>|\(?\d{1,3}[.)、．]|[QqAa]\d*[:：])\s*)+")
@@ -76,9 +84,10 @@ def paragraphs(text: str | None) -> int:
 
 
 def _kinds() -> np.ndarray:
-    """0 other, 1 Latin letter, 2 ideograph, 3 kana, of each code point."""
+    """0 other, 1 Latin letter, 2 ideograph, 3 kana, 4 letter of any other script, of each code point."""
     kind = np.zeros(_TABLE, np.uint8)
-    for lo, hi, k in ((0x41, 0x5A, 1), (0x61, 0x7A, 1), (0xC0, 0x24F, 1), (0x1E00, 0x1EFF, 1), (0x3400, 0x9FFF, 2), (0xF900, 0xFAFF, 2), (0x20000, 0x2FA1F, 2), (0x3041, 0x3096, 3), (0x30A1, 0x30FA, 3), (0x30FC, 0x30FE, 3)):
+    kind[[cp for cp in range(0x80, 0x20000) if unicodedata.category(chr(cp))[0] == "L"]] = 4
+    for lo, hi, k in ((0x41, 0x5A, 1), (0x61, 0x7A, 1), (0xC0, 0x24F, 1), (0x1E00, 0x1EFF, 1), (0x3400, 0x9FFF, 2), (0xF900, 0xFAFF, 2), (0x20000, 0x323AF, 2), (0x3041, 0x3096, 3), (0x30A1, 0x30FA, 3), (0x30FC, 0x30FE, 3)):
         kind[lo : hi + 1] = k
     kind[[0xD7, 0xF7]] = 0
     return kind
@@ -136,7 +145,10 @@ class Profiles:
         flat, _ = _flat(texts)
         chars = flat[np.isin(_KIND[flat], self.kinds)]
         lower = np.array([ord(chr(c).lower()[0]) for c in np.unique(chars)] or [97], np.int64)
-        used = np.unique(lower)[:60_000]
+        used, times = np.unique(np.searchsorted(np.unique(chars), chars), return_counts=True) if len(chars) else (np.zeros(1, np.int64), np.ones(1))
+        total = np.zeros(int(lower.max()) + 1)
+        np.add.at(total, lower[used], times)
+        used = np.sort(np.argsort(-total, kind="stable")[: min(_SYMBOLS, int((total > 0).sum()))])
         self.symbol = np.ones(_TABLE, np.uint16)
         self.symbol[np.isin(_KIND, self.kinds)] = 0  # a letter never seen in the sample: in no n-gram
         for s, c in enumerate(used, 2):
@@ -206,13 +218,14 @@ class Identifier:
         ideographs, n = np.unique(flat[_KIND[flat] == 2], return_counts=True)
         self.common[ideographs[np.argsort(-n, kind="stable")[:500]]] = True
         self.common[_KIND == 3] = True
-        self.scripts = {"cjk": Profiles((2, 3), 2), "latin": Profiles((1,), 3)}
+        self.scripts = {"cjk": Profiles((2, 3), 2), "latin": Profiles((1,), 3), "other": Profiles((4,), 3)}
         self.kana: set[str] = set()
-        is_latin = {s: bool(v) for s, v in zip(everything, self.latin(everything), strict=True)}
+        script = {s: v for s, v in zip(everything, self.script(everything).tolist(), strict=True)}
         # A language belongs to the script of most of its labelled sentences.
-        script_of = {lang: "latin" if sum(is_latin[s] for s in held) * 2 > len(held) else "cjk" for lang, held in per.items() if held}
+        script_of = {lang: Counter(script[s] for s in held).most_common(1)[0][0] for lang, held in per.items() if held}
+        in_script = script
         for script, p in self.scripts.items():
-            mine = {s for s in everything if is_latin[s] == (script == "latin")}
+            mine = {s for s in everything if in_script[s] == script}
             pool = sorted(mine)
             p.set_symbols(pool)
             given = {lang: [s for s in held if s in mine] for lang, held in per.items() if script_of.get(lang) == script}
@@ -240,34 +253,43 @@ class Identifier:
                     dist[~has & (ideographs >= 4), col] = 1.0
         return dist
 
-    def units(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Latin words of two letters or more, frequent ideographs and kana, and all letters of every text."""
+    def units(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Latin words of two letters or more, frequent ideographs and kana, letters of these, and other letters of every text."""
         if not texts:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return (np.zeros(0, np.int64),) * 4
         flat, owner = _flat(texts)
-        letter = _KIND[flat] == 1
-        begins = letter[1:-1] & ~letter[:-2] & letter[2:]
-        words = np.bincount(owner[1:-1][begins], minlength=len(texts))
-        return words, np.bincount(owner[self.common[flat]], minlength=len(texts)), np.bincount(owner[_KIND[flat] > 0], minlength=len(texts))
+        kind = _KIND[flat]
+        count = lambda where: np.bincount(owner[where], minlength=len(texts))
+        letter = kind == 1
+        begins = np.zeros(len(flat), bool)
+        begins[1:-1] = letter[1:-1] & ~letter[:-2] & letter[2:]
+        return count(begins), count(self.common[flat]), count((kind > 0) & (kind < 4)), count(kind == 4)
+
+    @staticmethod
+    def _scripts_of(words: np.ndarray, ideographs: np.ndarray, letters: np.ndarray, others: np.ndarray) -> np.ndarray:
+        return np.where(others > letters, "other", np.where(1.5 * words > ideographs, "latin", "cjk"))
 
-    def latin(self, texts: list[str]) -> np.ndarray:
-        words, ideographs, _ = self.units(texts)
-        return 1.5 * words > ideographs
+    def script(self, texts: list[str]) -> np.ndarray:
+        return self._scripts_of(*self.units(texts))
 
     def judge(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
-        """(distances over all languages, units of text, languages); a language of the other script is at distance 1."""
+        """(distances over all languages and UNKNOWN, units of text, their names); a language of another script is at distance 1."""
         languages = [lang for p in self.scripts.values() for lang in p.languages]
-        dist = np.ones((len(texts), len(languages)))
-        words, ideographs, letters = self.units(texts)
-        latin = 1.5 * words > ideographs
+        dist = np.ones((len(texts), len(languages) + 1))
+        words, ideographs, letters, others = self.units(texts)
+        scripts = self._scripts_of(words, ideographs, letters, others)
         col = 0
         for script, p in self.scripts.items():
-            rows = np.flatnonzero(latin == (script == "latin"))
+            rows = np.flatnonzero(scripts == script)
             if p.languages and len(rows):
                 dist[rows, col : col + len(p.languages)] = self._distances(p, [texts[i] for i in rows])
+            elif len(rows):
+                dist[rows, -1] = 0.0
             col += len(p.languages)
-        units = np.where(latin, words, np.where(ideographs > 0, np.maximum(ideographs, letters), 0))
-        return dist, units, languages
+        units = np.where(scripts == "other", others, np.where(scripts == "latin", words, np.where(ideographs > 0, np.maximum(ideographs, letters), 0)))
+        if not self.scripts["cjk"].languages:  # no ideograph is a frequent one
+            units = np.where((scripts == "cjk") & (units == 0), letters, units)
+        return dist, units, [*languages, UNKNOWN]
 
 
 def fit(documents: DataFrame, doc_id: str, text: str, label: str) -> Identifier:
@@ -286,7 +308,8 @@ def segment_languages(documents: DataFrame, doc_id: str, text: str, label: str,
     has a whole sentence, item or title; ``main`` is the language of most of the document's text, and ``doubtful``
     says that the document's label names no language, or one in which no paragraph is, or that it mixes languages.
 
-    Null and empty texts, and paragraphs of code, links, dates or rules only, give no row. A document repeated
+    Text of a script that no profile is for has the language UNKNOWN with confidence 0. Null and empty texts, and
+    paragraphs of code, links, dates or rules only, give no row. A document repeated
     under one id gives its rows once per delivery; callers drop repeats first. Confidence is in [0, 1].
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
@@ -305,7 +328,7 @@ def segment_languages(documents: DataFrame, doc_id: str, text: str, label: str,
             dist, units, languages = m.judge(texts)
             rows: dict[tuple[int, int, str], list[float]] = {}
             mains: dict[int, str] = {}
-            if doc and languages:
+            if doc:
                 doc_a, para_a, seg_a = (np.array(x, np.int64) for x in (doc, para, seg))
                 keep = units[seg_a] > 0
                 doc_a, para_a, seg_a = doc_a[keep], para_a[keep], seg_a[keep]
@@ -323,8 +346,10 @@ def segment_languages(documents: DataFrame, doc_id: str, text: str, label: str,
                 brief = (units[seg_a] < 3) & (lang != main[doc_a])
                 rest = dist.copy()
                 rest[np.arange(len(texts)), best] = 2
-                second = rest.min(1) if len(languages) > 1 else np.ones(len(texts))
+                rest[:, -1] = 1
+                second = rest.min(1)
                 sure = np.clip(np.where(lang == best[seg_a], (second[seg_a] - top[seg_a]) / np.maximum(second[seg_a], 1e-9), LEAD / 2), 0, 1)
+                sure[lang == len(languages) - 1] = 0
                 for d, p, code, c, u in zip(doc_a[~brief].tolist(), para_a[~brief].tolist(), lang[~brief].tolist(), sure[~brief].tolist(), weight[seg_a][~brief].tolist(), strict=True):
                     held = rows.setdefault((d, p, languages[code]), [0.0, 0.0, 0])
                     held[0] += c * u
@@ -345,3 +370,18 @@ def segment_languages(documents: DataFrame, doc_id: str, text: str, label: str,
 
     kind = dict(base.dtypes)["doc_id"]
     return base.mapInArrow(run, f"doc_id {kind}, para_no int, lang string, confidence double, sentences int, main string, doubtful boolean")
+
+
+def document_languages(documents: DataFrame, doc_id: str, text: str, label: str, model: Identifier) -> DataFrame:
+    """(doc_id, lang, confidence, languages, doubtful): one row a document, its main language first of all.
+
+    confidence is the mean over the main language's paragraphs, ``languages`` the number of languages. Documents without
+    any text to judge have the language UNKNOWN, confidence 0 and no languages, and are doubtful.
+    """
+    rows = segment_languages(documents, doc_id, text, label, model)
+    per = rows.groupBy("doc_id").agg(
+        F.max("main").alias("lang"), F.avg(F.when(F.col("lang") == F.col("main"), F.col("confidence"))).alias("confidence"),
+        F.countDistinct("lang").alias("languages"), F.max("doubtful").alias("doubtful"),
+    )
+    ids = documents.select(F.col(f"`{doc_id}`").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
+    return ids.join(per, "doc_id", "left").select("doc_id", F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("languages", F.lit(0).cast("long")).alias("languages"), F.coalesce("doubtful", F.lit(True)).alias("doubtful"))

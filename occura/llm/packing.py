@@ -4,7 +4,8 @@ A document longer than the container is cut into full pieces, which fill contain
 all others stay whole. Items are taken by descending length, and each goes to the container of the lowest cost
 so far (linear plus quadratic attention cost of what it holds) that has room; a new container is opened only if
 none has. Costs are compared in steps; among equal ones the tightest container is taken. Fine steps balance the
-cost best, coarse ones waste least room, so several are tried on the histogram.
+cost best, coarse ones waste least room: several are tried on the histogram, and of those that need at most
+``TOLERANCE`` more containers than the fewest the finest is taken. The coarsest still tells four costs apart.
 
 Items of one length are interchangeable, so the assignment is worked out on the histogram of lengths, which has
 at most ``capacity`` entries however many documents there are: containers in the same state form one range, and
@@ -22,16 +23,14 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from occura.llm.common import materialize
-
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
 #: Documents of one length that one task ranks.
 RANKED = 50_000
 #: What is tried: into how many steps a full container's cost is divided (costs within one step count as equal, and
-#: the least room that suffices is taken there), and shares of spare containers at the start. The fewest
-#: containers win, then the lowest largest cost.
-COST_STEPS = (64, 16, 4, 2, 1)
+#: the least room that suffices is taken there), and shares of spare containers at the start.
+COST_STEPS = (64, 32, 16, 8, 4)
 SPARE = (0.0, 0.005, 0.02)
+TOLERANCE = 0.005
 
 
 @dataclass(frozen=True)
@@ -41,6 +40,7 @@ class Plan:
     containers: int
     steps: dict[int, tuple[np.ndarray, np.ndarray]]
     fullest: float
+    cost_steps: int
 
 
 def cost_of(length: int) -> float:
@@ -104,12 +104,13 @@ def _assign(histogram: dict[int, int], capacity: int, containers: int, step: flo
 
 
 def plan(histogram: dict[int, int], capacity: int) -> Plan:
-    """The assignment of ``histogram`` (length -> items, lengths 1..capacity) with the fewest containers."""
+    """The assignment of ``histogram`` (length -> items, lengths 1..capacity) with the finest steps within the tolerance."""
     least = -(-sum(length * n for length, n in histogram.items()) // capacity)
     whole = cost_of(capacity)
-    tried = [_assign(histogram, capacity, least + int(least * s), whole / n) for n in COST_STEPS for s in SPARE]
-    used, steps, fullest = min(tried, key=lambda t: (t[0], t[2]))
-    return Plan(used, {length: (np.array([a for a, _ in s], np.int64), np.array([b for _, b in s], np.int64)) for length, s in steps.items()}, fullest)
+    tried = [(n, *_assign(histogram, capacity, least + int(least * s), whole / n)) for n in COST_STEPS for s in SPARE]
+    fewest = min(t[1] for t in tried)
+    cost_steps, used, steps, fullest = min((t for t in tried if t[1] <= fewest * (1 + TOLERANCE)), key=lambda t: (-t[0], t[1], t[3]))
+    return Plan(used, {length: (np.array([a for a, _ in s], np.int64), np.array([b for _, b in s], np.int64)) for length, s in steps.items()}, fullest, cost_steps)
 
 
 def pack(items: DataFrame, ident: str, tokens: str, capacities: DataFrame) -> DataFrame:
@@ -181,12 +182,12 @@ def pack(items: DataFrame, ident: str, tokens: str, capacities: DataFrame) -> Da
 
 
 def fill_report(packed: DataFrame, capacities: DataFrame) -> DataFrame:
-    """(capacity_id, capacity_tokens, pieces, containers, tokens, fill): fill is the share of all room that is used."""
-    sums = packed.where("container_id IS NOT NULL").groupBy("capacity_id", "container_id").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("p"))
-    per = sums.groupBy("capacity_id").agg(F.sum("p").alias("pieces"), F.count("*").alias("containers"), F.sum("t").alias("tokens"))
-    return per.join(F.broadcast(capacities.select("capacity_id", "capacity_tokens").distinct()), "capacity_id").select("capacity_id", "capacity_tokens", "pieces", "containers", "tokens", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6).alias("fill"))
-
+    """(capacity_id, capacity_tokens, pieces, containers, tokens, fill, mean_cost, max_cost), one row a capacity.
 
-def materialized_counts(counts: DataFrame) -> DataFrame:
-    """Token counts are read several times below; they are computed once."""
-    return materialize(counts)
+    fill is the share of all room that is used; the costs are those of containers.
+    """
+    n = F.col("n_tokens").cast("double")
+    sums = packed.where("container_id IS NOT NULL").groupBy("capacity_id", "container_id").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("p"), F.sum(LINEAR * n + QUADRATIC * n * n).alias("c"))
+    per = sums.groupBy("capacity_id").agg(F.sum("p").alias("pieces"), F.count("*").alias("containers"), F.sum("t").alias("tokens"), F.round(F.avg("c"), 3).alias("mean_cost"), F.round(F.max("c"), 3).alias("max_cost"))
+    fill = F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6)
+    return per.join(F.broadcast(capacities.select("capacity_id", "capacity_tokens").distinct()), "capacity_id").select("capacity_id", "capacity_tokens", "pieces", "containers", "tokens", fill.alias("fill"), "mean_cost", "max_cost")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from occura.llm import canonmap, history, langid, mixing, packing, plainform, tokens, topn, triejoin
-from occura.llm.common import broadcast_small, materialize, read, scratch_path
+from occura.llm.common import broadcast_small, materialize, read, scratch_path, write_table
 
 #: Similarity of two questions that makes them near-duplicates.
 QUESTION_SIMILARITY = 0.7
@@ -102,10 +102,13 @@ def p6_fill_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mix_input(spark: SparkSession, d: str) -> DataFrame:
-    """All documents are interview write-ups, so the tree has one domain; its languages are the labels' codes."""
-    counted = _counted(spark, d, "doc_id", "lang", "source")
-    code = F.lower(F.regexp_extract(F.trim(F.col("lang")), r"^([A-Za-z]{2})(?:[-_][A-Za-z0-9]+)*$", 1))
-    return counted.select("doc_id", F.lit("interview").alias("domain"), F.when(code != "", code).alias("lang"), "source", "n_tokens")
+    """The tree's levels: what kind of source a document's file came from, the language that its text has, its source."""
+    documents = read(spark, d, "documents", "doc_id", "source", "source_document_id", "text", "lang")
+    spoken = langid.document_languages(documents, "doc_id", "text", "lang", langid.fit(documents, "doc_id", "text", "lang")).select("doc_id", "lang")
+    counted = tokens.with_token_count(documents.drop("lang"), "text", "n_tokens")
+    kinds = read(spark, d, "source_document", "id", "source_type").groupBy(F.col("id").alias("source_document_id")).agg(F.max("source_type").alias("domain"))
+    rows = counted.join(spoken, "doc_id", "left").join(kinds, "source_document_id", "left").select("doc_id", "domain", "lang", "source", "n_tokens")
+    return write_table(rows, scratch_path(spark, "mix"))
 
 
 def p7_mixed(spark: SparkSession, d: str) -> DataFrame:
@@ -133,11 +136,18 @@ def p8_paragraph_languages(spark: SparkSession, d: str) -> DataFrame:
     return _languages(spark, d).select("doc_id", "para_no", "lang", F.round("confidence", 4).alias("confidence"), "main")
 
 
+def p8_document_languages(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's main language with confidence."""
+    documents = read(spark, d, "documents", "doc_id", "text", "lang")
+    out = langid.document_languages(documents, "doc_id", "text", "lang", langid.fit(documents, "doc_id", "text", "lang"))
+    return out.withColumn("confidence", F.round("confidence", 4))
+
+
 def queries() -> dict:
     return {
         f.__name__: f
         for f in (
             p1_found, p1_unmatched_report, p2_found, p3_found, p3_plain_values, p4_found, p5_found, p5_question_classes,
-            p6_packed, p6_fill_report, p7_mixed, p7_share_report, p8_found, p8_paragraph_languages,
+            p6_packed, p6_fill_report, p7_mixed, p7_share_report, p8_found, p8_paragraph_languages, p8_document_languages,
         )
     }

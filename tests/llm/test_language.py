@@ -77,7 +77,31 @@ def test_edges(spark, model):
     assert judged(spark, model, SENTENCES["en"][0] * 2000, "en") == [(1, "en", False)]
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     unfitted = langid.fit(empty, "doc_id", "text", "lang")
-    assert judged(spark, unfitted, "whatever this is", "en") == []
+    assert judged(spark, unfitted, "whatever this is", "en") == [(1, "und", True)]
+    assert judged(spark, unfitted, "不管这是什么", None) == [(1, "und", True)]
+
+
+def test_scripts_without_a_profile(spark, model):
+    for text in ("Мы долго говорили о кэше.", "면접관은 먼저 경험을 물었습니다.", "سألني عن الخبرة أولا.", "ผู้สัมภาษณ์ถามถึงประสบการณ์"):
+        df = spark.createDataFrame([(1, f"{text}\n\n{SENTENCES['en'][0]}", "en")], "doc_id long, text string, lang string")
+        got = langid.segment_languages(df, "doc_id", "text", "lang", model).orderBy("para_no").collect()
+        assert [(r.para_no, r.lang, r.doubtful) for r in got] == [(1, "und", True), (2, "en", True)]
+        assert got[0].confidence == 0
+
+
+def test_labelled_languages_of_another_script_get_profiles(spark):
+    ru = ["Мы долго говорили о кэше и очередях.", "Потом мне дали другую задачу по базам данных.", "Связь один раз прервалась, и вопрос заменили."]
+    ko = ["면접관은 먼저 제 경험을 물었습니다.", "그 다음에 데이터베이스 문제를 냈습니다.", "연결이 한 번 끊겨서 질문이 바뀌었습니다."]
+    rows = documents() + [(1000 + i, "\n\n".join(t), lang) for i, (lang, t) in enumerate([("ru", ru), ("ko", ko)] * 30)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang")
+    assert judged(spark, model, f"{ru[1]}\n\n{ko[2]}", "ru") == [(1, "ru", True), (2, "ko", True)]
+
+
+def test_document_languages(spark, model):
+    rows = [(1, "\n\n".join(SENTENCES["de"][:2]), "de"), (2, "---", "en"), (3, None, None), (4, "Мы долго говорили.", "ru")]
+    got = {r.doc_id: r for r in langid.document_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang", model).collect()}
+    assert {i: (r.lang, r.languages, r.doubtful) for i, r in got.items()} == {1: ("de", 1, False), 2: ("und", 0, True), 3: ("und", 0, True), 4: ("und", 1, True)}
+    assert got[1].confidence > 0 and got[2].confidence == got[4].confidence == 0
 
 
 def test_confidence_and_extra_columns(spark, model):

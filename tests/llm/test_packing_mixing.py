@@ -42,6 +42,7 @@ def test_packing_keeps_items_whole(spark, monkeypatch, ranked):
     assert packed.where("capacity_id > 2").count() == 0
     report = {r.capacity_id: r for r in packing.fill_report(packed, spark.createDataFrame([(1, 100), (2, 1000)], CAPS)).collect()}
     assert report[2].tokens == sum(n or 0 for n in sizes.values())
+    assert report[2].max_cost >= report[2].mean_cost > 0
 
 
 def test_plan_balances_cost():
@@ -53,6 +54,17 @@ def test_plan_balances_cost():
     assert one.containers == 3
 
 
+def test_cost_decides_within_the_tolerance():
+    """Never fewer than four cost steps, at most the tolerance above the fewest containers, and balanced costs."""
+    rng = random.Random(8)
+    lengths = [min(1024, int(rng.lognormvariate(5.5, 0.9)) + 1) for _ in range(6000)]
+    histogram = {n: lengths.count(n) for n in set(lengths)}
+    p = packing.plan(histogram, 1024)
+    fewest = min(packing._assign(histogram, 1024, -(-sum(lengths) // 1024), packing.cost_of(1024) / n)[0] for n in packing.COST_STEPS)
+    assert p.cost_steps >= 4 and p.containers <= fewest * (1 + packing.TOLERANCE) + 1
+    assert p.fullest <= packing.cost_of(1024)
+
+
 def test_packing_empty(spark):
     caps = spark.createDataFrame([(1, 10)], CAPS)
     assert packing.pack(spark.createDataFrame([], ITEMS), "doc_id", "n", caps).count() == 0
