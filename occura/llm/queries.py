@@ -102,11 +102,11 @@ def p6_fill_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mix_input(spark: SparkSession, d: str) -> DataFrame:
-    """The tree's levels: what kind of source a document's file came from, the language that its text has, its source."""
+    """The tree's levels: whether a document came as a file or from a site, the language that its text has, its source."""
     documents = read(spark, d, "documents", "doc_id", "source", "source_document_id", "text", "lang")
     spoken = langid.document_languages(documents, "doc_id", "text", "lang", langid.fit(documents, "doc_id", "text", "lang")).select("doc_id", "lang")
     counted = tokens.with_token_count(documents.drop("lang"), "text", "n_tokens")
-    kinds = read(spark, d, "source_document", "id", "source_type").groupBy(F.col("id").alias("source_document_id")).agg(F.max("source_type").alias("domain"))
+    kinds = read(spark, d, "source_document", "id", "source_type").groupBy(F.col("id").alias("source_document_id")).agg(F.when(F.max("source_type") == "file", "file").otherwise("site").alias("domain"))
     rows = counted.join(spoken, "doc_id", "left").join(kinds, "source_document_id", "left").select("doc_id", "domain", "lang", "source", "n_tokens")
     return write_table(rows, scratch_path(spark, "mix"))
 
