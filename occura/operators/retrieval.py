@@ -272,26 +272,24 @@ def preferred_pool(main: list, preferred: list, facets: list[list]) -> list[tupl
     return list(pool.source.items())
 
 
-def graded_selection(rows: list[dict], facets: int, top: int, lead: int = 5, within: int = 10) -> list:
-    """Ids by grade and model rank; after ``lead`` of them each facet not yet met among its best ``within`` gets its best row.
+def graded_selection(rows: DataFrame, facets: list[str], top: int, lead: int = 5, within: int = 10) -> DataFrame:
+    """(query_id, doc_id, rank): the ``top`` best of each query by grade, then by place; null grades and places are lowest.
 
-    Rows: id, grade, place, and facet_ranks (a list with the rank in each facet, or None).
+    ``rows``: query_id, doc_id, grade, place and one column of ranks for each facet. The first ``lead`` are the best
+    graded. Then each facet, in turn, that none of the chosen meets (a rank of at most ``within``) adds its best row,
+    while there is room; the rest follows in the order of grades.
     """
-    ranked = sorted(rows, key=lambda r: (-(r["grade"] or 0), r["place"] or 0))
-    if not facets:
-        return [r["id"] for r in ranked[:top]]
-    near = lambda r, i: r["facet_ranks"][i] is not None and r["facet_ranks"][i] <= within
-    chosen = ranked[: min(lead, top)]
-    for i in range(facets):
-        if len(chosen) >= top:
-            break
-        if not any(near(r, i) for r in chosen):
-            ids = {r["id"] for r in chosen}
-            rest = [r for r in ranked if near(r, i) and r["id"] not in ids]
-            if rest:
-                chosen = [*chosen, min(rest, key=lambda r: r["facet_ranks"][i])]
-    ids = {r["id"] for r in chosen}
-    return [r["id"] for r in [*chosen, *[r for r in ranked if r["id"] not in ids]]][:top]
+    query = Window.partitionBy("query_id")
+    best = query.orderBy(F.coalesce("grade", F.lit(0)).desc(), F.coalesce("place", F.lit(0)), "doc_id")
+    out = rows.withColumn("plain", F.row_number().over(best)).withColumn("turn", F.when(F.col("plain") <= min(lead, top), F.col("plain")))
+    for facet in facets:
+        meets = F.coalesce(F.col(facet) <= within, F.lit(False))
+        taken, met = F.count("turn").over(query), F.max(F.col("turn").isNotNull() & meets).over(query)
+        first = F.row_number().over(query.orderBy((F.col("turn").isNull() & meets).desc(), F.col(facet).asc_nulls_last(), "plain"))
+        adds = (first == 1) & F.col("turn").isNull() & meets & ~met & (taken < top)
+        out = out.withColumn("next", F.when(adds, taken + 1)).withColumn("turn", F.coalesce("turn", "next")).drop("next")
+    place = F.row_number().over(query.orderBy(F.col("turn").asc_nulls_last(), "plain")).cast("long")
+    return out.withColumn("rank", place).where(F.col("rank") <= top).select("query_id", "doc_id", "rank")
 
 
 def pooled(rankings: DataFrame, pool, names: list[str]) -> DataFrame:

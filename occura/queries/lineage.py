@@ -96,8 +96,9 @@ def _digests(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-# The same 64 digits however spelled; what is no hash counts as written. The SQL only lowers the case.
-register("files_under_several_documents", "SELECT lower(raw_file_hash) AS file_hash, count(DISTINCT source_document_id) AS documents, min(id) AS first_revision FROM source_revision WHERE raw_file_hash IS NOT NULL GROUP BY 1 HAVING count(DISTINCT source_document_id) > 1")(
+# The same 64 digits however spelled; what is no hash counts as written.
+register("files_under_several_documents", """SELECT CASE WHEN regexp_full_match(h, '[0-9a-f]{64}') THEN h ELSE lower(raw_file_hash) END AS file_hash, count(DISTINCT source_document_id) AS documents, min(id) AS first_revision
+    FROM (SELECT *, regexp_replace(regexp_replace(regexp_replace(lower(raw_file_hash), '^\\s*(sha-?256|0x)[:=\\s-]*', ''), '[\\s:_-]+', '', 'g'), '^0x', '') AS h FROM source_revision WHERE raw_file_hash IS NOT NULL) GROUP BY 1 HAVING count(DISTINCT source_document_id) > 1""")(
     lambda spark, d: corpus.scan(spark, d, "source_revision", "id", "source_document_id", "raw_file_hash").where("raw_file_hash IS NOT NULL")
     .groupBy(F.coalesce(normal_hash("raw_file_hash"), F.lower("raw_file_hash")).alias("file_hash")).agg(F.countDistinct("source_document_id").alias("documents"), F.min("id").alias("first_revision")).where("documents > 1")
 )

@@ -237,9 +237,9 @@ def result_assembly(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@register("candidate_payload", f"{_WITH} SELECT canonical_question_id, 'c' || (place - 1) AS alias, left(raw_question, 40) AS clipped FROM (SELECT a.canonical_question_id, o.raw_question, row_number() OVER (PARTITION BY a.interview_id ORDER BY a.occurrence_id) AS place FROM active a JOIN (SELECT DISTINCT id, raw_question FROM occurrence) o ON o.id = a.occurrence_id)")
+@register("candidate_payload", f"{_WITH} SELECT canonical_question_id, 'c' || (place - 1) AS alias, left(coalesce(canonical_text, ''), 500) AS clipped FROM (SELECT a.canonical_question_id, c.canonical_text, row_number() OVER (PARTITION BY a.interview_id ORDER BY a.occurrence_id) AS place FROM active a JOIN (SELECT DISTINCT id, canonical_text FROM canonical) c ON c.id = a.canonical_question_id)")
 def candidate_payload(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates of an interview under short names, their canonical text clipped at 500 characters. The SQL beside it still clips raw_question at 40."""
+    """Candidates of an interview under short names, their canonical text clipped at 500 characters."""
     w = Window.partitionBy("interview_id").orderBy("occurrence_id")
     text = corpus.records(spark, d, "canonical", "id", "canonical_text").withColumnRenamed("id", "canonical_question_id")
     a = corpus.active_occurrences(spark, d, with_canonical=False, need=()).select("occurrence_id", "interview_id", "canonical_question_id").join(text, "canonical_question_id")

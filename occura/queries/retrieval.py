@@ -13,7 +13,7 @@ from occura.queries.text import terms_sql
 from occura.registry import Registry
 
 register = Registry()
-#: Documents of each list of the main and preferred branches, and of a facet's list. The SQL still takes 50 of every list.
+#: Documents of each list of the main and preferred branches, and of a facet's list.
 BRANCH, K = 100, 50
 
 _NUMBER = "CAST('0x' || substr(id, 1, 8) AS BIGINT)"
@@ -29,7 +29,7 @@ def _bm25_sql(p: str) -> str:
       FROM q JOIN (SELECT *, count(*) OVER (PARTITION BY term) AS df FROM {p}) x ON q.term = x.term, (SELECT count(*) AS n_docs, avg(length) AS mean_length FROM (SELECT DISTINCT doc_id, length FROM {p})) s GROUP BY ALL)"""
 
 
-def _ranked_sql(scores: str, k: int = K) -> str:
+def _ranked_sql(scores: str, k: int = BRANCH) -> str:
     return f"(SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM {scores} QUALIFY rank <= {k})"
 
 
@@ -104,19 +104,12 @@ register("preferred_pool")(lambda spark, d: R.pooled(_staged(spark, d), R.prefer
 @register("rerank_select")
 def rerank_select(spark: SparkSession, d: str) -> DataFrame:
     """Ten graded results a query; the grade is an input, here derived from a digest of the pair."""
-    import pandas as pd
-
     staged = _staged(spark, d)
     pool = R.pooled(staged, R.preferred_pool, ["main", "preferred"])
     facet = staged.where("stage LIKE 'facet%'").groupBy("query_id", "doc_id").agg(F.min(F.when(F.col("stage") == "facet_1", F.col("rank"))).alias("f1"), F.min(F.when(F.col("stage") == "facet_2", F.col("rank"))).alias("f2"))
     rows = pool.join(facet, ["query_id", "doc_id"], "left").withColumn("grade", F.pmod(F.xxhash64("query_id", "doc_id"), F.lit(4)))
 
-    def select(pdf: pd.DataFrame) -> pd.DataFrame:
-        whole = lambda v: None if pd.isna(v) else int(v)
-        chosen = R.graded_selection([{"id": r.doc_id, "grade": r.grade, "place": r.place, "facet_ranks": [whole(r.f1), whole(r.f2)]} for r in pdf.itertuples()], 2, 10)
-        return pd.DataFrame({"query_id": pdf["query_id"].iloc[0], "doc_id": chosen, "rank": range(1, len(chosen) + 1)})
-
-    return rows.groupBy("query_id").applyInPandas(select, "query_id string, doc_id string, rank long")
+    return R.graded_selection(rows, ["f1", "f2"], 10)
 
 
 # ---------------------------------------------------------------- vectors

@@ -87,7 +87,15 @@ register("json_path_lookup", "SELECT event_id, CAST(json_extract(props, '$.k') A
     lambda spark, d: corpus.scan(spark, d, "events", "event_id", "props").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), F.get_json_object("props", "$.missing").isNull().alias("missing"))
 )
 register("query_key_normalize")(lambda spark, d: corpus.records(spark, d, "canonical", "id", "canonical_text").select("id", T.query_key("canonical_text").alias("query_key")))
-register("quantity_spans")(lambda spark, d: corpus.records(spark, d, "canonical", "id", "canonical_text").select("id", F.explode(T.quantities("canonical_text")).alias("q")).select("id", "q.*"))
+_QUANTITIES = """WITH t AS (SELECT DISTINCT id, canonical_text AS v FROM canonical),
+    m AS (SELECT id, v, unnest(regexp_extract_all(v, '[\\p{Nd}]+|[零一二两三四五六七八九十百千]+')) AS text, generate_subscripts(regexp_extract_all(v, '[\\p{Nd}]+|[零一二两三四五六七八九十百千]+'), 1) AS k FROM t),
+    g AS (SELECT id, regexp_split_to_array(v, '[\\p{Nd}]+|[零一二两三四五六七八九十百千]+') AS gaps FROM t),
+    s AS (SELECT m.id, text, k, sum(length(text)) OVER (PARTITION BY m.id ORDER BY k) - length(text) + list_sum(list_transform(gaps[1:k], lambda x: length(x))) AS start FROM m JOIN g ON m.id = g.id),
+    c AS (SELECT *, translate(text, '零一二两三四五六七八九', '01223456789') AS d FROM s)
+    SELECT id, text, CAST(start AS INTEGER) AS start, CASE WHEN regexp_full_match(text, '[0-9]+') THEN TRY_CAST(text AS BIGINT)
+      WHEN regexp_full_match(text, '[零一二两三四五六七八九十百千]+') THEN CAST(coalesce(list_sum(list_transform(regexp_extract_all(d, '[0-9]?[十百千]'), lambda u:
+        greatest(coalesce(TRY_CAST(u[1] AS BIGINT), 1), 1) * CASE u[-1] WHEN '十' THEN 10 WHEN '百' THEN 100 ELSE 1000 END)), 0) + coalesce(TRY_CAST(d[-1] AS BIGINT), 0) AS BIGINT) END AS value FROM c"""
+register("quantity_spans", _QUANTITIES)(lambda spark, d: corpus.records(spark, d, "canonical", "id", "canonical_text").select("id", F.explode(T.quantities(F.col("canonical_text"))).alias("q")).select("id", "q.*"))
 
 
 @register("evidence_clip")

@@ -102,13 +102,21 @@ def test_preferred_pool_order():
     assert [x for x, s in mixed if s == "broad_fill"] == main[10:]
 
 
-def test_graded_selection_gives_each_facet_one_place():
-    rows = [{"id": f"r{i}", "grade": 3 if i < 6 else 1, "place": i, "facet_ranks": [None, None]} for i in range(12)]
-    rows[10]["facet_ranks"] = [2, None]
-    rows[11]["facet_ranks"] = [1, None]
-    assert R.graded_selection(rows, 2, 8) == ["r0", "r1", "r2", "r3", "r4", "r11", "r5", "r6"]
-    assert R.graded_selection(rows, 0, 3) == ["r0", "r1", "r2"]
-    assert R.graded_selection([], 2, 5) == []
+def selected(spark, rows, facets, top):
+    df = spark.createDataFrame([("q", *r) for r in rows], "query_id string, doc_id string, grade int, place int, f1 int, f2 int")
+    return [r.doc_id for r in R.graded_selection(df, facets, top).orderBy("rank").collect()]
+
+
+def test_graded_selection_gives_each_facet_one_place(spark):
+    rows = [[f"r{i:02}", 3 if i < 6 else 1, i, None, None] for i in range(12)]
+    rows[10][3], rows[11][3] = 2, 1
+    assert selected(spark, rows, ["f1", "f2"], 8) == ["r00", "r01", "r02", "r03", "r04", "r11", "r05", "r06"]
+    assert selected(spark, rows, [], 3) == ["r00", "r01", "r02"]
+    assert selected(spark, rows, ["f1"], 5) == ["r00", "r01", "r02", "r03", "r04"]  # no room left
+    assert selected(spark, [], ["f1", "f2"], 5) == []
+    rows[2][4], rows[7][3], rows[7][4] = 10, 1, 11  # the second facet is met by a leader; equal ranks go by grade
+    assert selected(spark, rows, ["f1", "f2"], 7) == ["r00", "r01", "r02", "r03", "r04", "r07", "r05"]
+    assert selected(spark, [["a", None, None, None, None], ["b", 1, 3, None, None]], ["f1"], 5) == ["b", "a"]
 
 
 def test_acceptance_needs_both_quotes(spark):
