@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Bin widths in seconds by window, the quota's time zone, status by event.
@@ -72,13 +72,44 @@ def latest_per_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     return df.groupBy(key).agg(F.max(F.struct(*order, *rest)).alias("r")).select(key, "r.*")
 
 
+def receipt_parts(events: DataFrame) -> DataFrame:
+    """(key, payload_hash, first_event, deliveries): a part of the receipts; parts of any split of the events can be merged."""
+    return events.groupBy("key", "payload_hash").agg(F.min("event_id").alias("first_event"), F.count("*").alias("deliveries"))
+
+
+def merged_receipts(parts: DataFrame) -> DataFrame:
+    """(key, first_event, outcome, deliveries) from parts: the first delivery of a key counts; another with the same
+    payload is a replay, one with another payload a conflict. A key's payloads are counted, its deliveries never sorted."""
+    each = parts.groupBy("key", "payload_hash").agg(F.min("first_event").alias("first_event"), F.sum("deliveries").alias("n"))
+    first = each.groupBy("key").agg(F.min(F.struct("first_event", "payload_hash")).alias("first"))
+    known = each.join(first, "key").withColumn("same", F.col("payload_hash").eqNullSafe(F.col("first.payload_hash")))
+    row = lambda outcome, n: F.struct(F.lit(outcome).alias("outcome"), n.cast("long").alias("n"))
+    outcomes = F.when(F.col("same"), F.array(row("ACCEPTED", F.lit(1)), row("REPLAY", F.col("n") - 1))).otherwise(F.array(row("CONFLICT", F.col("n"))))
+    counted = known.select("key", F.col("first.first_event").alias("first_event"), F.explode(outcomes).alias("o")).where("o.n > 0")
+    return counted.groupBy("key", "first_event", "o.outcome").agg(F.sum("o.n").alias("deliveries"))
+
+
 def receipts(events: DataFrame) -> DataFrame:
-    """(key, first_event, outcome, deliveries): the first delivery of a key counts; another with the same payload is a
-    replay, one with another payload a conflict."""
-    w = Window.partitionBy("key").orderBy("event_id")
-    first = events.withColumn("first_event", F.first("event_id").over(w)).withColumn("first_hash", F.first("payload_hash").over(w))
-    outcome = F.when(F.col("event_id") == F.col("first_event"), "ACCEPTED").when(F.col("payload_hash") == F.col("first_hash"), "REPLAY").otherwise("CONFLICT")
-    return first.groupBy("key", "first_event", outcome.alias("outcome")).agg(F.count("*").alias("deliveries"))
+    """(key, first_event, outcome, deliveries) of all events, each with a distinct event_id."""
+    return merged_receipts(receipt_parts(events))
+
+
+_STATE = ("seen", "scored", "review_count", "version", "last_reviewed_at")
+
+
+def state_parts(events: DataFrame) -> DataFrame:
+    """A part of the folded state of (user_id, item); parts of any split of the events, in any order, can be merged."""
+    review = F.col("status") != "UNSEEN"
+    return events.groupBy("user_id", "item").agg(
+        F.max(F.struct("ts", "event_id", "status")).alias("seen"), F.max(F.when(F.col("score").isNotNull(), F.struct("ts", "event_id", "score"))).alias("scored"),
+        F.count(F.when(review, 1)).alias("review_count"), F.count("*").alias("version"), F.max(F.when(review, F.col("ts"))).alias("last_reviewed_at"),
+    )
+
+
+def merged_state(parts: DataFrame) -> DataFrame:
+    """One part for each (user_id, item) from several."""
+    how = {"seen": F.max, "scored": F.max, "review_count": F.sum, "version": F.sum, "last_reviewed_at": F.max}
+    return parts.groupBy("user_id", "item").agg(*[how[c](c).alias(c) for c in _STATE])
 
 
 def folded_state(events: DataFrame) -> DataFrame:
@@ -87,12 +118,11 @@ def folded_state(events: DataFrame) -> DataFrame:
     Every event sets the status and raises the version; all but UNSEEN count as reviews and move the review time
     forward; a score stays until another is given.
     """
-    review = F.col("status") != "UNSEEN"
-    order = F.struct("ts", "event_id")
-    return events.groupBy("user_id", "item").agg(
-        F.max_by("status", order).alias("status"), F.count(F.when(review, 1)).alias("review_count"), F.count("*").alias("version"),
-        F.max_by("score", F.when(F.col("score").isNotNull(), order)).alias("last_score"), F.max(F.when(review, F.col("ts"))).alias("last_reviewed_at"),
-    )
+    return state_of(state_parts(events))
+
+
+def state_of(part: DataFrame) -> DataFrame:
+    return part.select("user_id", "item", "seen.status", "review_count", "version", F.col("scored.score").alias("last_score"), "last_reviewed_at")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
@@ -101,10 +131,82 @@ def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
     return out.select("user_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "events")
 
 
+#: Sequence numbers of one bucket of a ledger: an account of any length is summed bucket by bucket.
+LEDGER_BUCKET = 10_000
+
+
 def ledger(entries: DataFrame, cap: float) -> DataFrame:
-    """Adds the running total and whether an entry is still within the cap, per account in order.
+    """Adds the running total and whether an entry is still within the cap, per account in order of ``seq``.
 
-    A rejected entry keeps its place in the total, as a reservation of unknown usage does.
+    A rejected entry keeps its place in the total, as a reservation of unknown usage does. An account's entries are
+    sorted within buckets of sequence numbers only; what lies before a bucket comes from the buckets' sums.
     """
-    w = Window.partitionBy("account").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return entries.withColumn("total", F.round(F.sum("amount").over(w), 6)).withColumn("accepted", F.col("total") <= cap)
+    rows = entries.withColumn("bucket", F.floor(F.col("seq") / LEDGER_BUCKET))
+    upto = Window.partitionBy("account").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("account", "bucket").agg(F.sum("amount").alias("in_bucket")).withColumn("before", F.coalesce(F.sum("in_bucket").over(upto), F.lit(0.0))).drop("in_bucket")
+    within = Window.partitionBy("account", "bucket").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    total = F.round(F.col("before") + F.sum("amount").over(within), 6)
+    return rows.join(sums, ["account", "bucket"]).withColumn("total", total).withColumn("accepted", F.col("total") <= cap).drop("bucket", "before")
+
+
+def settled(entries: DataFrame) -> DataFrame:
+    """(account, reserved, settled, open): what was reserved, what is known to be used, and what still counts as reserved.
+
+    ``entries``: account, request, reserved, actual. A request settles with its actual amount; while that is unknown
+    its reservation keeps counting.
+    """
+    per = entries.groupBy("account", "request").agg(F.max("reserved").alias("reserved"), F.max("actual").alias("actual"))
+    known = F.col("actual").isNotNull()
+    return per.groupBy("account").agg(
+        F.round(F.sum("reserved"), 6).alias("reserved"), F.round(F.sum(F.when(known, F.col("actual")).otherwise(0.0)), 6).alias("settled"),
+        F.round(F.sum(F.when(known, 0.0).otherwise(F.col("reserved"))), 6).alias("open"),
+    )
+
+
+def numbered(events: DataFrame, key: str, order: list[str], value: str, bucket: Column) -> DataFrame:
+    """Adds ``sequence`` and ``previous`` (the value before) per key in ``order``; ``bucket`` cuts the order in runs, which
+    alone are sorted, so that a key of any length is never one task's work."""
+    rows = events.withColumn("bucket", bucket)
+    by = Window.partitionBy(key).orderBy("bucket")
+    runs = rows.groupBy(key, "bucket").agg(F.count("*").alias("n"), F.max(F.struct(*order, value)).alias("last"))
+    runs = runs.select(key, "bucket", F.coalesce(F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.lag(f"last.{value}").over(by).alias("ahead"))
+    w = Window.partitionBy(key, "bucket").orderBy(*order)
+    place = F.row_number().over(w)
+    out = rows.withColumn("place", place).withColumn("lagged", F.lag(value).over(w)).join(runs, [key, "bucket"])
+    previous = F.when(F.col("place") == 1, F.col("ahead")).otherwise(F.col("lagged"))
+    return out.withColumn("sequence", (F.col("before") + F.col("place")).cast("long")).withColumn("previous", previous).drop("bucket", "place", "lagged", "before", "ahead")
+
+
+def lease_outcomes(events: DataFrame, key: str, at: str, ident: str, seconds_held: int) -> DataFrame:
+    """Adds ``outcome`` to every heartbeat: RENEWED if its key's next one came within the lease, INTERRUPTED if the
+    lease ended first, RUNNING if it had not ended at the newest event of all."""
+    newest = events.agg(F.max(at).alias("newest"))
+    by = Window.partitionBy(key).orderBy(at, ident)
+    ends = F.col(at) + F.make_dt_interval(secs=F.lit(seconds_held))
+    out = events.withColumn("following", F.lead(at).over(by)).join(F.broadcast(newest)).withColumn("ends", ends)
+    outcome = F.when(F.col("following") <= F.col("ends"), "RENEWED").when(F.coalesce("following", "newest") > F.col("ends"), "INTERRUPTED").otherwise("RUNNING")
+    return out.withColumn("outcome", outcome).drop("following", "newest", "ends")
+
+
+def within_quota(attempts: DataFrame, principal: str, request: str, order: list[str], limit: int) -> DataFrame:
+    """(principal, request, place, admitted): each distinct request counts once, at its first attempt; the first ``limit``
+    of a principal are admitted, and a repeated attempt gets the answer of the first."""
+    first = attempts.groupBy(principal, request).agg(F.min(F.struct(*order)).alias("first"))
+    w = Window.partitionBy(principal).orderBy("first", request)
+    return first.withColumn("place", F.row_number().over(w).cast("long")).select(principal, request, "place", (F.col("place") <= limit).alias("admitted"))
+
+
+def throttled(requests: DataFrame, limits: dict[str, int]) -> DataFrame:
+    """(kind, ip, minute, used, refused): requests of a kind and address in a minute, and whether they were too many."""
+    limit = F.lit(None).cast("int")
+    for kind, n in limits.items():
+        limit = F.when(F.col("kind") == kind, n).otherwise(limit)
+    per = requests.groupBy("kind", "ip", F.floor(seconds("created_at") / 60).alias("minute")).agg(F.count("*").alias("used"))
+    return per.withColumn("refused", F.col("used") > limit)
+
+
+def expired(sessions_seen: DataFrame, key: str, at: str, days: int) -> DataFrame:
+    """(key, last_seen, expired): sessions not seen for ``days`` days before the newest event."""
+    newest = sessions_seen.agg(F.max(at).alias("newest"))
+    per = sessions_seen.groupBy(key).agg(F.max(at).alias("last_seen"))
+    return per.join(F.broadcast(newest)).select(key, "last_seen", (F.col("last_seen") < F.col("newest") - F.expr(f"INTERVAL {days} DAYS")).alias("expired"))

@@ -89,9 +89,8 @@ register("turn_sequence", "SELECT event_id, user_id, row_number() OVER (PARTITIO
 
 
 def _sequence(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     e = corpus.scan(spark, d, "events", "event_id", "user_id", "ts", "event_type")
-    return e.select("event_id", "user_id", F.row_number().over(w).cast("long").alias("sequence"), F.lag("event_type").over(w).alias("previous"))
+    return T.numbered(e, "user_id", ["ts", "event_id"], "event_type", F.to_date("ts")).select("event_id", "user_id", "sequence", "previous")
 
 
 register("conversation_titles", "SELECT user_id, arg_min(event_type, (ts, event_id)) AS title, count(*) AS turns, max(ts) AS last_turn FROM events GROUP BY 1")(
@@ -103,3 +102,22 @@ register("event_sessions", """WITH s AS (SELECT user_id, ts, CASE WHEN ts >= lag
 register("budget_ledger", """SELECT event_id, account, total, total <= 500 AS accepted FROM (SELECT event_id, user_id AS account, round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), 6) AS total FROM events)""")(
     lambda spark, d: T.ledger(corpus.scan(spark, d, "events", "event_id", "user_id", "value").toDF("seq", "account", "amount"), 500.0).select(F.col("seq").alias("event_id"), "account", "total", "accepted")
 )
+_SETTLED = "e AS (SELECT user_id AS account, event_id AS request, value AS reserved, CASE WHEN event_type = 'purchase' THEN value / 2 END AS actual FROM events)"
+register("budget_settled", f"""WITH {_SETTLED} SELECT account, round(sum(reserved), 6) AS reserved, round(sum(coalesce(actual, 0)), 6) AS settled, round(sum(CASE WHEN actual IS NULL THEN reserved ELSE 0 END), 6) AS open FROM e GROUP BY 1""")(
+    lambda spark, d: T.settled(corpus.scan(spark, d, "events", "event_id", "user_id", "event_type", "value").select(
+        F.col("user_id").alias("account"), F.col("event_id").alias("request"), F.col("value").alias("reserved"), F.when(F.col("event_type") == "purchase", F.col("value") / 2).alias("actual")))
+)
+register("lease_outcomes", """WITH n AS (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS following, (SELECT max(ts) FROM events) AS newest FROM events)
+    SELECT event_id, CASE WHEN following <= ts + INTERVAL 600 SECONDS THEN 'RENEWED' WHEN coalesce(following, newest) > ts + INTERVAL 600 SECONDS THEN 'INTERRUPTED' ELSE 'RUNNING' END AS outcome FROM n""")(
+    lambda spark, d: T.lease_outcomes(corpus.scan(spark, d, "events", "event_id", "user_id", "ts"), "user_id", "ts", "event_id", 600).select("event_id", "outcome")
+)
+register("trial_quota", """WITH f AS (SELECT user_id, CAST(floor(value / 5) AS BIGINT) AS request, min((ts, event_id)) AS first FROM events GROUP BY ALL), p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY first, request) AS place FROM f)
+    SELECT user_id, request, place, place <= 3 AS admitted FROM p""")(
+    lambda spark, d: T.within_quota(corpus.scan(spark, d, "events", "event_id", "user_id", "ts", "value").withColumn("request", F.floor(F.col("value") / 5)), "user_id", "request", ["ts", "event_id"], 3)
+)
+register("login_throttle", f"WITH {_REQ} SELECT *, used > CASE kind WHEN 'ADMIN' THEN 5 ELSE 10 END AS refused FROM (SELECT kind, ip, sec // 60 AS minute, count(*) AS used FROM (SELECT *, CASE WHEN visitor_id % 10 = 0 THEN 'ADMIN' ELSE 'ACCOUNT' END AS kind FROM r) GROUP BY ALL)")(
+    lambda spark, d: T.throttled(requests(spark, d).withColumn("kind", F.when(F.col("visitor_id") % 10 == 0, "ADMIN").otherwise("ACCOUNT")), {"ADMIN": 5, "ACCOUNT": 10})
+)
+register("session_purge", """WITH s AS (SELECT user_id, max(ts) AS last_seen FROM events GROUP BY 1) SELECT user_id, last_seen, last_seen < (SELECT max(ts) FROM events) - INTERVAL 7 DAYS AS expired FROM s""")(
+    lambda spark, d: T.expired(corpus.scan(spark, d, "events", "user_id", "ts"), "user_id", "ts", 7)
+)

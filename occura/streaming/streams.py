@@ -1,19 +1,19 @@
 """Structured Streaming forms of the batch operators, with checkpoints and without driver-side sinks.
 
-Every function takes a streaming DataFrame and is the same plan that the batch twin runs, plus a watermark where
-state must end. ``drain`` runs a query over what is there (available now) into Parquet in the shared folder.
+Two kinds of plan. Windowed counts are streaming aggregations in update mode, whose state ends with the watermark.
+Folds that can be put together from parts (states, receipts) need no state at all: every micro-batch writes the parts
+of its own events, built-in aggregates only, and a reader merges them. ``drain`` runs a query over what is there
+(available now) into Parquet in the shared folder; a batch overwrites its own directory, so a retried batch writes once.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from occura.operators import telemetry
 
@@ -22,7 +22,10 @@ EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string
 
 
 def shared_dir(spark: SparkSession) -> str:
+    """Folder that all executors see; a local session without one gets a temporary folder."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not configured and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
     return configured or tempfile.mkdtemp(prefix="occura-streams-")
 
 
@@ -59,46 +62,17 @@ def sessions(stream: DataFrame, gap: str = "30 minutes") -> DataFrame:
     return out.select("user_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "events")
 
 
-STATE_SCHEMA = "status string, review_count long, version long, last_score long, last_reviewed_at timestamp, seen_at timestamp, seen_id long, scored_at timestamp, scored_id long"
-FOLD_SCHEMA = "user_id long, item long, status string, review_count long, version long, last_score long, last_reviewed_at timestamp"
+def drain(stream: DataFrame, mode: str, each: Callable[[DataFrame], DataFrame] | None = None, timeout: int = 240) -> DataFrame:
+    """Runs the stream over everything there is and returns its output with the number of its ``batch``.
 
-
-def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Applies the events of one key in order to its state; late ones count but do not overrule newer ones."""
-    held = list(state.get) if state.exists else [None, 0, 0, None, None, None, -1, None, -1]
-    status, reviews, version, score, reviewed, seen_at, seen_id, scored_at, scored_id = held
-    rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-    for r in rows.itertuples():
-        place = (r.ts, r.event_id)
-        version += 1
-        if r.status != "UNSEEN":
-            reviews += 1
-            reviewed = r.ts if reviewed is None or r.ts > reviewed else reviewed
-        if seen_at is None or place > (seen_at, seen_id):
-            status, seen_at, seen_id = r.status, r.ts, r.event_id
-        if not pd.isna(r.score) and (scored_at is None or place > (scored_at, scored_id)):
-            score, scored_at, scored_id = int(r.score), r.ts, r.event_id
-    state.update((status, reviews, version, score, reviewed, seen_at, seen_id, scored_at, scored_id))
-    yield pd.DataFrame({"user_id": [key[0]], "item": [key[1]], "status": [status], "review_count": [reviews], "version": [version], "last_score": pd.array([score], "Int64"), "last_reviewed_at": [reviewed]})
-
-
-def folded_state(reviews: DataFrame) -> DataFrame:
-    """The state of (user, item) after each batch that touched it; custom state, because a later event may be older."""
-    rows = reviews.withColumn("ts", F.col("ts").cast("timestamp"))
-    return rows.groupBy("user_id", "item").applyInPandasWithState(_fold, FOLD_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.NoTimeout)
-
-
-def drain(stream: DataFrame, mode: str, timeout: int = 240) -> DataFrame:
-    """Runs the stream over everything there is and returns its output.
-
-    In complete mode each batch replaces the result, otherwise batches are appended with their number. A query that
-    does not end within ``timeout`` seconds is stopped and raises.
+    ``each`` is applied to every micro-batch before it is written. A batch that comes again replaces what it wrote. A
+    query that does not end within ``timeout`` seconds is stopped and raises.
     """
     spark = stream.sparkSession
     base = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite" if mode == "complete" else "append").parquet(f"{base}/out")
+        write_batch(each(batch) if each else batch, number, f"{base}/out")
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(write).start()
     try:
@@ -109,14 +83,40 @@ def drain(stream: DataFrame, mode: str, timeout: int = 240) -> DataFrame:
     return spark.read.parquet(f"{base}/out")
 
 
+def write_batch(batch: DataFrame, number: int, path: str) -> None:
+    batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+
+def latest(updates: DataFrame, *key: str) -> DataFrame:
+    """The newest row of each key from the output of an update-mode query."""
+    rest = [c for c in updates.columns if c not in (*key, "batch")]
+    return updates.groupBy(*key).agg(F.max(F.struct("batch", *rest)).alias("r")).select(*key, *[f"r.{c}" for c in rest])
+
+
 def stream_rate_per_minute(spark: SparkSession, d: str, as_requests) -> DataFrame:
-    return drain(rate_per_minute(as_requests(events(spark, d))), "complete").drop("batch")
+    return latest(drain(rate_per_minute(as_requests(events(spark, d))), "update"), "ip", "minute")
+
+
+def stream_traffic_bins(spark: SparkSession, d: str, as_requests, width: int) -> DataFrame:
+    return latest(drain(traffic_bins(as_requests(events(spark, d)), width), "update"), "bin")
+
+
+def folded_state(reviews: DataFrame) -> DataFrame:
+    """The state of (user, item) after a stream of reviews: parts per micro-batch, merged when read."""
+    return telemetry.state_of(telemetry.merged_state(drain(reviews.withColumn("ts", F.col("ts").cast("timestamp")), "append", telemetry.state_parts)))
+
+
+def receipts(deliveries: DataFrame) -> DataFrame:
+    """Outcomes of a stream of deliveries under their keys: parts per micro-batch, merged when read."""
+    return telemetry.merged_receipts(drain(deliveries, "append", telemetry.receipt_parts))
 
 
-def stream_traffic_bins(spark: SparkSession, d: str, as_requests) -> DataFrame:
-    return drain(traffic_bins(as_requests(events(spark, d)), telemetry.BIN_SECONDS["24h"]), "complete").drop("batch")
+def peak_per_second(requests: DataFrame) -> DataFrame:
+    """The busiest second of a stream: counts per second and micro-batch, added up when read."""
+    parts = drain(requests, "append", lambda batch: batch.groupBy(telemetry.seconds("created_at").alias("s")).agg(F.count("*").alias("n")))
+    return parts.groupBy("s").agg(F.sum("n").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0).cast("long")).alias("peak_qps"))
 
 
-def stream_state_fold(spark: SparkSession, d: str, as_reviews) -> DataFrame:
-    touched = drain(folded_state(as_reviews(events(spark, d))), "update")
-    return touched.groupBy("user_id", "item").agg(F.max(F.struct("batch", "version", "status", "review_count", "last_score", "last_reviewed_at")).alias("r")).select("user_id", "item", "r.status", "r.review_count", "r.version", "r.last_score", "r.last_reviewed_at")
+def newest_per_key(stream: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """The newest row of each key of a stream: the newest of each micro-batch, compared again when read."""
+    return telemetry.latest_per_key(drain(stream, "append", lambda batch: telemetry.latest_per_key(batch, key, order)).drop("batch"), key, order)

@@ -132,17 +132,35 @@ def test_streams_equal_their_batch_twins(spark, event_files):
     d, batch = event_files
     reviews = lambda df: df.selectExpr("event_id", "user_id", "event_id % 7 AS item", "CASE event_type WHEN 'view' THEN 'UNSEEN' WHEN 'error' THEN 'WEAK' ELSE 'REVIEWED' END AS status", "CASE WHEN event_id % 3 = 0 THEN CAST(value AS long) END AS score", "ts")
     source = streams.events(spark, d, files_per_batch=1)
-    touched = streams.drain(streams.folded_state(reviews(source)), "update")
-    assert touched.select("batch").distinct().count() > 1
-    last = {}
-    for r in touched.orderBy("batch").collect():
-        last[(r.user_id, r["item"])] = (r.status, r.review_count, r.version, r.last_score, r.last_reviewed_at)
+    last = {(r.user_id, r["item"]): (r.status, r.review_count, r.version, r.last_score, r.last_reviewed_at) for r in streams.folded_state(reviews(source)).collect()}
     want = {(r.user_id, r["item"]): (r.status, r.review_count, r.version, r.last_score, r.last_reviewed_at) for r in T.folded_state(reviews(batch)).collect()}
     assert last == want
+    deliveries = lambda df: df.selectExpr("event_id", "CAST(value AS string) AS key", "event_type AS payload_hash")
+    assert sorted(map(tuple, streams.receipts(deliveries(streams.events(spark, d, 1))).collect())) == sorted(map(tuple, T.receipts(deliveries(batch)).collect()))
 
     requests = lambda df: df.selectExpr("event_id", "user_id AS visitor_id", "CAST(user_id AS string) AS ip", "CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status", "ts AS created_at")
-    bins = streams.drain(streams.traffic_bins(requests(streams.events(spark, d, 1)), 900), "complete")
+    bins = streams.latest(streams.drain(streams.traffic_bins(requests(streams.events(spark, d, 3)), 900), "update"), "bin")
     filled = {r.bin: (r.requests, r.errors) for r in T.filled_bins(requests(batch), 900).where("requests > 0").collect()}
     assert {r.bin: (r.requests, r.errors) for r in bins.collect()} == filled
     keyed = streams.events(spark, d, 1).selectExpr("ts", "CAST(value AS string) AS key")
     assert streams.drain(streams.first_deliveries(keyed, "1 day"), "append").count() == 11
+
+
+def test_a_retried_batch_writes_once(spark, tmp_path):
+    for _ in range(2):
+        streams.write_batch(spark.range(3), 7, str(tmp_path / "out"))
+    streams.write_batch(spark.range(2), 8, str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).groupBy("batch").count().orderBy("batch").collect() == [(7, 3), (8, 2)]
+
+
+def test_receipts_and_ledger(spark, monkeypatch):
+    rows = [(1, "k", "a"), (2, "k", "a"), (3, "k", "b"), (4, "j", None), (5, "j", None)]
+    got = T.receipts(spark.createDataFrame(rows, "event_id long, key string, payload_hash string")).collect()
+    assert sorted(map(tuple, got)) == [("j", 4, "ACCEPTED", 1), ("j", 4, "REPLAY", 1), ("k", 1, "ACCEPTED", 1), ("k", 1, "CONFLICT", 1), ("k", 1, "REPLAY", 1)]
+    monkeypatch.setattr(T, "LEDGER_BUCKET", 3)
+    entries = spark.createDataFrame([(i, "a" if i % 4 else "b", float(i)) for i in range(20)], "seq long, account string, amount double")
+    totals = {r.seq: (r.total, r.accepted) for r in T.ledger(entries, 30.0).collect()}
+    run = {"a": 0.0, "b": 0.0}
+    for i in range(20):
+        run["a" if i % 4 else "b"] += i
+        assert totals[i] == (run["a" if i % 4 else "b"], run["a" if i % 4 else "b"] <= 30.0)
