@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from occura.queries import analytics, evaluation, lineage, more, retrieval, streams, telemetry, text
+from occura.queries import analytics, evaluation, lineage, more, retrieval, rules, streams, telemetry, text
 
-_REGISTRIES = tuple(m.register for m in (analytics, text, lineage, retrieval, telemetry, evaluation, streams, more))
+_REGISTRIES = tuple(m.register for m in (analytics, text, lineage, retrieval, telemetry, evaluation, streams, more, rules))
 
 
 def queries() -> dict[str, Callable]:

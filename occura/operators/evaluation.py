@@ -173,3 +173,21 @@ def regrouped(options: DataFrame) -> DataFrame:
     """(field, value, probability): options that decode to the same value are summed (at most 1); the likeliest value of each field."""
     per = options.groupBy("field", "value").agg(F.least(F.lit(1.0), F.round(F.sum("probability"), 9)).alias("probability"))
     return per.groupBy("field").agg(F.max(F.struct("probability", "value")).alias("b")).select("field", "b.value", "b.probability")
+
+
+def same_pair_recall(gold: DataFrame, candidates: DataFrame, judged_same: Column) -> DataFrame:
+    """(same_gold, observed, candidate_recall, end_to_end_recall) over gold pairs (query_id, right_id).
+
+    ``candidates``: (query_id, candidate_id). Both recalls are null unless candidates were observed for every pair.
+    """
+    seen = candidates.join(gold, "query_id").groupBy("query_id").agg(F.max(F.col("candidate_id") == F.col("right_id")).alias("hit"))
+    rows = gold.join(seen, "query_id", "left").select("hit", judged_same.alias("same"))
+    n = lambda c: F.count(F.when(c, 1))
+    every = n(F.col("hit").isNotNull()) == F.count("*")
+    return rows.agg(F.count("*").alias("same_gold"), n(F.col("hit").isNotNull()).alias("observed"), F.when(every, ratio(n(F.col("hit")), F.count("*"))).alias("candidate_recall"), F.when(every, ratio(n(F.col("hit") & F.col("same")), F.count("*"))).alias("end_to_end_recall"))
+
+
+def admitted(samples: DataFrame, contract: str, accepted: Column, wrong: Column, least: int) -> DataFrame:
+    """(contract, accepted, errors, admitted): a contract is admitted with enough accepted samples and no error."""
+    per = samples.groupBy(contract).agg(F.count(F.when(accepted, 1)).alias("accepted"), F.count(F.when(wrong, 1)).alias("errors"))
+    return per.withColumn("admitted", (F.col("accepted") >= least) & (F.col("errors") == 0))

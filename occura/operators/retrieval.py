@@ -154,7 +154,9 @@ def cosine_top_k(queries: DataFrame, rows: DataFrame, ident: str, vector: str, k
     Exact. Vectors are packed into blocks; a task multiplies a block of queries by a block of rows and hands on only
     k candidates a query, so what is shuffled is k per query and block. Vectors that are null, empty, zero or not finite
     are left out, before they are packed; a block holds vectors of one length, and only equal lengths are compared.
+    Ids are whole numbers or strings.
     """
+    kind = "string" if dict(rows.dtypes)[ident] == "string" else "long"
 
     def packed(df: DataFrame, names: tuple[str, str]) -> DataFrame:
         def run(batches: Iterator) -> Iterator:
@@ -164,7 +166,7 @@ def cosine_top_k(queries: DataFrame, rows: DataFrame, ident: str, vector: str, k
 
             def block(good: list) -> pa.RecordBatch:
                 data = np.concatenate([v for _, v in good]).tobytes()
-                return pa.RecordBatch.from_arrays([pa.array([[i for i, _ in good]], pa.list_(pa.int64())), pa.array([data], pa.binary())], names=list(names))
+                return pa.RecordBatch.from_arrays([pa.array([[i for i, _ in good]], pa.list_(pa.string() if kind == "string" else pa.int64())), pa.array([data], pa.binary())], names=list(names))
 
             for b in batches:
                 for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -178,7 +180,7 @@ def cosine_top_k(queries: DataFrame, rows: DataFrame, ident: str, vector: str, k
             for good in by_length.values():
                 yield block(good)
 
-        return df.select(F.col(ident).cast("long"), vector).mapInArrow(run, f"{names[0]} array<long>, {names[1]} binary")
+        return df.select(F.col(ident).cast(kind), vector).mapInArrow(run, f"{names[0]} array<{kind}>, {names[1]} binary")
 
     def compare(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -200,7 +202,7 @@ def cosine_top_k(queries: DataFrame, rows: DataFrame, ident: str, vector: str, k
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, flat.sum(1))), pa.array(ri[order][flat]), pa.array(kept[flat])], names=["query_id", ident, "score"])
 
     pairs = packed(queries, ("qi", "qv")).crossJoin(packed(rows, ("ri", "rv")))  # blocks of a stated query set against blocks of all rows
-    return top_k(pairs.mapInArrow(compare, f"query_id long, {ident} long, score double"), k, "query_id", ident)
+    return top_k(pairs.mapInArrow(compare, f"query_id {kind}, {ident} {kind}, score double"), k, "query_id", ident)
 
 
 def fuse(rankings: list[tuple[DataFrame, float]], k: int = RRF_K) -> DataFrame:
