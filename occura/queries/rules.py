@@ -40,13 +40,13 @@ register("compact_dates", """SELECT doc_id, CASE WHEN c <> '' THEN TRY_CAST(subs
 
 # A task's surroundings: the last four lines before a mention with their section's heading, and three lines behind it.
 _SECTION = "(?i)^\\s*(?:#{1,6}\\s*)?(?:[0-9]+[.、\\s]*)?(?:手撕(?:代码|算法)?|手写|算法(?:题)?|(?:AI\\s*)?coding(?:部分|环节)?|笔试|讲思路)\\s*(?:[:：（(]|$)"
-register("task_context", f"""WITH t AS (SELECT doc_id, text, strpos(text, '第') AS pos FROM (SELECT doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text FROM documents) WHERE strpos(text, '第') > 0),
-    l AS (SELECT doc_id, CASE WHEN pos = 1 THEN [] ELSE string_split(regexp_replace(substr(text, 1, pos - 1), '\\n$', ''), chr(10)) END AS before, CASE WHEN pos = length(text) THEN [] ELSE string_split(regexp_replace(substr(text, pos + 1), '\\n$', ''), chr(10)) END AS behind FROM t),
+register("task_context", f"""WITH t AS (SELECT doc_id, text, strpos(text, '面试官') AS pos FROM (SELECT doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text FROM documents) WHERE strpos(text, '面试官') > 0),
+    l AS (SELECT doc_id, CASE WHEN pos = 1 THEN [] ELSE string_split(regexp_replace(substr(text, 1, pos - 1), '\\n$', ''), chr(10)) END AS before, CASE WHEN pos + 2 = length(text) THEN [] ELSE string_split(regexp_replace(substr(text, pos + 3), '\\n$', ''), chr(10)) END AS behind FROM t),
     r AS (SELECT doc_id, array_to_string(before[-4:], chr(10)) AS near, list_filter(before[-20:], lambda x: length(x) < 200 AND regexp_matches(x, '{_SECTION}'))[-1] AS section, behind FROM l),
     k AS (SELECT *, CASE WHEN length(near) > 800 THEN right(near, 800) ELSE near END AS recent FROM r)
     SELECT doc_id, CASE WHEN section IS NOT NULL AND NOT contains(recent, section) THEN section || chr(10) || recent ELSE recent END AS context_before, left(array_to_string(behind[1:3], chr(10)), 400) AS context_after FROM k""")(
-    lambda spark, d: corpus.scan(spark, d, "documents", "doc_id", "text").withColumn("text", T.unix_lines(F.col("text"))).withColumn("at", F.instr("text", "第")).where("at > 0")
-    .select("doc_id", T.context_before(F.col("text"), F.col("at") - 1).alias("context_before"), T.context_behind(F.col("text"), F.col("at")).alias("context_after"))
+    lambda spark, d: corpus.scan(spark, d, "documents", "doc_id", "text").withColumn("text", T.unix_lines(F.col("text"))).withColumn("at", F.instr("text", "面试官")).where("at > 0")
+    .select("doc_id", T.context_before(F.col("text"), F.col("at") - 1).alias("context_before"), T.context_behind(F.col("text"), F.col("at") + 2).alias("context_after"))
 )
 
 # ---------------------------------------------------------------- extraction
