@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from occura import shared
 from occura.operators.filters import BEST_AVAILABLE, FilterSpec, effective_date
 
 # Score weights, band limits, gap weights by study status.
@@ -37,18 +38,6 @@ def group_key(by: str) -> F.Column:
     raise ValueError(f"cannot group by {by!r}")
 
 
-def measures(as_of: date, basis: str) -> list[F.Column]:
-    when, today = effective_date(basis), F.lit(as_of)
-    recent = (when >= F.add_months(today, -RECENT_MONTHS)) & (when < F.date_add(today, 1))
-    return [
-        F.count("*").alias("occurrence_count"),
-        F.countDistinct("interview_id").alias("interview_count"),
-        F.countDistinct("source_id").alias("source_document_count"),
-        F.countDistinct("company_normalized").alias("company_count"),
-        F.sum(F.when(recent, 1).otherwise(0)).cast("long").alias("recent_count"),
-    ]
-
-
 def grouped(scope: DataFrame, by: str, as_of: date, basis: str = BEST_AVAILABLE) -> DataFrame:
     """Counts per group, and the smallest occurrence id as its witness.
 
@@ -57,15 +46,32 @@ def grouped(scope: DataFrame, by: str, as_of: date, basis: str = BEST_AVAILABLE)
     """
     when, today = effective_date(basis), F.lit(as_of)
     recent = (when >= F.add_months(today, -RECENT_MONTHS)) & (when < F.date_add(today, 1))
-    per_interview = scope.groupBy(group_key(by).alias("key"), "interview_id", "source_id", "company_normalized").agg(
+    return _groups(_per_interview(scope, group_key(by), recent))
+
+
+def _per_interview(scope: DataFrame, key: F.Column, recent: F.Column) -> DataFrame:
+    return scope.groupBy(key.alias("key"), "interview_id", "source_id", "company_normalized").agg(
         F.count("*").alias("n"), F.sum(F.when(recent, 1).otherwise(0)).alias("r"), F.min("occurrence_id").alias("w")
     )
+
+
+def _groups(per_interview: DataFrame) -> DataFrame:
     return per_interview.groupBy("key").agg(
         F.sum("n").alias("occurrence_count"), F.count("*").alias("interview_count"), F.countDistinct("source_id").alias("source_document_count"),
         F.countDistinct("company_normalized").alias("company_count"), F.sum("r").cast("long").alias("recent_count"), F.min("w").alias("witness_id"),
     )
 
 
+def scored_scope(scope: DataFrame, by: str, as_of: date, basis: str = BEST_AVAILABLE) -> DataFrame:
+    """``scored`` groups of a scope, whose joins are run once: the pre-aggregated pairs are written to a table, from
+    which groups, largest counts and known companies are taken, and the groups to another that every reader scans."""
+    when, today = effective_date(basis), F.lit(as_of)
+    recent = (when >= F.add_months(today, -RECENT_MONTHS)) & (when < F.date_add(today, 1))
+    pairs = shared.written(_per_interview(scope, group_key(by), recent), "pairs")
+    groups = shared.written(_groups(pairs), "groups")
+    return scored(groups, pairs.agg(F.countDistinct("company_normalized").alias("known_companies")))
+
+
 def totals(scope: DataFrame) -> DataFrame:
     """One row: occurrences, interviews, source documents and known companies of the scope."""
     return scope.agg(
@@ -169,3 +175,11 @@ def followups(occurrences: DataFrame) -> DataFrame:
     following = occurrences.withColumn("target_id", F.lead("canonical_question_id").over(w))
     edges = following.where("canonical_question_id IS NOT NULL AND target_id IS NOT NULL AND canonical_question_id <> target_id")
     return edges.groupBy(F.col("canonical_question_id").alias("source_id"), "target_id").agg(F.count("*").alias("edges"), F.countDistinct("interview_id").alias("interviews"))
+
+
+def next_page(groups: DataFrame, score: str, size: int) -> DataFrame:
+    """The page that follows the first ``size`` groups, found from the last of these rather than by an offset."""
+    first = groups.orderBy(F.col(score).desc(), "key").limit(size)
+    last = first.groupBy().agg(F.max(F.struct((-F.col(score)).alias("col1"), F.col("key"))).alias("last"), F.count("*").alias("n"))
+    after = groups.join(F.broadcast(last)).where((F.col("n") == size) & ((-F.col(score) > F.col("last.col1")) | ((-F.col(score) == F.col("last.col1")) & (F.col("key") > F.col("last.key")))))
+    return after.orderBy(F.col(score).desc(), "key").limit(size).drop("last", "n")

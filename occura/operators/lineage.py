@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Longest chain of redirects that is followed.
-HOPS = 8
+from occura import shared
 
 
 def source_upsert(sources: DataFrame) -> DataFrame:
@@ -26,13 +25,22 @@ def pending_builds(wanted: DataFrame, built: DataFrame) -> DataFrame:
 
 
 def redirects(canonical: DataFrame) -> DataFrame:
-    """(id, target_id, hops): where every redirect ends. Only the redirecting rows are followed, hop by hop."""
-    edge = canonical.where("redirect_to_id IS NOT NULL").select("id", "redirect_to_id").distinct()
-    out = edge.select("id", F.col("redirect_to_id").alias("target_id"), F.lit(1).alias("hops"))
-    for _ in range(HOPS - 1):
-        nxt = edge.select(F.col("id").alias("target_id"), F.col("redirect_to_id").alias("further"))
-        out = out.join(nxt, "target_id", "left").select("id", F.coalesce("further", "target_id").alias("target_id"), (F.col("hops") + F.col("further").isNotNull().cast("int")).alias("hops"))
-    return out
+    """(id, target_id, hops): where every redirect ends, however long its chain; both null where it never ends.
+
+    Each round joins the redirects with themselves and so doubles the steps: a chain of n takes log n rounds. What still
+    moves after as many steps as there are redirects runs in a circle. A row with several targets takes the smallest.
+    """
+    edge = canonical.where("id IS NOT NULL AND redirect_to_id IS NOT NULL").groupBy("id").agg(F.min("redirect_to_id").alias("target_id")).withColumn("hops", F.lit(1).cast("long"))
+    out, steps = shared.written(edge, "redirects"), 1
+    most = out.count()
+    while True:
+        on = out.select(F.col("id").alias("target_id"), F.col("target_id").alias("further"), F.col("hops").alias("more"))
+        moved = out.join(on, "target_id", "left")
+        if steps > most or not moved.where("further IS NOT NULL").limit(1).count():
+            ends = F.col("further").isNull()
+            return moved.select("id", F.when(ends, F.col("target_id")).alias("target_id"), F.when(ends, F.col("hops")).alias("hops"))
+        out = shared.written(moved.select("id", F.coalesce("further", "target_id").alias("target_id"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops")), "redirects")
+        steps *= 2
 
 
 def majority_label(occurrences: DataFrame, incumbent: DataFrame) -> DataFrame:
@@ -58,10 +66,15 @@ def duplicate_keys(df: DataFrame, *key: str) -> DataFrame:
 
 
 def search_documents(canonical: DataFrame, occurrences: DataFrame) -> DataFrame:
-    """The search index: one row a question with its text and the sorted distinct wordings, topics and types."""
-    joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), "\n")
-    per = occurrences.groupBy("canonical_question_id").agg(joined("normalized_question").alias("variants"), joined("topic_id").alias("topic_ids"), joined("question_type").alias("question_types"))
-    return canonical.select(F.col("id").alias("canonical_question_id"), "canonical_text").join(per, "canonical_question_id", "left").select("canonical_question_id", "canonical_text", *[F.coalesce(c, F.lit("")).alias(c) for c in ("variants", "topic_ids", "question_types")])
+    """(canonical_question_id, field, value): what the search index knows of each question, one row a value.
+
+    Its own text, and every distinct wording, topic and type it was asked with. Values stay rows, as one question may
+    have a tenth of all wordings; the index takes them in field by field.
+    """
+    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(c).alias("value")) for f, c in (("variant", "normalized_question"), ("topic", "topic_id"), ("type", "question_type"))])).alias("p")
+    asked = occurrences.select("canonical_question_id", pairs).select("canonical_question_id", "p.*").where("value IS NOT NULL").distinct()
+    own = canonical.select(F.col("id").alias("canonical_question_id"), F.lit("text").alias("field"), F.col("canonical_text").alias("value"))
+    return own.unionByName(asked.join(canonical.select(F.col("id").alias("canonical_question_id")), "canonical_question_id", "left_semi"))
 
 
 def table_digest(df: DataFrame, ident: str) -> DataFrame:

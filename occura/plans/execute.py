@@ -32,7 +32,7 @@ def run(spark: SparkSession, d: str, plan: Plan, as_of: date, after: tuple[float
     if plan.action == "SEARCH":
         return _search(spark, d, plan, scope, preferred)
     by = plan.group_by or "question"
-    groups = analytics.scored(analytics.grouped(scope, by, as_of, plan.filters.date_basis), analytics.totals(scope))
+    groups = analytics.scored_scope(scope, by, as_of, plan.filters.date_basis)
     score = {"frequency": "occurrence_count", "importance": "importance_score", "gap": "gap_score"}[plan.sort]
     if by == "question":
         groups = analytics.with_gap(groups, corpus.user_states(spark, d))

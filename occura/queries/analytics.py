@@ -134,8 +134,7 @@ gapped AS (SELECT b.*, coalesce(u.user_status, 'UNSEEN') AS user_status,
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    active = _active(spark, d, *A.MEASURED)
-    return A.scored(A.grouped(active, "question", AS_OF), A.totals(active))
+    return A.scored_scope(_active(spark, d, *A.MEASURED), "question", AS_OF)
 
 
 def _gapped(spark: SparkSession, d: str) -> DataFrame:
@@ -169,11 +168,7 @@ register("topn_review_after", f"{_SCORED} SELECT {_TOP} FROM (SELECT *, row_numb
 @register("keyset_page2", f"{_SCORED} SELECT key, importance_score FROM banded ORDER BY importance_score DESC, key LIMIT 20 OFFSET 20")
 def keyset_page2(spark: SparkSession, d: str) -> DataFrame:
     """The second page, found from the last row of the first one rather than by an offset."""
-    groups = _scored(spark, d).select("key", "importance_score").persist()
-    first = groups.orderBy(F.desc("importance_score"), "key").limit(20).collect()
-    if len(first) < 20:
-        return groups.limit(0)
-    return A.page_after(groups, "importance_score", first[-1].importance_score, first[-1].key, 20)
+    return A.next_page(_scored(spark, d).select("key", "importance_score"), "importance_score", 20)
 
 
 register("offset_page", f"{_WITH} SELECT occurrence_id, canonical_question_id FROM active ORDER BY occurrence_id LIMIT 25 OFFSET 50")(

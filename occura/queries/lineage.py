@@ -35,7 +35,7 @@ register(
 register(
     "redirect_resolve",
     """WITH RECURSIVE e AS (SELECT DISTINCT id, redirect_to_id FROM canonical WHERE redirect_to_id IS NOT NULL),
-    c(id, target_id, hops) AS (SELECT id, redirect_to_id, 1 FROM e UNION ALL SELECT c.id, e.redirect_to_id, hops + 1 FROM c JOIN e ON c.target_id = e.id WHERE hops < 8)
+    c(id, target_id, hops) AS (SELECT id, redirect_to_id, 1 FROM e UNION ALL SELECT c.id, e.redirect_to_id, hops + 1 FROM c JOIN e ON c.target_id = e.id)
     SELECT id, target_id, hops FROM c QUALIFY row_number() OVER (PARTITION BY id ORDER BY hops DESC) = 1""",
 )(lambda spark, d: L.redirects(corpus.scan(spark, d, "canonical", "id", "redirect_to_id")))
 register(
@@ -65,9 +65,9 @@ for _r in (4, 6):
 register("current_assignment_unique", f"{_ASSIGNED} SELECT count(*) AS current_rows, count(DISTINCT occurrence_id) AS occurrences FROM a WHERE valid_to IS NULL")(
     lambda spark, d: _assignments(spark, d).where("valid_to IS NULL").agg(F.count("*").alias("current_rows"), F.countDistinct("occurrence_id").alias("occurrences"))
 )
-register("search_documents", """WITH c AS (SELECT DISTINCT id, canonical_text FROM canonical), o AS (SELECT canonical_question_id, array_to_string(list_sort(list_distinct(list(normalized_question))), chr(10)) AS variants,
-      array_to_string(list_sort(list_distinct(list(topic_id))), chr(10)) AS topic_ids, array_to_string(list_sort(list_distinct(list(question_type))), chr(10)) AS question_types FROM occurrence WHERE canonical_question_id IS NOT NULL GROUP BY 1)
-    SELECT id AS canonical_question_id, canonical_text, coalesce(variants, '') AS variants, coalesce(topic_ids, '') AS topic_ids, coalesce(question_types, '') AS question_types FROM c LEFT JOIN o ON o.canonical_question_id = c.id""")(
+register("search_documents", """WITH c AS (SELECT DISTINCT id, canonical_text FROM canonical), o AS (SELECT canonical_question_id AS id, normalized_question, topic_id, question_type FROM occurrence WHERE canonical_question_id IN (SELECT id FROM c))
+    SELECT id AS canonical_question_id, 'text' AS field, canonical_text AS value FROM c UNION ALL SELECT DISTINCT id, 'variant', normalized_question FROM o WHERE normalized_question IS NOT NULL
+    UNION ALL SELECT DISTINCT id, 'topic', topic_id FROM o WHERE topic_id IS NOT NULL UNION ALL SELECT DISTINCT id, 'type', question_type FROM o WHERE question_type IS NOT NULL""")(
     lambda spark, d: L.search_documents(
         corpus.records(spark, d, "canonical", "id", "canonical_text"),
         corpus.scan(spark, d, "occurrence", "canonical_question_id", "normalized_question", "topic_id", "question_type").where("canonical_question_id IS NOT NULL"),

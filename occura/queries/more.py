@@ -184,14 +184,11 @@ _NEWEST = "SELECT DISTINCT id, created_at FROM interview ORDER BY created_at DES
 @register("newest_page2", f"SELECT id FROM ({_NEWEST}) LIMIT 20 OFFSET 20")
 def newest_page2(spark: SparkSession, d: str) -> DataFrame:
     """Keyset by (created_at, id), both descending; one row more than a page says whether another follows."""
-    rows = corpus.records(spark, d, "interview", "id", "created_at").persist()
+    rows = corpus.records(spark, d, "interview", "id", "created_at").where("created_at IS NOT NULL")
     order = [F.desc("created_at"), F.desc("id")]
-    first = rows.orderBy(*order).limit(21).collect()
-    if len(first) < 21:
-        return rows.limit(0).select("id")
-    last = first[19]
-    after = (F.col("created_at") < F.lit(last.created_at)) | ((F.col("created_at") == F.lit(last.created_at)) & (F.col("id") < last.id))
-    return rows.where(after).orderBy(*order).limit(20).select("id")
+    first = rows.orderBy(*order).limit(20).agg(F.min(F.struct("created_at", "id")).alias("last"), F.count("*").alias("n"))
+    after = (F.col("created_at") < F.col("last.created_at")) | ((F.col("created_at") == F.col("last.created_at")) & (F.col("id") < F.col("last.id")))
+    return rows.join(F.broadcast(first)).where((F.col("n") == 20) & after).orderBy(*order).limit(20).select("id")
 
 
 @register("ascending_id_page", "SELECT id FROM (SELECT DISTINCT id FROM canonical) WHERE id > '8' ORDER BY id LIMIT 25")

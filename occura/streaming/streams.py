@@ -8,27 +8,18 @@ of its own events, built-in aggregates only, and a reader merges them. ``drain``
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from occura import shared
 from occura.operators import telemetry
 
 LATE = "1 hour"
 EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors see; a local session without one gets a temporary folder."""
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not configured and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
-    return configured or tempfile.mkdtemp(prefix="occura-streams-")
-
-
 def events(spark: SparkSession, directory: str, files_per_batch: int = 1000) -> DataFrame:
     """The events table of a data directory as a file stream."""
     return spark.readStream.schema(EVENT_SCHEMA).option("pathGlobFilter", "events*.parquet").option("maxFilesPerTrigger", files_per_batch).parquet(directory)
@@ -69,7 +60,7 @@ def drain(stream: DataFrame, mode: str, each: Callable[[DataFrame], DataFrame] |
     query that does not end within ``timeout`` seconds is stopped and raises.
     """
     spark = stream.sparkSession
-    base = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = shared.path(spark, "stream")
 
     def write(batch: DataFrame, number: int) -> None:
         write_batch(each(batch) if each else batch, number, f"{base}/out")

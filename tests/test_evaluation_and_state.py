@@ -72,6 +72,11 @@ def test_majority_and_redirects_and_asof(spark):
     assert {r.canonical_question_id: r.topic_id for r in L.majority_label(occ, now).collect()} == {"c": "t2", "d": "t1"}
     chain = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", None)], "id string, redirect_to_id string")
     assert sorted(tuple(r) for r in L.redirects(chain).collect()) == [("a", "c", 2), ("b", "c", 1)]
+    long = spark.createDataFrame([(f"n{i:02}", f"n{i + 1:02}") for i in range(21)] + [("x", "y"), ("y", "x"), ("z", "x"), ("s", "s"), ("q", None)], "id string, redirect_to_id string")
+    got = {r.id: (r.target_id, r.hops) for r in L.redirects(long).collect()}
+    assert all(got[f"n{i:02}"] == ("n21", 21 - i) for i in range(21))
+    assert [got[k] for k in "xyzs"] == [(None, None)] * 4 and "q" not in got
+    assert L.redirects(long.limit(0)).count() == 0
     spans = spark.createDataFrame([(1, 1, 5), (2, 5, None)], "id int, valid_from int, valid_to int")
     assert [[r.id for r in L.assignment_asof(spans, k).collect()] for k in (0, 4, 5)] == [[], [1], [2]]
 
