@@ -12,7 +12,7 @@ from dataclasses import asdict, dataclass, field, replace
 from occura.operators.filters import FilterSpec
 
 # The actions and the filters that a search treats as preferences.
-ACTIONS = ("LIST", "COUNT", "STATS", "SEARCH", "DETAILS")
+ACTIONS = ("LIST", "NEXT", "COUNT", "STATS", "SEARCH", "DETAILS", "REVIEW_STATE")
 SOFT_FIELDS = ("topic_l1", "topic_l2", "coding_focus")
 MAX_TOP, MAX_PAGE, MAX_SEARCH, MAX_DETAILS = 1000, 100, 50, 10
 CURSOR_SECONDS = 3600
@@ -46,7 +46,7 @@ def problems(plan: Plan) -> list[str]:
         out.append("a count has no top_n")
     if plan.action == "STATS" and not plan.group_by:
         out.append("statistics need a grouping")
-    if plan.action == "DETAILS" and not 1 <= len(plan.ids) <= MAX_DETAILS:
+    if plan.action in ("DETAILS", "REVIEW_STATE") and not 1 <= len(plan.ids) <= MAX_DETAILS:
         out.append(f"details need 1 to {MAX_DETAILS} ids")
     if plan.action == "LIST" and plan.group_by not in (None, "question") and (plan.sort != "frequency" or plan.review_statuses):
         out.append("groups are listed by frequency only, without a review filter")
