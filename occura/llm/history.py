@@ -34,7 +34,7 @@ from occura.llm.common import Files, bigram_hashes, exact_similarities, scratch_
 
 BANDS, ROWS, SEED = 28, 4, 20240117
 #: Rows of one bucket of a store table, and the most keys that a batch names in its scan.
-BUCKET_ROWS, FEW = {"bands": 250_000, "classes": 25_000}, 1_000
+BUCKET_ROWS, FEW = {"bands": 500_000, "classes": 50_000}, 1_000
 #: Rows of one page, the least that a scan with named keys reads.
 PAGE_ROWS = 250
 STORE = {
@@ -148,15 +148,15 @@ class History:
         self.spark.sql(f"INSERT OVERWRITE {self._table(table)} PARTITION (batch = {batch}) SELECT * FROM rows_{self.name}")
         self.spark.catalog.dropTempView(f"rows_{self.name}")
 
-    def _room(self, more: int) -> None:
-        """Makes sure that buckets stay of bounded size with ``more`` texts; a new layout has twice the room needed."""
-        held = self.layout.get("texts", 0)
-        rows = {"bands": (held + more) * BANDS, "classes": held + more}
+    def _room(self, texts: int, banded: int) -> None:
+        """Makes sure that buckets stay of bounded size with more texts; a new layout has twice the room needed."""
+        held = {k: self.layout.get(k, 0) for k in ("texts", "banded")}
+        rows = {"bands": (held["banded"] + banded) * BANDS, "classes": held["texts"] + texts}
         if self.layout and all(rows[t] <= 2 * BUCKET_ROWS[t] * self.layout[t] for t in STORE):
             return
         old = dict(self.layout), [self._table(t) for t in STORE] if self.layout else []
         need = {t: max(8, 1 << (2 * rows[t] // BUCKET_ROWS[t]).bit_length()) for t in STORE}
-        self.layout = {"generation": old[0].get("generation", 0) + 1, **need, "texts": held}
+        self.layout = {"generation": old[0].get("generation", 0) + 1, **need, **held}
         self._open()
         for table, was in zip(STORE, old[1], strict=False):
             for batch in self.accepted:
@@ -197,18 +197,19 @@ class History:
         classes = classes.select("kind", "exact", "class_hash", "class_key", F.col("f.batch_no").alias("first_batch"), F.col("f.id").alias("first_id"))
         source, spent = scratch_path(spark, "batch"), scratch_path(spark, "matches")
         new = write_table(classes.mapInArrow(_signed, NEW), source)
-        texts, best = new.count(), None
+        counted = new.agg(F.count("*").alias("texts"), F.count(F.when(~F.col("exact"), 1)).alias("banded")).first()
+        texts, banded, best = counted.texts, counted.banded, None
         if not again:
-            self._room(texts)
+            self._room(texts, banded)
         if self.accepted and texts:
-            met = self._met(new, texts)
+            met = self._met(new, banded)
             best = write_table(met.groupBy("kind", "class_hash", "class_key").agg(F.min(F.struct("first_batch", "first_id")).alias("m"), F.max("is_known").alias("is_known")), spent)
             self.results.append(spent)
         if not again:
             fresh = new if best is None else new.join(best.where("is_known").select("kind", "class_hash", "class_key"), ["kind", "class_hash", "class_key"], "left_anti")
             self._write(fresh, "classes", number)
             self._write(fresh.select("class_hash", "sign_a", "sign_b", F.explode("band_keys").alias("band_key")), "bands", number)
-            self.layout["texts"] += texts
+            self.layout["texts"], self.layout["banded"] = self.layout["texts"] + texts, self.layout["banded"] + banded
             self.files.write(f"{self.path}/layout-{self.layout['generation']}", json.dumps(self.layout))
             self.files.write(f"{self.path}/accepted/{number}", "")
         self.accepted = sorted({*self.accepted, number})
@@ -217,10 +218,10 @@ class History:
             return spark.createDataFrame([], "kind string, class_hash long, key string, match_id string")
         return best.select("kind", "class_hash", F.col("class_key").alias("key"), F.col("m.first_id").alias("match_id"))
 
-    def _met(self, new: DataFrame, texts: int) -> DataFrame:
+    def _met(self, new: DataFrame, banded: int) -> DataFrame:
         """(class_hash, class_key, first_batch, first_id, is_known) of every stored text that a new one equals or resembles."""
         mine = new.select("class_hash", "sign_a", "sign_b", F.explode("band_keys").alias("band_key"))
-        few = [r.band_key for r in mine.select("band_key").distinct().collect()] if texts * BANDS <= FEW else None
+        few = [r.band_key for r in mine.select("band_key").distinct().collect()] if banded * BANDS <= FEW else None
         apart = F.bit_count(F.col("sign_a").bitwiseXOR(F.col("old_a"))) + F.bit_count(F.col("sign_b").bitwiseXOR(F.col("old_b")))
         theirs = self.stored("bands", few).select("band_key", F.col("class_hash").alias("old_hash"), F.col("sign_a").alias("old_a"), F.col("sign_b").alias("old_b"))
         near = theirs.join(mine.hint("shuffle_hash"), "band_key").where((F.col("class_hash") != F.col("old_hash")) & (apart <= BANDS * ROWS - least_agreement(self.threshold)))
