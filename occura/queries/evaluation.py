@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from occura import corpus
 from occura.operators import evaluation as E
 from occura.operators import retrieval as R
-from occura.queries.retrieval import _INDEX, _TEXT, _indexes, _queries
+from occura.queries.retrieval import _INDEX, _TEXT, BRANCH, _indexes, _queries
 from occura.registry import Registry
 
 register = Registry()
@@ -48,7 +48,7 @@ per AS (SELECT query_id, failed, relevant IS NULL AS negative, CASE WHEN relevan
 def _evaluated(spark: SparkSession, d: str) -> DataFrame:
     text, _ = _indexes(spark, d)
     q = _queries(text)
-    ranking = R.bm25_top_k(q, [(text, 1.0)], 50)
+    ranking = R.bm25_top_k(q, [(text, 1.0)], BRANCH)
     queries = q.select("query_id").distinct().withColumn("failed", corpus.nibble("query_id", 1) == "0")
     m = corpus.records(spark, d, "canonical", "id", "primary_topic_id", "question_type").toDF("id", "topic", "kind")
     a, b = m.join(queries, m.id == queries.query_id).select("query_id", "topic", F.col("kind").alias("a_kind")), m.where("topic NOT IN ('misc.unsorted', 'talk.hr')").select(F.col("id").alias("doc_id"), "topic", "kind")

@@ -346,7 +346,7 @@ def recall_by_family(spark: SparkSession, d: str) -> DataFrame:
     q = _queries(text)
     m = corpus.records(spark, d, "canonical", "id", "primary_topic_id").where("primary_topic_id NOT IN ('misc.unsorted', 'talk.hr')")
     gold = q.select("query_id").distinct().join(m.toDF("query_id", "topic"), "query_id").join(m.toDF("doc_id", "topic"), "topic").where("query_id <> doc_id")
-    got = R.bm25_top_k(q, [(text, 1.0)], 50).select("query_id", "doc_id", F.lit(1).alias("hit"))
+    got = R.bm25_top_k(q, [(text, 1.0)], BRANCH).select("query_id", "doc_id", F.lit(1).alias("hit"))
     return gold.join(got, ["query_id", "doc_id"], "left").groupBy("topic").agg(F.count("*").alias("relevant"), F.count("hit").alias("found"), E.ratio(F.count("hit"), F.count("*")).alias("recall"))
 
 
