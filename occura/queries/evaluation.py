@@ -36,7 +36,7 @@ _EVAL = f"""WITH {_INDEX}, t AS {_TEXT}, m AS (SELECT DISTINCT id, primary_topic
 qs AS (SELECT DISTINCT query_id, {_FAILED} AS failed FROM q),
 gold AS (SELECT a.id AS query_id, b.id AS doc_id, CASE WHEN a.kind = b.kind THEN 2 ELSE 1 END AS grade FROM qs JOIN m a ON a.id = qs.query_id JOIN m b ON a.topic = b.topic AND a.id <> b.id AND b.topic <> 'misc.unsorted' AND b.topic <> 'talk.hr'),
 rel AS (SELECT query_id, count(*) AS relevant, sum(CASE WHEN i <= 10 THEN (2 ** grade - 1) / log2(i + 1) END) AS ideal FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, doc_id) AS i FROM gold) GROUP BY 1),
-val AS (SELECT t.* FROM t JOIN qs USING (query_id) WHERE NOT failed),
+val AS (SELECT t.* FROM t JOIN qs USING (query_id) WHERE NOT failed AND rank <= 50),
 h AS (SELECT query_id, count(*) FILTER (rank <= 5) AS h5, count(*) FILTER (rank <= 10) AS h10, min(rank) AS first, sum(CASE WHEN rank <= 10 THEN (2 ** grade - 1) / log2(rank + 1) END) AS dcg FROM val JOIN gold USING (query_id, doc_id) GROUP BY 1),
 per AS (SELECT query_id, failed, relevant IS NULL AS negative, CASE WHEN relevant IS NOT NULL THEN round(coalesce(h5, 0) / CAST(relevant AS DOUBLE), 6) END AS recall_5, CASE WHEN relevant IS NOT NULL THEN round(coalesce(h10, 0) / CAST(relevant AS DOUBLE), 6) END AS recall_10,
   CASE WHEN relevant IS NOT NULL THEN round(coalesce(h10, 0) / CAST(10 AS DOUBLE), 6) END AS precision_10, CASE WHEN relevant IS NOT NULL THEN round(coalesce(1 / CAST(first AS DOUBLE), 0), 6) END AS mrr,
