@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from occura.shared import written
+
 # BM25 and fusion constants, pool sizes.
 K1, B = 1.2, 0.75
 RRF_K = 60
@@ -45,101 +48,341 @@ def _weighted(index: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 #: Queries and documents of one block, and posting matches that are expanded at once.
-QUERY_BLOCK, DOCUMENT_BLOCK, EXPANDED = 512, 2048, 2_000_000
+QUERY_BLOCK, DOCUMENT_BLOCK, EXPANDED = 4096, 65_536, 2_000_000
+#: Documents that one task adds up, block after block, before it hands on k of them a query.
+DOCUMENTS_A_TASK = 16 * DOCUMENT_BLOCK
+
+
+def profiles(documents: DataFrame, ident: str, terms: Column, *also: str) -> DataFrame:
+    """(doc_id, length, ts, tfs, lens, *also) of every document with terms; ``terms`` has each term once, and ids are unique."""
+    ts = documents.select(F.col(ident).cast("string").alias("doc_id"), F.transform(terms, lambda t: F.xxhash64(t)).alias("ts"), *also).where(F.size("ts") > 0)
+    return ts.select("doc_id", F.size("ts").alias("length"), "ts", F.array_repeat(F.lit(1), F.size("ts")).alias("tfs"), F.lit(None).cast("array<int>").alias("lens"), *also)
 
 
-def _blocks(df: DataFrame, size: int, prefix: str) -> DataFrame:
-    """Packs rows (id, terms, weights, fields, kind) into blocks of ``size``: ids, entries a row, the joined arrays, and kinds."""
-    names = [f"{prefix}{c}" for c in ("ids", "counts", "terms", "weights", "fields", "kinds")]
+def counted_profiles(wordings: DataFrame, ident: str, terms: Column) -> DataFrame:
+    """The same for documents of any number of wordings: lengths and term counts are sums over a document's rows.
+
+    A task reads its documents' rows in order and holds the distinct terms of one batch and one document, never the wordings.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        ids: list = []
-        rows: list = []
+        empty = np.zeros(0, np.int64)
+        last, terms_of, counts_of = None, empty, empty  # the document that the next batch may go on with
 
-        def block() -> pa.RecordBatch:
-            joined = [np.concatenate([np.asarray(r[i], t) for r in rows]).tobytes() for i, t in enumerate((np.int64, np.float64, np.int8))]
-            counts = np.array([len(r[0]) for r in rows], np.int64).tobytes()
-            kinds = np.array([r[3] for r in rows], np.int64).tobytes()
-            return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.string())), *[pa.array([x], pa.binary()) for x in (counts, *joined, kinds)]], names=names)
+        def out(ids: list, sizes: np.ndarray, lengths: np.ndarray, ts: np.ndarray, tfs: np.ndarray) -> pa.RecordBatch:
+            at = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+            columns = [pa.array(ids, pa.string()), pa.array(lengths, pa.int32()), pa.ListArray.from_arrays(at, pa.array(ts, pa.int64())), pa.ListArray.from_arrays(at, pa.array(tfs, pa.int32())), pa.nulls(len(ids), pa.list_(pa.int32()))]
+            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "length", "ts", "tfs", "lens"])
 
         for b in batches:
-            for i, *r in zip(*(b.column(c).to_pylist() for c in range(5)), strict=True):
-                ids.append(i)
-                rows.append(r)
-                if len(ids) == size:
-                    yield block()
-                    ids, rows = [], []
-        if ids:
-            yield block()
+            ids = np.array(b.column(0).to_pylist(), object)
+            starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else empty
+            if not len(ids):
+                continue
+            run_of = np.cumsum(np.bincount(starts, minlength=len(ids))) - 1
+            t = b.column(1).flatten().to_numpy()
+            of = np.repeat(run_of, b.column(1).value_lengths().to_numpy())
+            n = np.ones(len(t), np.int64)
+            names = list(ids[starts])
+            if last is not None and names[0] != last:
+                names, of = [last, *names], of + 1
+            of, t, n = np.concatenate([np.zeros(len(terms_of), np.int64), of]), np.concatenate([terms_of, t]), np.concatenate([counts_of, n])
+            order = np.lexsort((t, of))
+            of, t, n = of[order], t[order], n[order]
+            first = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (t[1:] != t[:-1])])) if len(t) else empty
+            of, t, n = of[first], t[first], np.add.reduceat(n, first) if len(first) else empty
+            done = int(np.searchsorted(of, len(names) - 1))
+            last, terms_of, counts_of = names[-1], t[done:], n[done:]
+            if done:
+                sizes = np.bincount(of[:done], minlength=len(names) - 1)
+                lengths = np.bincount(of[:done], weights=n[:done], minlength=len(names) - 1).astype(np.int64)
+                kept = np.flatnonzero(sizes)
+                yield out([names[i] for i in kept], sizes[kept], lengths[kept], t[:done], n[:done])
+        if len(terms_of):
+            yield out([last], np.array([len(terms_of)]), np.array([counts_of.sum()]), terms_of, counts_of)
+
+    rows = wordings.repartition(ident).sortWithinPartitions(ident).select(F.col(ident).cast("string").alias("doc_id"), F.transform(terms, lambda t: F.xxhash64(t)).alias("ts")).where(F.size("ts") > 0)
+    return rows.mapInArrow(run, "doc_id string, length int, ts array<bigint>, tfs array<int>, lens array<int>")
+
+
+def profiles_of(index: DataFrame) -> DataFrame:
+    """Profiles of postings (doc_id, term, tf, length); a document's postings may be of several lengths."""
+    each = F.struct(F.xxhash64("term").alias("t"), F.col("tf").cast("int").alias("tf"), F.col("length").cast("int").alias("length"))
+    rows = index.groupBy("doc_id").agg(F.collect_list(each).alias("x"), F.min("length").alias("low"), F.max("length").alias("high"))
+    return rows.select("doc_id", F.col("low").cast("int").alias("length"), F.col("x.t").alias("ts"), F.col("x.tf").alias("tfs"), F.when(F.col("low") < F.col("high"), F.col("x.length")).alias("lens"))
+
+
+def _lists_of(at: np.ndarray, values: np.ndarray) -> list:
+    return [values[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def _document_blocks(rows: DataFrame, mean_length: float) -> DataFrame:
+    """Packs (doc_id, length, ts, tfs, lens, kinds) into inverted lists of DOCUMENT_BLOCK documents, in the order of their ids.
+
+    A list has a document's place and count; what a length does to a count is kept once a document. ``dsat`` has the
+    weight of every posting instead, where postings of one document differ in length.
+    """
+    names = ("dids", "dkey", "dterms", "dat", "ddocs", "dtfs", "dnorm", "dsat", "dkindof", "dkinds")
+    size = DOCUMENT_BLOCK
 
-    return df.mapInArrow(run, ", ".join([f"{names[0]} array<string>", *[f"{n} binary" for n in names[1:]]]))
+    def block(parts: list):
+        import pyarrow as pa
 
+        ids = pa.concat_arrays([p.column(0) for p in parts])
+        order = np.argsort(np.array([x or "" for x in ids.to_pylist()], object), kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        whole = lambda c: pa.concat_arrays([p.column(c) for p in parts])
+        length = whole(1).to_numpy().astype(np.float64)
+        per = whole(2).value_lengths().to_numpy().astype(np.int64)
+        doc = np.repeat(place, per)
+        t, tf = whole(2).flatten().to_numpy(), whole(3).flatten().to_numpy()
+        by = np.lexsort((doc, t))
+        t, tf = t[by], tf[by]
+        first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+        norm = np.empty(len(order))
+        norm[place] = K1 * (1 - B + B * length / mean_length)
+        sat = b""
+        lens = whole(4)
+        if lens.null_count < len(lens):
+            own = np.repeat(length, per)
+            own[np.repeat(lens.is_valid().to_numpy(zero_copy_only=False), per)] = lens.drop_null().flatten().to_numpy()
+            sat = (tf / (tf + K1 * (1 - B + B * own[by] / mean_length))).tobytes()
+        kinds = whole(5)
+        kind_of = np.repeat(place, kinds.fill_null([]).value_lengths().to_numpy().astype(np.int64)) if kinds.null_count < len(kinds) else np.zeros(0, np.int64)
+        data = [t[first], np.append(first, len(t)).astype(np.int64), doc[by].astype(np.uint16), tf.astype(np.int32) if (tf != 1).any() else np.zeros(0, np.int32), norm]
+        blob = [uuid.uuid4().bytes, *[x.tobytes() for x in data], sat, kind_of.astype(np.int64).tobytes(), kinds.drop_null().flatten().to_numpy().astype(np.int64).tobytes()]
+        return pa.RecordBatch.from_arrays([pa.array([ids.take(pa.array(order)).to_pylist()], pa.list_(pa.string())), *[pa.array([x], pa.binary()) for x in blob]], names=list(names))
 
-def bm25_top_k(queries: DataFrame, fields: list[tuple[DataFrame, float]], k: int, kinds: DataFrame | None = None) -> DataFrame:
-    """(query_id, doc_id, score, rank): the k best documents of every query; the best of several boosted fields counts.
+    def run(batches: Iterator) -> Iterator:
+        parts, n = [], 0
+        for b in batches:
+            while b.num_rows:
+                head = b.slice(0, size - n)
+                parts.append(head)
+                n += head.num_rows
+                b = b.slice(head.num_rows)
+                if n == size:
+                    yield block(parts)
+                    parts, n = [], 0
+        if parts:
+            yield block(parts)
 
-    The same scores as :func:`bm25`, made for many queries: the weighted postings are packed into blocks of documents
-    and the queries into blocks of queries; a task adds up one block's scores in an array and hands on k documents a
-    query (more only where they tie), so the pairs that share some term are never shuffled. Ids are strings.
+    return rows.select("doc_id", "length", "ts", "tfs", "lens", "kinds").mapInArrow(run, ", ".join(["dids array<string>", *[f"{n} binary" for n in names[1:]]]))
 
-    With ``kinds``, (id, kind), a query ranks only the documents of its own kind. They are chosen before the cut to k;
-    N, document frequencies and the mean length still cover the whole index.
+
+def _query_blocks(rows: DataFrame) -> DataFrame:
+    """Packs (query_id, ts, idfs, kinds) into blocks of at most QUERY_BLOCK queries."""
+    names = ("qids", "qat", "qterms", "qidfs", "qkindat", "qkinds")
+    size = QUERY_BLOCK
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for whole in batches:
+            for begin in range(0, whole.num_rows, size):
+                b = whole.slice(begin, size)
+                at = lambda c: np.concatenate([[0], np.cumsum(b.column(c).fill_null([]).value_lengths().to_numpy())]).astype(np.int64).tobytes()  # noqa: E731, B023
+                flat = lambda c, t: b.column(c).fill_null([]).flatten().to_numpy().astype(t).tobytes()  # noqa: E731, B023
+                blob = [at(1), flat(1, np.int64), flat(2, np.float64), at(3), flat(3, np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array([b.column(0).to_pylist()], pa.list_(pa.string())), *[pa.array([x], pa.binary()) for x in blob]], names=list(names))
+
+    return rows.select("query_id", "ts", "idfs", "kinds").mapInArrow(run, ", ".join(["qids array<string>", *[f"{n} binary" for n in names[1:]]]))
+
+
+class _Best:
+    """The k best (score, document) of one list of one query over the blocks seen so far; equal scores by id."""
+
+    def __init__(self, k: int) -> None:
+        self.k, self.least = k, 0.0
+        self.scores, self.documents = np.zeros(0), np.zeros(0, np.int64)
+
+    def add(self, total: np.ndarray, docs: np.ndarray | None, base: int, name) -> None:
+        """Documents of a block lie in the order of their ids; ``docs`` are those that may be taken."""
+        mine = total if docs is None else total[docs]
+        at = np.flatnonzero(mine > max(self.least - 10.0**-DIGITS, 0))
+        if not len(at):
+            return
+        s = np.round(mine[at], DIGITS)
+        if len(s) > self.k:
+            kth = max(np.partition(s, len(s) - self.k)[len(s) - self.k], self.least)
+            taken = np.flatnonzero(s > kth)
+            taken = np.sort(np.concatenate([taken, np.flatnonzero(s == kth)[: self.k - len(taken)]]))
+            at, s = at[taken], s[taken]
+        elif self.least > 0:
+            taken = s >= self.least
+            at, s = at[taken], s[taken]
+        if not len(s):
+            return
+        s, d = np.concatenate([self.scores, s]), np.concatenate([self.documents, (at if docs is None else docs[at]) + base])
+        if len(s) > self.k:
+            kth = np.partition(s, len(s) - self.k)[len(s) - self.k]
+            sure, tied = np.flatnonzero(s > kth), np.flatnonzero(s == kth)
+            room = self.k - len(sure)
+            if len(tied) > room:
+                tied = np.array(sorted(tied, key=lambda i: name(d[i]))[:room], np.int64)
+            taken = np.concatenate([sure, tied])
+            s, d = s[taken], d[taken]
+        self.scores, self.documents = s, d
+        if len(s) == self.k:
+            self.least = s.min()
+
+
+def kinds_of(kinds: DataFrame) -> DataFrame:
+    """(id, kinds) of (id, kind): what :func:`search` compares."""
+    return kinds.toDF("id", "kind").where("kind IS NOT NULL").groupBy("id").agg(F.collect_set(F.xxhash64("kind")).alias("kinds"))
+
+
+def search(queries: DataFrame, index: DataFrame, lists: list[tuple[str, int, int | None, bool]], kinds: DataFrame | None = None) -> DataFrame:
+    """(query_id, stage, doc_id, score, rank): lists of the best documents of every query, all made in one pass.
+
+    ``queries``: (query_id, ts); ``index``: :func:`profiles`, which is read several times and should be a table. A list
+    is (stage, k, half, same): the k best by all terms of the query or, with ``half``, by those whose hash has this last
+    bit; with ``same`` only documents of a kind that the query has in ``kinds`` (id, kind) compete, chosen before the
+    cut to k. An index that has the column ``kinds`` of :func:`kinds_of` is not joined again. N, document frequencies and the mean length always cover the whole index.
+
+    Documents are packed into blocks of inverted lists, queries into blocks. A task adds up its queries over one block
+    of documents after another and keeps k documents a query, so what is shuffled is k a query, however many documents
+    share a term with it.
     """
-    wanted = queries.select("term").distinct()
-    postings_of = None
-    for number, (index, _) in enumerate(fields):
-        one = _weighted(index, wanted).select("doc_id", F.xxhash64("term").alias("t"), "w", F.lit(number).cast("byte").alias("f"))
-        postings_of = one if postings_of is None else postings_of.unionByName(one)
-    boosts = [b for _, b in fields]
-
-    def per(df: DataFrame, ident: str) -> DataFrame:
-        rows = df.groupBy(ident).agg(F.collect_list(F.struct("t", "w", "f")).alias("x"))
-        if kinds is None:
-            return rows.select(ident, "x.t", "x.w", "x.f", F.lit(0).cast("long").alias("kind"))
-        known = kinds.toDF(ident, "kind").where("kind IS NOT NULL")
-        return rows.join(known, ident).select(ident, "x.t", "x.w", "x.f", F.xxhash64("kind").alias("kind"))
-
-    asked = queries.select("query_id", F.xxhash64("term").alias("t"), F.lit(1.0).alias("w"), F.lit(0).cast("byte").alias("f"))
-    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, so that small inputs still use every core
-    blocks = _blocks(per(asked, "query_id"), QUERY_BLOCK, "q").crossJoin(_blocks(per(postings_of.repartition(parts, "doc_id"), "doc_id"), DOCUMENT_BLOCK, "d"))  # blocks of a stated query set against blocks of all rows
+    spark = index.sparkSession
+    stats = index.agg(F.count("*").alias("rows"), F.sum(F.when(F.col("lens").isNull(), 1).otherwise(F.size(F.array_distinct("lens")))).alias("n"), F.sum(F.when(F.col("lens").isNull(), F.col("length")).otherwise(F.aggregate(F.array_distinct("lens"), F.lit(0), lambda a, x: a + x))).alias("total")).first()
+    n_docs, mean_length = stats["n"] or 0, (stats["total"] or 0) / max(stats["n"] or 0, 1)
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(12, 4 * spark.sparkContext.defaultParallelism))
+
+    df = index.select(F.explode("ts").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
+    idf = F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    asked = queries.select("query_id", F.explode("ts").alias("t")).join(df, "t").select("query_id", "t", idf.alias("idf")).repartition(parts, "query_id").groupBy("query_id").agg(F.collect_list(F.struct("t", "idf")).alias("x"))
+    asked = asked.select("query_id", F.col("x.t").alias("ts"), F.col("x.idf").alias("idfs"))
+    of = kinds_of(kinds) if kinds is not None else None
+    if of is not None:
+        asked = asked.join(of.withColumnRenamed("id", "query_id"), "query_id", "left").repartition(parts, "query_id")
+    documents = index
+    if "kinds" not in index.columns:
+        documents = index.withColumn("kinds", F.lit(None).cast("array<bigint>")) if of is None else index.join(of.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    if of is None:
+        asked = asked.withColumn("kinds", F.lit(None).cast("array<bigint>"))
+    packed = _document_blocks(documents.coalesce(max(1, -(-stats["rows"] // DOCUMENT_BLOCK))), mean_length).repartition(max(1, -(-stats["rows"] // DOCUMENTS_A_TASK)))
+    pairs = packed.hint("shuffle_replicate_nl").crossJoin(_query_blocks(asked))  # blocks of all rows, streamed, against blocks of a stated query set
+    expanded = EXPANDED
 
     def score(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        states: dict[str, tuple] = {}
+        names: list = []
+        bases: list[int] = [0]
+        opened, block = None, None
+
+        def name(document: int) -> str:
+            i = int(np.searchsorted(bases, document, "right")) - 1
+            return names[i][int(document) - bases[i]].as_py() or ""
+
         for b in batches:
-            for r in b.to_pylist():
-                nq, nd = len(r["qids"]), len(r["dids"])
-                of_q = np.repeat(np.arange(nq), np.frombuffer(r["qcounts"], np.int64))
-                qt = np.frombuffer(r["qterms"], np.int64)
-                order = np.argsort(qt, kind="stable")
-                qt, of_q = qt[order], of_q[order]
-                of_d = np.repeat(np.arange(nd), np.frombuffer(r["dcounts"], np.int64))
-                dt, dw, df = (np.frombuffer(r[c], t) for c, t in (("dterms", np.int64), ("dweights", np.float64), ("dfields", np.int8)))
-                best = np.zeros(nq * nd)
-                for number, boost in enumerate(boosts):
-                    mine = np.flatnonzero(df == number)
-                    lo, hi = np.searchsorted(qt, dt[mine], "left"), np.searchsorted(qt, dt[mine], "right")
-                    upto = np.cumsum(hi - lo)
-                    total = np.zeros(nq * nd)
-                    at = 0
-                    while at < len(mine):
-                        stop = max(int(np.searchsorted(upto, (upto[at - 1] if at else 0) + EXPANDED, "right")), at + 1)
-                        n = hi[at:stop] - lo[at:stop]
-                        row = np.repeat(np.arange(at, stop), n)
-                        query = of_q[lo[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)]
-                        total += np.bincount(query * nd + of_d[mine[row]], weights=dw[mine[row]], minlength=nq * nd)
-                        at = stop
-                    best = np.maximum(best, np.round(total, DIGITS) * boost)
-                table = best.reshape(nq, nd)
-                table[np.frombuffer(r["qkinds"], np.int64)[:, None] != np.frombuffer(r["dkinds"], np.int64)[None, :]] = 0
-                least = np.partition(table, nd - k, axis=1)[:, nd - k] if nd > k else np.zeros(nq)
-                q, d = np.nonzero((table > 0) & (table >= least[:, None]))
-                ids_q, ids_d = np.array(r["qids"], object), np.array(r["dids"], object)
-                yield pa.RecordBatch.from_arrays([pa.array(ids_q[q], pa.string()), pa.array(ids_d[d], pa.string()), pa.array(table[q, d])], names=["query_id", "doc_id", "score"])
-
-    return top_k(blocks.mapInArrow(score, "query_id string, doc_id string, score double"), k)
+            for i in range(b.num_rows):
+                get = lambda c, t: np.frombuffer(b.column(c)[i].as_buffer(), t)  # noqa: E731, B023
+                key = b.column("dkey")[i].as_py()
+                if key != opened:
+                    opened = key
+                    ids = b.column("dids")[i].values
+                    names.append(ids.take(pa.array(np.arange(len(ids)))))
+                    bases.append(bases[-1] + len(ids))
+                    docs, norm, sat = get("ddocs", np.uint16).astype(np.int64), get("dnorm", np.float64), get("dsat", np.float64)
+                    once = None  # where every count is 1, one factor a document for its whole sum
+                    if not len(sat):
+                        tfs = get("dtfs", np.int32)
+                        sat, once = (tfs / (tfs + norm[docs]), None) if len(tfs) else (None, 1 / (1 + norm))
+                    kind_of, kind = get("dkindof", np.int64), get("dkinds", np.int64)
+                    block = get("dterms", np.int64).copy(), get("dat", np.int64).copy(), docs, None if sat is None else sat.copy(), once, {x: np.sort(kind_of[kind == x]) for x in np.unique(kind)}
+                terms, at, docs, sat, once, of_kind = block
+                base, size = bases[-2], bases[-1] - bases[-2]
+                qids = b.column("qids")[i].values
+                first = qids[0].as_py()
+                if first not in states:
+                    qat, kat = get("qat", np.int64), get("qkindat", np.int64)
+                    states[first] = qids.to_pylist(), _lists_of(qat, get("qterms", np.int64).copy()), _lists_of(qat, get("qidfs", np.float64).copy()), _lists_of(kat, get("qkinds", np.int64).copy()), [[_Best(k) for _, k, _, _ in lists] for _ in range(len(qids))]
+                _, qts, qidfs, qkinds, bests = states[first]
+                for ts, idfs, own, best in zip(qts, qidfs, qkinds, bests, strict=True):
+                    places = np.minimum(np.searchsorted(terms, ts), len(terms) - 1)
+                    known = terms[places] == ts
+
+                    def total(chosen: np.ndarray) -> np.ndarray:
+                        p, w = places[chosen], idfs[chosen]  # noqa: B023
+                        lo, hi = at[p], at[p + 1]  # noqa: B023
+                        if once is not None:  # noqa: B023
+                            out = np.zeros(size)  # noqa: B023
+                            for x, y, z in zip(lo.tolist(), hi.tolist(), w.tolist(), strict=True):
+                                np.add.at(out, docs[x:y], z)  # noqa: B023
+                            out *= once  # noqa: B023
+                            return out
+                        out, begin = None, 0
+                        upto = np.cumsum(hi - lo)
+                        while begin < len(p):
+                            stop = max(int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + expanded, "right")), begin + 1)
+                            n = int(upto[stop - 1] - (upto[begin - 1] if begin else 0))
+                            d, s, here = np.empty(n, np.int64), np.empty(n), 0
+                            for x, y, z in zip(lo[begin:stop].tolist(), hi[begin:stop].tolist(), w[begin:stop].tolist(), strict=True):
+                                d[here : here + y - x] = docs[x:y]  # noqa: B023
+                                np.multiply(sat[x:y], z, out=s[here : here + y - x])  # noqa: B023
+                                here += y - x
+                            one = np.bincount(d, weights=s, minlength=size)  # noqa: B023
+                            out = one if out is None else out + one
+                            begin = stop
+                        return np.zeros(size) if out is None else out  # noqa: B023
+
+                    halves = {h: total(known & ((ts & 1) == h)) for h in (0, 1)} if any(h is not None for _, _, h, _ in lists) else {}
+                    halves[None] = halves[0] + halves[1] if halves else total(known)
+                    alike = None
+                    for (_, _, half, same), x in zip(lists, best, strict=True):
+                        if not same:
+                            x.add(halves[half], None, base, name)
+                            continue
+                        if alike is None:
+                            found = [of_kind[v] for v in own.tolist() if v in of_kind]
+                            alike = found[0] if len(found) == 1 else np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+                        x.add(halves[half], alike, base, name)
+        every = pa.concat_arrays(names) if names else None
+        for qids, _, _, _, bests in states.values():
+            for begin in range(0, len(qids), 256):
+                here = [(q, stage, x) for q, best in zip(qids[begin : begin + 256], bests[begin : begin + 256], strict=True) for (stage, _, _, _), x in zip(lists, best, strict=True) if len(x.scores)]
+                if here:
+                    cut = pa.array(np.concatenate([[0], np.cumsum([len(x.scores) for _, _, x in here])]), pa.int32())
+                    ids = every.take(pa.array(np.concatenate([x.documents for _, _, x in here])))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([q for q, _, _ in here], pa.string()), pa.array([s for _, s, _ in here], pa.string()), pa.ListArray.from_arrays(cut, ids), pa.ListArray.from_arrays(cut, pa.array(np.concatenate([x.scores for _, _, x in here])))],
+                        names=["query_id", "stage", "docs", "scores"],
+                    )
+
+    found = pairs.mapInArrow(score, "query_id string, stage string, docs array<string>, scores array<double>").repartition("query_id")
+    each = found.select("query_id", "stage", F.explode(F.arrays_zip("docs", "scores")).alias("x")).select("query_id", "stage", F.col("x.docs").alias("doc_id"), F.col("x.scores").alias("score"))
+    w = Window.partitionBy("query_id", "stage").orderBy(F.desc("score"), "doc_id")
+    most = F.lit(None).cast("int")
+    for stage, k, _, _ in lists:
+        most = F.when(F.col("stage") == stage, k).otherwise(most)
+    return each.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).withColumn("rank", F.col("rank").cast("long"))
+
+
+def bm25_top_k(queries: DataFrame, fields: list[tuple[DataFrame, float]], k: int, kinds: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, score, rank): the k best documents of every query; the best of several boosted fields counts.
+
+    The same scores as :func:`bm25`, made for many queries by :func:`search`. Fields are postings or :func:`profiles`,
+    ``queries`` (query_id, term) or (query_id, ts). A document among the k best by its best field is among the k best of
+    that field, so each field is searched by itself. Ids are strings.
+
+    With ``kinds``, (id, kind), a query ranks only the documents of its own kind. They are chosen before the cut to k;
+    N, document frequencies and the mean length still cover the whole index.
+    """
+    asked = queries if "ts" in queries.columns else queries.groupBy("query_id").agg(F.collect_list(F.xxhash64("term")).alias("ts"))
+    out = None
+    for index, boost in fields:
+        one = search(asked, index if "ts" in index.columns else written(profiles_of(index), "profiles"), [("", k, None, kinds is not None)], kinds)
+        one = one.select("query_id", "doc_id", (F.col("score") * boost).alias("score"), "rank")
+        out = one if out is None else out.unionByName(one)
+    if len(fields) == 1:
+        return out
+    return top_k(out.drop("rank").repartition("query_id").groupBy("query_id", "doc_id").agg(F.max("score").alias("score")), k)
 
 
 def top_k(scores: DataFrame, k: int, group: str = "query_id", ident: str = "doc_id") -> DataFrame:
@@ -148,9 +391,12 @@ def top_k(scores: DataFrame, k: int, group: str = "query_id", ident: str = "doc_
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
 
 
-def cosine_top_k(queries: DataFrame, rows: DataFrame, ident: str, vector: str, k: int) -> DataFrame:
+def cosine_top_k(queries: DataFrame, rows: DataFrame, ident: str, vector: str, k: int, *, every_tie: bool = False) -> DataFrame:
     """(query_id, id, score, rank): the k rows nearest each query, itself left out, ties by id.
 
+    With ``every_tie``: (query_id, id, score), the query itself too, and at least all rows that score no less than the
+    k-th; the caller decides between them.
+
     Exact. Vectors are packed into blocks; a task multiplies a block of queries by a block of rows and hands on only
     k candidates a query, so what is shuffled is k per query and block. Vectors that are null, empty, zero or not finite
     are left out, before they are packed; a block holds vectors of one length, and only equal lengths are compared.
@@ -195,6 +441,10 @@ def cosine_top_k(queries: DataFrame, rows: DataFrame, ident: str, vector: str, k
                 if q.shape[1] != v.shape[1]:
                     continue
                 score = np.round((q @ v.T) / np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(v, axis=1)), DIGITS)
+                if every_tie:
+                    a, c = np.nonzero(score >= (np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k] if score.shape[1] > k else np.full(len(qi), -np.inf))[:, None])
+                    yield pa.RecordBatch.from_arrays([pa.array(qi[a]), pa.array(ri[c]), pa.array(score[a, c])], names=["query_id", ident, "score"])
+                    continue
                 score[qi[:, None] == ri[None, :]] = -np.inf
                 order = np.lexsort((np.broadcast_to(ri, score.shape), -score), axis=1)[:, :k]
                 kept = np.take_along_axis(score, order, 1)
@@ -202,7 +452,28 @@ def cosine_top_k(queries: DataFrame, rows: DataFrame, ident: str, vector: str, k
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, flat.sum(1))), pa.array(ri[order][flat]), pa.array(kept[flat])], names=["query_id", ident, "score"])
 
     pairs = packed(queries, ("qi", "qv")).crossJoin(packed(rows, ("ri", "rv")))  # blocks of a stated query set against blocks of all rows
-    return top_k(pairs.mapInArrow(compare, f"query_id {kind}, {ident} {kind}, score double"), k, "query_id", ident)
+    scored = pairs.mapInArrow(compare, f"query_id {kind}, {ident} {kind}, score double")
+    return scored if every_tie else top_k(scored, k, "query_id", ident)
+
+
+def cosine_top_k_shared(queries: DataFrame, rows: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, score, rank): :func:`cosine_top_k` for rows (id, vec_id) that share the vectors (vec_id, embedding).
+
+    Vectors are compared once, whatever number of rows has them. A vector is expanded to its first k + 1 rows only if
+    the vectors that score higher have no k + 1 rows; a query's own row is then left out. ``queries``: (id, vec_id).
+    """
+    place = F.row_number().over(Window.partitionBy("vec_id").orderBy("id"))
+    first = rows.withColumn("place", place).where(F.col("place") <= k + 1).drop("place")
+    many = first.groupBy("vec_id").agg(F.count("*").alias("n"))
+    used = vectors.join(many, "vec_id", "left_semi")
+    asked = vectors.join(queries.select("vec_id").distinct(), "vec_id", "left_semi")
+    near = cosine_top_k(asked, used, "vec_id", "embedding", k + 1, every_tie=True).join(many, "vec_id")
+    by_query = Window.partitionBy("query_id")
+    before = F.sum("n").over(by_query.orderBy(F.desc("score"))) - F.sum("n").over(Window.partitionBy("query_id", "score"))
+    near = near.repartition("query_id").withColumn("before", before).where(F.col("before") <= k).select(F.col("query_id").alias("of"), "vec_id", "score")
+    best = top_k(near.join(first, "vec_id"), k + 1, "of", "id").select(F.col("of").alias("vec_id"), "id", "score")
+    each = queries.select(F.col("id").alias("query_id"), "vec_id").join(best, "vec_id").where("query_id <> id").select("query_id", "id", "score")
+    return top_k(each, k, "query_id", "id")
 
 
 def fuse(rankings: list[tuple[DataFrame, float]], k: int = RRF_K) -> DataFrame:
@@ -214,7 +485,7 @@ def fuse(rankings: list[tuple[DataFrame, float]], k: int = RRF_K) -> DataFrame:
     for ranking, w in rankings:
         one = ranking.select("query_id", "doc_id", (F.lit(float(w)) / (k + F.col("rank"))).alias("part"))
         out = one if out is None else out.unionByName(one)
-    return out.groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 9).alias("score"))
+    return out.repartition("query_id").groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 9).alias("score"))  # one shuffle for the sums and for ranks by query
 
 
 # ------------------------------------------------------------------ candidate pools (per query, at most 100 rows each)

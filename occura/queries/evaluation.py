@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from occura import corpus
 from occura.operators import evaluation as E
 from occura.operators import retrieval as R
-from occura.queries.retrieval import _INDEX, _TEXT, BRANCH, _indexes, _queries
+from occura.queries.retrieval import _INDEX, _TEXT, BRANCH, _queries, _text
 from occura.registry import Registry
 
 register = Registry()
@@ -46,7 +46,7 @@ per AS (SELECT query_id, failed, relevant IS NULL AS negative, CASE WHEN relevan
 
 
 def _evaluated(spark: SparkSession, d: str) -> DataFrame:
-    text, _ = _indexes(spark, d)
+    text = _text(spark, d)
     q = _queries(text)
     ranking = R.bm25_top_k(q, [(text, 1.0)], BRANCH)
     queries = q.select("query_id").distinct().withColumn("failed", corpus.nibble("query_id", 1) == "0")

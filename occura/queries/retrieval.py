@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from occura import corpus
@@ -11,6 +11,7 @@ from occura.functions.text import terms
 from occura.operators import retrieval as R
 from occura.queries.text import terms_sql
 from occura.registry import Registry
+from occura.shared import written
 
 register = Registry()
 #: Documents of each list of the main and preferred branches, and of a facet's list.
@@ -39,37 +40,49 @@ _RANKS = f"WITH {_INDEX}, t AS {_TEXT}, w AS {_VARIANTS}"
 
 def _queries(text_index: DataFrame) -> DataFrame:
     number = F.conv(F.substring("doc_id", 1, 8), 16, 10).cast("long")
-    return text_index.where(number % 20 == 0).select(F.col("doc_id").alias("query_id"), "term")
+    return text_index.where(number % 20 == 0).select(F.col("doc_id").alias("query_id"), "ts")
 
 
-def _indexes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _text(spark: SparkSession, d: str, kinds: DataFrame | None = None) -> DataFrame:
+    """Profiles of the questions' own texts, as a table; with ``kinds``, each question's kinds lie beside them."""
     c = corpus.records(spark, d, "canonical", "id", "canonical_text")
-    text = R.postings(c, "id", terms(F.col("canonical_text")))
-    worded = corpus.scan(spark, d, "occurrence", "canonical_question_id", "normalized_question").distinct().join(c.select(F.col("id").alias("canonical_question_id")), "canonical_question_id")
-    per = worded.select("canonical_question_id", terms(F.col("normalized_question")).alias("ts"))
-    # Lengths and term counts are summed per question; its wordings are never gathered into one array.
-    length = per.groupBy("canonical_question_id").agg(F.sum(F.size("ts")).alias("length"))
-    tf = per.select("canonical_question_id", F.explode("ts").alias("term")).groupBy("canonical_question_id", "term").agg(F.count("*").alias("tf"))
-    variants = tf.join(length, "canonical_question_id").select(F.col("canonical_question_id").alias("doc_id"), "term", "length", "tf")
-    return text, variants
-
-
-def _rankings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    text, variants = _indexes(spark, d)
+    rows = c if kinds is None else c.join(R.kinds_of(kinds), "id", "left")
+    text = written(R.profiles(rows, "id", terms(F.col("canonical_text")), *["kinds"] * (kinds is not None)), "text")
+    if text.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return text
+    mixed = R.profiles_of(R.postings(c, "id", terms(F.col("canonical_text"))))  # ids with several texts
+    return written(mixed if kinds is None else mixed.join(R.kinds_of(kinds).withColumnRenamed("id", "doc_id"), "doc_id", "left"), "text")
+
+
+def _variants(spark: SparkSession, d: str) -> DataFrame:
+    """Profiles of the questions' wordings, as a table. Lengths and term counts are summed per question."""
+    known = corpus.scan(spark, d, "canonical", "id").distinct().select(F.col("id").alias("canonical_question_id"))
+    worded = corpus.scan(spark, d, "occurrence", "canonical_question_id", "normalized_question").distinct().join(known, "canonical_question_id", "left_semi")
+    return written(R.counted_profiles(worded, "canonical_question_id", terms(F.col("normalized_question"))), "variants")
+
+
+def _rankings(spark: SparkSession, d: str, k: int = BRANCH) -> tuple[DataFrame, DataFrame]:
+    text = _text(spark, d)
+    q = _queries(text)
+    return R.bm25_top_k(q, [(text, 1.0)], k), R.bm25_top_k(q, [(_variants(spark, d), 1.0)], k)
+
+
+def _text_ranking(spark: SparkSession, d: str, k: int = BRANCH) -> tuple[DataFrame, DataFrame]:
+    """The queries, and their ranking by text alone."""
+    text = _text(spark, d)
     q = _queries(text)
-    return R.bm25_top_k(q, [(text, 1.0)], BRANCH), R.bm25_top_k(q, [(variants, 1.0)], BRANCH)
+    return q, R.bm25_top_k(q, [(text, 1.0)], k)
 
 
-register("bm25_topk", f"{_RANKS} SELECT * FROM t")(lambda spark, d: _rankings(spark, d)[0])
-register("bm25_variants_topk", f"{_RANKS} SELECT * FROM w")(lambda spark, d: _rankings(spark, d)[1])
+register("bm25_topk", f"{_RANKS} SELECT * FROM t")(lambda spark, d: _text_ranking(spark, d)[1])
+register("bm25_variants_topk", f"{_RANKS} SELECT * FROM w")(lambda spark, d: R.bm25_top_k(_queries(_text(spark, d)), [(_variants(spark, d), 1.0)], BRANCH))
 
 
 @register("bm25_two_field_max", f"WITH {_INDEX}, b AS (SELECT query_id, doc_id, max(s) AS score FROM (SELECT query_id, doc_id, 2 * score AS s FROM {_bm25_sql('p1')} UNION ALL SELECT query_id, doc_id, score FROM {_bm25_sql('p2')}) GROUP BY ALL) SELECT * FROM {_ranked_sql('b')}")
 def bm25_two_field_max(spark: SparkSession, d: str) -> DataFrame:
     """Best field wins; the question's own text counts twice."""
-    text, variants = _indexes(spark, d)
-    q = _queries(text)
-    return R.bm25_top_k(q, [(text, 2.0), (variants, 1.0)], BRANCH)
+    text = _text(spark, d)
+    return R.bm25_top_k(_queries(text), [(text, 2.0), (_variants(spark, d), 1.0)], BRANCH)
 
 
 def _rrf_sql(w1: float, w2: float) -> str:
@@ -81,30 +94,31 @@ register("rrf_weighted", f"{_RANKS} SELECT * FROM {_ranked_sql(_rrf_sql(1, 2), 1
 register("hybrid_rrf_pool50", f"{_RANKS} SELECT * FROM {_ranked_sql(_rrf_sql(1, 1), 50)}")(lambda spark, d: R.top_k(R.fuse([(r, 1.0) for r in _rankings(spark, d)]), 50))
 
 
-def _staged(spark: SparkSession, d: str) -> DataFrame:
-    """Rankings by stage: main (fused), preferred (fused, over the questions of the query's own type alone), and two lexical facets."""
-    text, variants = _indexes(spark, d)
+def _staged(spark: SparkSession, d: str, liked: bool = True) -> DataFrame:
+    """Rankings by stage: main (fused), preferred (fused, over the questions of the query's own type alone), and two
+    lexical facets. One search over the texts and one over the wordings give all of them; without ``liked`` there is no
+    preferred stage."""
+    kind = corpus.records(spark, d, "canonical", "id", "question_type") if liked else None
+    text, variants = _text(spark, d, kind), _variants(spark, d)
     q = _queries(text)
-    main = R.top_k(R.fuse([(R.bm25_top_k(q, [(text, 1.0)], BRANCH), 1.0), (R.bm25_top_k(q, [(variants, 1.0)], BRANCH), 1.0)]), 100)
-    kind = corpus.records(spark, d, "canonical", "id", "question_type")
-    preferred = R.top_k(R.fuse([(R.bm25_top_k(q, [(text, 1.0)], BRANCH, kind), 1.0), (R.bm25_top_k(q, [(variants, 1.0)], BRANCH, kind), 1.0)]), 100)
-    half = F.pmod(F.xxhash64("term"), F.lit(2))
-    parts = [(main, "main"), (preferred, "preferred"), (R.bm25_top_k(q.where(half == 0), [(text, 1.0)], K), "facet_1"), (R.bm25_top_k(q.where(half == 1), [(text, 1.0)], K), "facet_2")]
-    out = None
-    for df, stage in parts:
-        one = df.select("query_id", F.lit(stage).alias("stage"), "doc_id", "rank")
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-register("lexical_facet_pool")(lambda spark, d: R.pooled(_staged(spark, d).where("stage <> 'preferred'"), R.facet_pool, ["main"]))
+    fused = [("main", BRANCH, None, False), *[("preferred", BRANCH, None, True)] * liked]
+    lists = R.search(q, text, [*fused, ("facet_1", K, 0, False), ("facet_2", K, 1, False)], kind), R.search(q, variants, fused, kind)
+    of_facet = F.when(F.col("stage").startswith("facet"), F.col("rank"))
+    part = F.when(of_facet.isNull(), F.lit(1.0) / (R.RRF_K + F.col("rank")))
+    rows = lists[0].unionByName(lists[1]).select("query_id", "stage", "doc_id", part.alias("part"), of_facet.alias("rank")).repartition("query_id")
+    scored = rows.groupBy("query_id", "stage", "doc_id").agg(F.round(F.sum("part"), 9).alias("score"), F.min("rank").alias("of_facet"))
+    w = Window.partitionBy("query_id", "stage").orderBy(F.desc("score"), "of_facet", "doc_id")
+    return scored.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 100").select("query_id", "stage", "doc_id", "rank")
+
+
+register("lexical_facet_pool")(lambda spark, d: R.pooled(_staged(spark, d, liked=False), R.facet_pool, ["main"]))
 register("preferred_pool")(lambda spark, d: R.pooled(_staged(spark, d), R.preferred_pool, ["main", "preferred"]))
 
 
 @register("rerank_select")
 def rerank_select(spark: SparkSession, d: str) -> DataFrame:
     """Ten graded results a query; the grade is an input, here derived from a digest of the pair."""
-    staged = _staged(spark, d)
+    staged = written(_staged(spark, d), "staged")
     pool = R.pooled(staged, R.preferred_pool, ["main", "preferred"])
     facet = staged.where("stage LIKE 'facet%'").groupBy("query_id", "doc_id").agg(F.min(F.when(F.col("stage") == "facet_1", F.col("rank"))).alias("f1"), F.min(F.when(F.col("stage") == "facet_2", F.col("rank"))).alias("f2"))
     rows = pool.join(facet, ["query_id", "doc_id"], "left").withColumn("grade", F.pmod(F.xxhash64("query_id", "doc_id"), F.lit(4)))

@@ -10,7 +10,7 @@ from occura.functions import text as T
 from occura.operators import evaluation as E
 from occura.operators import retrieval as R
 from occura.operators import validation as V
-from occura.queries.retrieval import _COS, _QV, _RANKS, BRANCH, _indexes, _queries, _ranked_sql
+from occura.queries.retrieval import _COS, _QV, _RANKS, BRANCH, _queries, _ranked_sql, _text
 from occura.registry import Registry
 
 register = Registry()
@@ -167,7 +167,7 @@ _OWN = "CAST('0x' || substr(id, 1, 8) AS BIGINT) % (SELECT count(*) FROM embeddi
     SELECT * FROM {_ranked_sql('f', 10)}""")
 def hybrid_dense_rrf(spark: SparkSession, d: str) -> DataFrame:
     """Text and vector rankings of one query set, fused. A question's vector is an input; here it is derived from its id."""
-    text, _ = _indexes(spark, d)
+    text = _text(spark, d)
     q = _queries(text)
     number = F.conv(F.substring("id", 1, 8), 16, 10).cast("long")
     vectors = corpus.scan(spark, d, "embeddings", "vec_id", "embedding")
