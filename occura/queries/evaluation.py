@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from occura import corpus
 from occura.operators import evaluation as E
-from occura.operators import retrieval as R
-from occura.queries.retrieval import _INDEX, _TEXT, BRANCH, _queries, _text
+from occura.queries.retrieval import _INDEX, _TEXT, _text_ranking
 from occura.registry import Registry
+from occura.shared import written
 
 register = Registry()
 _PAIRS = "p AS (SELECT o.id, c.question_type AS gold, o.question_type AS predicted FROM (SELECT DISTINCT id, canonical_question_id, question_type FROM occurrence) o JOIN (SELECT DISTINCT id, question_type FROM canonical) c ON o.canonical_question_id = c.id)"
@@ -46,14 +46,10 @@ per AS (SELECT query_id, failed, relevant IS NULL AS negative, CASE WHEN relevan
 
 
 def _evaluated(spark: SparkSession, d: str) -> DataFrame:
-    text = _text(spark, d)
-    q = _queries(text)
-    ranking = R.bm25_top_k(q, [(text, 1.0)], BRANCH)
-    queries = q.select("query_id").distinct().withColumn("failed", corpus.nibble("query_id", 1) == "0")
-    m = corpus.records(spark, d, "canonical", "id", "primary_topic_id", "question_type").toDF("id", "topic", "kind")
-    a, b = m.join(queries, m.id == queries.query_id).select("query_id", "topic", F.col("kind").alias("a_kind")), m.where("topic NOT IN ('misc.unsorted', 'talk.hr')").select(F.col("id").alias("doc_id"), "topic", "kind")
-    gold = a.join(b, "topic").where("query_id <> doc_id").select("query_id", "doc_id", F.when(F.col("a_kind") == F.col("kind"), 2).otherwise(1).alias("grade"))
-    return E.retrieval(ranking, gold, queries)
+    q, ranking = _text_ranking(spark, d)
+    queries = q.select("query_id").withColumn("failed", corpus.nibble("query_id", 1) == "0")
+    m = corpus.records(spark, d, "canonical", "id", "primary_topic_id", "question_type").toDF("id", "topic", "kind").where("topic NOT IN ('misc.unsorted', 'talk.hr')")
+    return E.retrieval_of_groups(written(ranking.select("query_id", "doc_id", "rank"), "ranking"), m, "topic", queries)
 
 
 register("ir_metrics", f"{_EVAL} SELECT * FROM per")(_evaluated)
