@@ -10,7 +10,7 @@ from occura.functions import text as T
 from occura.operators import evaluation as E
 from occura.operators import retrieval as R
 from occura.operators import validation as V
-from occura.queries.retrieval import _COS, _QV, _RANKS, BRANCH, _queries, _ranked_sql, _text
+from occura.queries.retrieval import _COS, _QV, _RANKS, BRANCH, _ranked_sql, _text_ranking
 from occura.registry import Registry
 
 register = Registry()
@@ -167,14 +167,13 @@ _OWN = "CAST('0x' || substr(id, 1, 8) AS BIGINT) % (SELECT count(*) FROM embeddi
     SELECT * FROM {_ranked_sql('f', 10)}""")
 def hybrid_dense_rrf(spark: SparkSession, d: str) -> DataFrame:
     """Text and vector rankings of one query set, fused. A question's vector is an input; here it is derived from its id."""
-    text = _text(spark, d)
-    q = _queries(text)
+    q, ranking = _text_ranking(spark, d)
     number = F.conv(F.substring("id", 1, 8), 16, 10).cast("long")
     vectors = corpus.scan(spark, d, "embeddings", "vec_id", "embedding")
     total = vectors.count()
-    own = corpus.records(spark, d, "canonical", "id").withColumn("vec_id", number % total).join(vectors, "vec_id").select("id", "embedding")
-    dense = R.cosine_top_k(own.join(q.select(F.col("query_id").alias("id")).distinct(), "id", "left_semi"), own, "id", "embedding", BRANCH)
-    return R.top_k(R.fuse([(R.bm25_top_k(q, [(text, 1.0)], BRANCH), 1.0), (dense.withColumnRenamed("id", "doc_id"), 1.0)]), 10)
+    own = corpus.records(spark, d, "canonical", "id").withColumn("vec_id", number % total)
+    dense = R.cosine_top_k_shared(own.join(q.select(F.col("query_id").alias("id")), "id", "left_semi"), own, vectors, BRANCH)
+    return R.top_k(R.fuse([(ranking, 1.0), (dense.withColumnRenamed("id", "doc_id"), 1.0)]), 10)
 
 
 # ---------------------------------------------------------------- requests, queues and states
