@@ -10,8 +10,9 @@ from occura.corpus import ACTIVE_SQL, ANNOTATION_SQL, STATE_SQL
 from occura.functions.text import digest
 from occura.operators import evaluation as E
 from occura.operators import retrieval as R
-from occura.queries.retrieval import _RANKS, BRANCH, _queries, _ranked_sql, _text, _variants, _rrf_sql
+from occura.queries.retrieval import _RANKS, _rankings, _ranked_sql, _rrf_sql, _text_ranking
 from occura.registry import Registry
+from occura.shared import written
 
 register = Registry()
 _WITH = f"WITH {ACTIVE_SQL}"
@@ -118,9 +119,8 @@ def extraction_scoring(spark: SparkSession, d: str) -> DataFrame:
     SELECT round(CAST(sum(relevant) AS DOUBLE) / sum(returned), 6) AS micro, round(avg(CAST(relevant AS DOUBLE) / returned), 6) AS macro, count(*) AS queries FROM p""")
 def micro_macro_precision(spark: SparkSession, d: str) -> DataFrame:
     """Precision weighted by returned rows, and averaged over queries that returned any."""
-    text = _text(spark, d)
     m = corpus.records(spark, d, "canonical", "id", "primary_topic_id")
-    got = R.bm25_top_k(_queries(text), [(text, 1.0)], 10).join(m.toDF("query_id", "qt"), "query_id").join(m.toDF("doc_id", "dt"), "doc_id")
+    got = _text_ranking(spark, d, 10)[1].join(m.toDF("query_id", "qt"), "query_id").join(m.toDF("doc_id", "dt"), "doc_id")
     per = got.groupBy("query_id").agg(F.count("*").alias("returned"), F.count(F.when(F.col("qt") == F.col("dt"), 1)).alias("relevant"))
     return per.agg(E.ratio(F.sum("relevant"), F.sum("returned")).alias("micro"), F.round(F.avg(F.try_divide(F.col("relevant").cast("double"), "returned")), 6).alias("macro"), F.count("*").alias("queries"))
 
@@ -221,9 +221,7 @@ def batches_of_ten(spark: SparkSession, d: str) -> DataFrame:
     SELECT query_id, doc_id, rank, c.canonical_text, coalesce(occurrences, 0) AS occurrences, coalesce(companies, 0) AS companies, first_source FROM h JOIN (SELECT DISTINCT id, canonical_text FROM canonical) c ON c.id = doc_id LEFT JOIN f ON f.canonical_question_id = doc_id""")
 def result_assembly(spark: SparkSession, d: str) -> DataFrame:
     """The three best hits of every query with their text and facts; facts are computed for hits only."""
-    text, variants = _text(spark, d), _variants(spark, d)
-    q = _queries(text)
-    hits = R.top_k(R.fuse([(R.bm25_top_k(q, [(text, 1.0)], BRANCH), 1.0), (R.bm25_top_k(q, [(variants, 1.0)], BRANCH), 1.0)]), 3).select("query_id", "doc_id", "rank")
+    hits = written(R.top_k(R.fuse([(r, 1.0) for r in _rankings(spark, d)]), 3).select("query_id", "doc_id", "rank"), "hits")
     wanted = hits.select(F.col("doc_id").alias("canonical_question_id")).distinct()
     facts = corpus.active_occurrences(spark, d, need=("company_normalized",)).join(wanted, "canonical_question_id", "left_semi").groupBy(F.col("canonical_question_id").alias("doc_id")).agg(
         F.count("*").alias("occurrences"), F.countDistinct("company_normalized").alias("companies"), F.min("source_id").alias("first_source")
@@ -330,11 +328,10 @@ _POOLS = f"{_RANKS}, u AS (SELECT query_id, doc_id, rank AS text_rank, NULL AS v
 @register("judging_pool", f"{_POOLS} SELECT query_id, doc_id, min(text_rank) AS text_rank, min(variant_rank) AS variant_rank FROM u GROUP BY ALL")
 def judging_pool(spark: SparkSession, d: str) -> DataFrame:
     """The union of several pipelines' best ten, with each one's rank: what a judge has to see once."""
-    text, variants = _text(spark, d), _variants(spark, d)
-    q = _queries(text)
     none = F.lit(None).cast("long")
-    a = R.bm25_top_k(q, [(text, 1.0)], 10).select("query_id", "doc_id", F.col("rank").alias("text_rank"), none.alias("variant_rank"))
-    b = R.bm25_top_k(q, [(variants, 1.0)], 10).select("query_id", "doc_id", none.alias("text_rank"), F.col("rank").alias("variant_rank"))
+    text, variants = _rankings(spark, d, 10)
+    a = text.select("query_id", "doc_id", F.col("rank").alias("text_rank"), none.alias("variant_rank"))
+    b = variants.select("query_id", "doc_id", none.alias("text_rank"), F.col("rank").alias("variant_rank"))
     return a.unionByName(b).groupBy("query_id", "doc_id").agg(F.min("text_rank").alias("text_rank"), F.min("variant_rank").alias("variant_rank"))
 
 
@@ -342,12 +339,9 @@ def judging_pool(spark: SparkSession, d: str) -> DataFrame:
     SELECT topic, count(*) AS relevant, count(t.doc_id) AS found, round(CAST(count(t.doc_id) AS DOUBLE) / count(*), 6) AS recall FROM g LEFT JOIN t ON t.query_id = g.query_id AND t.doc_id = g.doc_id GROUP BY 1""")
 def recall_by_family(spark: SparkSession, d: str) -> DataFrame:
     """Recall at 50 of each topic family."""
-    text = _text(spark, d)
-    q = _queries(text)
+    q, ranking = _text_ranking(spark, d)
     m = corpus.records(spark, d, "canonical", "id", "primary_topic_id").where("primary_topic_id NOT IN ('misc.unsorted', 'talk.hr')")
-    gold = q.select("query_id").distinct().join(m.toDF("query_id", "topic"), "query_id").join(m.toDF("doc_id", "topic"), "topic").where("query_id <> doc_id")
-    got = R.bm25_top_k(q, [(text, 1.0)], BRANCH).select("query_id", "doc_id", F.lit(1).alias("hit"))
-    return gold.join(got, ["query_id", "doc_id"], "left").groupBy("topic").agg(F.count("*").alias("relevant"), F.count("hit").alias("found"), E.ratio(F.count("hit"), F.count("*")).alias("recall"))
+    return E.recall_of_groups(ranking, m.toDF("id", "topic"), "topic", q.select("query_id"))
 
 
 @register("document_inventory", """WITH b AS (SELECT DISTINCT b.id, r.source_document_id, b.processing_state, b.decision, b.publication_state FROM document_build b JOIN (SELECT DISTINCT id, source_document_id FROM source_revision) r ON r.id = b.source_revision_id)
