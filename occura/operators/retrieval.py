@@ -49,18 +49,26 @@ def _weighted(index: DataFrame, wanted: DataFrame) -> DataFrame:
 
 #: Queries and documents of one block, and posting matches that are expanded at once.
 QUERY_BLOCK, DOCUMENT_BLOCK, EXPANDED = 4096, 65_536, 2_000_000
+#: Inverted lists of so many documents are added up one by one, shorter ones together.
+LONG = 1500
 #: Documents that one task adds up, block after block, before it hands on k of them a query.
 DOCUMENTS_A_TASK = 16 * DOCUMENT_BLOCK
 
 
+def _once(value: Column) -> Column:
+    """A column that filters and projections above it do not work out again."""
+    return F.explode(F.array(value))
+
+
 def profiles(documents: DataFrame, ident: str, terms: Column, *also: str) -> DataFrame:
     """(doc_id, length, ts, tfs, lens, *also) of every document with terms; ``terms`` has each term once, and ids are unique."""
-    ts = documents.select(F.col(ident).cast("string").alias("doc_id"), F.transform(terms, lambda t: F.xxhash64(t)).alias("ts"), *also).where(F.size("ts") > 0)
+    ts = documents.select(F.col(ident).cast("string").alias("doc_id"), _once(F.transform(terms, lambda t: F.xxhash64(t))).alias("ts"), *also).where(F.size("ts") > 0)
     return ts.select("doc_id", F.size("ts").alias("length"), "ts", F.array_repeat(F.lit(1), F.size("ts")).alias("tfs"), F.lit(None).cast("array<int>").alias("lens"), *also)
 
 
-def counted_profiles(wordings: DataFrame, ident: str, terms: Column) -> DataFrame:
+def counted_profiles(wordings: DataFrame, ident: str, terms: Column, *also: str) -> DataFrame:
     """The same for documents of any number of wordings: lengths and term counts are sums over a document's rows.
+    ``also`` may name ``kinds``, which is alike on all rows of a document.
 
     A task reads its documents' rows in order and holds the distinct terms of one batch and one document, never the wordings.
     """
@@ -69,12 +77,13 @@ def counted_profiles(wordings: DataFrame, ident: str, terms: Column) -> DataFram
         import pyarrow as pa
 
         empty = np.zeros(0, np.int64)
-        last, terms_of, counts_of = None, empty, empty  # the document that the next batch may go on with
+        last, terms_of, counts_of, kinds_of_last = None, empty, empty, None  # the document that the next batch may go on with
 
-        def out(ids: list, sizes: np.ndarray, lengths: np.ndarray, ts: np.ndarray, tfs: np.ndarray) -> pa.RecordBatch:
+        def out(ids: list, sizes: np.ndarray, lengths: np.ndarray, ts: np.ndarray, tfs: np.ndarray, kinds: list) -> pa.RecordBatch:
             at = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
             columns = [pa.array(ids, pa.string()), pa.array(lengths, pa.int32()), pa.ListArray.from_arrays(at, pa.array(ts, pa.int64())), pa.ListArray.from_arrays(at, pa.array(tfs, pa.int32())), pa.nulls(len(ids), pa.list_(pa.int32()))]
-            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "length", "ts", "tfs", "lens"])
+            columns += [pa.array(kinds, pa.list_(pa.int64()))] * len(also)
+            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "length", "ts", "tfs", "lens", *also])
 
         for b in batches:
             ids = np.array(b.column(0).to_pylist(), object)
@@ -86,25 +95,26 @@ def counted_profiles(wordings: DataFrame, ident: str, terms: Column) -> DataFram
             of = np.repeat(run_of, b.column(1).value_lengths().to_numpy())
             n = np.ones(len(t), np.int64)
             names = list(ids[starts])
+            kinds = b.column(2).take(pa.array(starts)).to_pylist() if also else [None] * len(names)
             if last is not None and names[0] != last:
-                names, of = [last, *names], of + 1
+                names, of, kinds = [last, *names], of + 1, [kinds_of_last, *kinds]
             of, t, n = np.concatenate([np.zeros(len(terms_of), np.int64), of]), np.concatenate([terms_of, t]), np.concatenate([counts_of, n])
             order = np.lexsort((t, of))
             of, t, n = of[order], t[order], n[order]
             first = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (t[1:] != t[:-1])])) if len(t) else empty
             of, t, n = of[first], t[first], np.add.reduceat(n, first) if len(first) else empty
             done = int(np.searchsorted(of, len(names) - 1))
-            last, terms_of, counts_of = names[-1], t[done:], n[done:]
+            last, terms_of, counts_of, kinds_of_last = names[-1], t[done:], n[done:], kinds[-1]
             if done:
                 sizes = np.bincount(of[:done], minlength=len(names) - 1)
                 lengths = np.bincount(of[:done], weights=n[:done], minlength=len(names) - 1).astype(np.int64)
                 kept = np.flatnonzero(sizes)
-                yield out([names[i] for i in kept], sizes[kept], lengths[kept], t[:done], n[:done])
+                yield out([names[i] for i in kept], sizes[kept], lengths[kept], t[:done], n[:done], [kinds[i] for i in kept])
         if len(terms_of):
-            yield out([last], np.array([len(terms_of)]), np.array([counts_of.sum()]), terms_of, counts_of)
+            yield out([last], np.array([len(terms_of)]), np.array([counts_of.sum()]), terms_of, counts_of, [kinds_of_last])
 
-    rows = wordings.repartition(ident).sortWithinPartitions(ident).select(F.col(ident).cast("string").alias("doc_id"), F.transform(terms, lambda t: F.xxhash64(t)).alias("ts")).where(F.size("ts") > 0)
-    return rows.mapInArrow(run, "doc_id string, length int, ts array<bigint>, tfs array<int>, lens array<int>")
+    rows = wordings.repartition(ident).sortWithinPartitions(ident).select(F.col(ident).cast("string").alias("doc_id"), _once(F.transform(terms, lambda t: F.xxhash64(t))).alias("ts"), *also).where(F.size("ts") > 0)
+    return rows.mapInArrow(run, "doc_id string, length int, ts array<bigint>, tfs array<int>, lens array<int>" + ", kinds array<bigint>" * len(also))
 
 
 def profiles_of(index: DataFrame) -> DataFrame:
@@ -173,6 +183,25 @@ def _document_blocks(rows: DataFrame, mean_length: float) -> DataFrame:
     return rows.select("doc_id", "length", "ts", "tfs", "lens", "kinds").mapInArrow(run, ", ".join(["dids array<string>", *[f"{n} binary" for n in names[1:]]]))
 
 
+def _with_idfs(rows: DataFrame, vocabulary: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(query_id, ts, idfs, kinds) of (query_id, ts, kinds): the terms that the sorted vocabulary has, with its weights."""
+    words, weights = vocabulary
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            ts = b.column(1)
+            t = ts.flatten().to_numpy()
+            of = np.repeat(np.arange(b.num_rows), ts.value_lengths().to_numpy().astype(np.int64))
+            place = np.minimum(np.searchsorted(words, t), max(len(words) - 1, 0))
+            known = words[place] == t if len(words) else np.zeros(len(t), bool)
+            at = pa.array(np.concatenate([[0], np.cumsum(np.bincount(of[known], minlength=b.num_rows))]), pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(at, pa.array(t[known])), pa.ListArray.from_arrays(at, pa.array(weights[place[known]])), b.column(2)], names=["query_id", "ts", "idfs", "kinds"])
+
+    return rows.select(F.col("query_id").cast("string"), "ts", "kinds").mapInArrow(run, "query_id string, ts array<bigint>, idfs array<double>, kinds array<bigint>")
+
+
 def _query_blocks(rows: DataFrame) -> DataFrame:
     """Packs (query_id, ts, idfs, kinds) into blocks of at most QUERY_BLOCK queries."""
     names = ("qids", "qat", "qterms", "qidfs", "qkindat", "qkinds")
@@ -202,7 +231,11 @@ class _Best:
     def add(self, total: np.ndarray, docs: np.ndarray | None, base: int, name) -> None:
         """Documents of a block lie in the order of their ids; ``docs`` are those that may be taken."""
         mine = total if docs is None else total[docs]
-        at = np.flatnonzero(mine > max(self.least - 10.0**-DIGITS, 0))
+        least = self.least
+        if not least and len(mine) > 64 * self.k:  # the k-th best of any part is no better than the k-th best of all
+            part = mine[::16]
+            least = np.partition(part, len(part) - self.k)[len(part) - self.k]
+        at = np.flatnonzero(mine > max(least - 10.0**-DIGITS, 0))
         if not len(at):
             return
         s = np.round(mine[at], DIGITS)
@@ -235,13 +268,129 @@ def kinds_of(kinds: DataFrame) -> DataFrame:
     return kinds.toDF("id", "kind").where("kind IS NOT NULL").groupBy("id").agg(F.collect_set(F.xxhash64("kind")).alias("kinds"))
 
 
+class Found:
+    """The lists of one search: ``rows`` has (query_id, found), a compressed row a query and task of documents."""
+
+    def __init__(self, rows: DataFrame, lists: list[tuple[str, int, int | None, bool]], whole: bool) -> None:
+        self.rows, self.lists, self.whole = rows, lists, whole
+
+
+def _packed_lists(lists: list[tuple[list, np.ndarray]]) -> bytes:
+    """Ids and scores (whole numbers of 10 ** -DIGITS) of the lists of one query."""
+    import pyarrow as pa
+
+    ids = [None if i is None else i.encode() for own, _ in lists for i in own]
+    head = np.array([len(lists), *[len(own) for own, _ in lists], *[-1 if i is None else len(i) for i in ids]], np.int32)
+    scores = np.concatenate([np.diff(np.rint(s * 10**DIGITS).astype(np.int64), prepend=0) for _, s in lists])
+    plain = head.tobytes() + scores.tobytes() + b"".join(i for i in ids if i is not None)
+    return len(plain).to_bytes(8, "little") + pa.compress(plain, codec="zstd", asbytes=True)
+
+
+def _unpacked_lists(blob: bytes) -> list[tuple[list, np.ndarray]]:
+    import pyarrow as pa
+
+    plain = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+    count = int(np.frombuffer(plain, np.int32, 1)[0])
+    sizes = np.frombuffer(plain, np.int32, count, 4)
+    total = int(sizes.sum())
+    lengths = np.frombuffer(plain, np.int32, total, 4 + 4 * count).tolist()
+    scores = np.frombuffer(plain, np.int64, total, 4 + 4 * count + 4 * total)
+    at, ids = 4 + 4 * count + 12 * total, []
+    for n in lengths:
+        ids.append(None if n < 0 else plain[at : at + n].decode())
+        at += max(n, 0)
+    out, begin = [], 0
+    for n in sizes.tolist():
+        out.append((ids[begin : begin + n], np.cumsum(scores[begin : begin + n]) / 10**DIGITS))
+        begin += n
+    return out
+
+
+def _in_order(ids: list, scores: np.ndarray, k: int) -> tuple[list, np.ndarray]:
+    order = sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i] or ""))[:k]
+    return [ids[i] for i in order], scores[order]
+
+
+def gathered(fields: list[Found], make, schema: str) -> DataFrame:
+    """Rows that ``make`` makes of all lists of a query; ``make`` gets a list a field of {stage: (ids, scores)}, each best
+    first, and returns columns without the query's id, which comes first in ``schema``.
+
+    Lists of one search that one task has made are final and are not shuffled; else compressed rows are, once.
+    """
+    import functools
+
+    specs = [f.lists for f in fields]
+    rows = functools.reduce(DataFrame.unionByName, [f.rows.withColumn("field", F.lit(n)) for n, f in enumerate(fields)])
+    if len(fields) > 1 or not fields[0].whole:
+        rows = rows.repartition("query_id").sortWithinPartitions("query_id")
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        def lists_of(own: list[tuple[int, bytes]]) -> list[dict]:
+            out: list[dict] = [{} for _ in specs]
+            for n, spec in enumerate(specs):
+                parts = [_unpacked_lists(blob) for field, blob in own if field == n]
+                for i, (stage, k, _, _) in enumerate(spec):
+                    if len(parts) == 1:
+                        out[n][stage] = parts[0][i]
+                    elif parts:
+                        out[n][stage] = _in_order([x for p in parts for x in p[i][0]], np.concatenate([p[i][1] for p in parts]), k)
+                    else:
+                        out[n][stage] = ([], np.zeros(0))
+            return out
+
+        query, own, done = None, [], []
+
+        def batch() -> pa.RecordBatch:
+            columns = [[q for q, c in done for _ in range(len(c[0]))]]
+            columns += [[x for _, c in done for x in c[j]] for j in range(len(types) - 1)]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+        for b in batches:
+            for q, field, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                if own and q != query:
+                    done.append((query, make(lists_of(own))))
+                    own = []
+                    if len(done) == 256:
+                        yield batch()
+                        done = []
+                query = q
+                own.append((field, blob.as_py()))
+        if own:
+            done.append((query, make(lists_of(own))))
+        if done:
+            yield batch()
+
+    import pyarrow as pa
+
+    kinds = {"string": pa.string(), "double": pa.float64(), "long": pa.int64()}
+    names, types = zip(*[(c.split()[0], kinds[c.split()[1]]) for c in schema.split(", ")], strict=True)
+    return rows.select("query_id", "field", "found").mapInArrow(run, schema)
+
+
 def search(queries: DataFrame, index: DataFrame, lists: list[tuple[str, int, int | None, bool]], kinds: DataFrame | None = None) -> DataFrame:
-    """(query_id, stage, doc_id, score, rank): lists of the best documents of every query, all made in one pass.
+    """(query_id, stage, doc_id, score, rank): the lists of :func:`find`, a row a document."""
+
+    def make(fields: list[dict]) -> tuple:
+        own = fields[0]
+        stages = [stage for stage, (ids, _) in own.items() for _ in ids]
+        return stages, [x for ids, _ in own.values() for x in ids], [x for _, s in own.values() for x in s.tolist()], [r for ids, _ in own.values() for r in range(1, len(ids) + 1)]
+
+    return gathered([find(queries, index, lists, kinds)], make, "query_id string, stage string, doc_id string, score double, rank long")
+
+
+#: Terms of which the driver holds the document frequencies; those of a larger vocabulary are joined to the queries.
+VOCABULARY = 2_000_000
+
+
+def find(queries: DataFrame, index: DataFrame, lists: list[tuple[str, int, int | None, bool]], kinds: DataFrame | None = None) -> Found:
+    """Lists of the best documents of every query, all made in one pass.
 
     ``queries``: (query_id, ts); ``index``: :func:`profiles`, which is read several times and should be a table. A list
     is (stage, k, half, same): the k best by all terms of the query or, with ``half``, by those whose hash has this last
     bit; with ``same`` only documents of a kind that the query has in ``kinds`` (id, kind) compete, chosen before the
-    cut to k. An index that has the column ``kinds`` of :func:`kinds_of` is not joined again. N, document frequencies and the mean length always cover the whole index.
+    cut to k. Queries or an index that have the column ``kinds`` of :func:`kinds_of` are not joined again. N, document frequencies and the mean length always cover the whole index.
 
     Documents are packed into blocks of inverted lists, queries into blocks. A task adds up its queries over one block
     of documents after another and keeps k documents a query, so what is shuffled is k a query, however many documents
@@ -254,17 +403,23 @@ def search(queries: DataFrame, index: DataFrame, lists: list[tuple[str, int, int
 
     df = index.select(F.explode("ts").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    asked = queries.select("query_id", F.explode("ts").alias("t")).join(df, "t").select("query_id", "t", idf.alias("idf")).repartition(parts, "query_id").groupBy("query_id").agg(F.collect_list(F.struct("t", "idf")).alias("x"))
-    asked = asked.select("query_id", F.col("x.t").alias("ts"), F.col("x.idf").alias("idfs"))
     of = kinds_of(kinds) if kinds is not None else None
-    if of is not None:
-        asked = asked.join(of.withColumnRenamed("id", "query_id"), "query_id", "left").repartition(parts, "query_id")
-    documents = index
+    asked, documents = queries, index
+    if "kinds" not in queries.columns:
+        asked = asked.withColumn("kinds", F.lit(None).cast("array<bigint>")) if of is None else asked.join(of.withColumnRenamed("id", "query_id"), "query_id", "left")
     if "kinds" not in index.columns:
         documents = index.withColumn("kinds", F.lit(None).cast("array<bigint>")) if of is None else index.join(of.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    if of is None:
-        asked = asked.withColumn("kinds", F.lit(None).cast("array<bigint>"))
-    packed = _document_blocks(documents.coalesce(max(1, -(-stats["rows"] // DOCUMENT_BLOCK))), mean_length).repartition(max(1, -(-stats["rows"] // DOCUMENTS_A_TASK)))
+    known = df.limit(VOCABULARY + 1).select("t", idf.alias("idf")).toArrow()
+    if known.num_rows <= VOCABULARY:
+        words, weights = known.column("t").to_numpy(), known.column("idf").to_numpy()
+        order = np.argsort(words)
+        asked = _with_idfs(asked.repartition(parts, "query_id"), (words[order], weights[order]))
+    else:
+        terms = asked.select("query_id", F.explode("ts").alias("t")).join(df, "t").select("query_id", F.struct("t", idf.alias("idf")).alias("x"))
+        found_terms = terms.repartition(parts, "query_id").groupBy("query_id").agg(F.collect_list("x").alias("x"))
+        asked = found_terms.join(asked.select("query_id", "kinds"), "query_id").select("query_id", F.col("x.t").alias("ts"), F.col("x.idf").alias("idfs"), "kinds").repartition(parts, "query_id")
+    tasks = max(1, -(-stats["rows"] // DOCUMENTS_A_TASK))
+    packed = _document_blocks(documents.coalesce(max(1, -(-stats["rows"] // DOCUMENT_BLOCK))), mean_length).repartition(tasks)
     pairs = packed.hint("shuffle_replicate_nl").crossJoin(_query_blocks(asked))  # blocks of all rows, streamed, against blocks of a stated query set
     expanded = EXPANDED
 
@@ -317,20 +472,19 @@ def search(queries: DataFrame, index: DataFrame, lists: list[tuple[str, int, int
                                 np.add.at(out, docs[x:y], z)  # noqa: B023
                             out *= once  # noqa: B023
                             return out
-                        out, begin = None, 0
+                        out, short = np.zeros(size), hi - lo < LONG  # noqa: B023
+                        for x, y, z in zip(lo[~short].tolist(), hi[~short].tolist(), w[~short].tolist(), strict=True):
+                            np.add.at(out, docs[x:y], sat[x:y] * z)  # noqa: B023
+                        lo, hi, w, begin = lo[short], hi[short], w[short], 0
                         upto = np.cumsum(hi - lo)
-                        while begin < len(p):
+                        while begin < len(lo):
                             stop = max(int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + expanded, "right")), begin + 1)
-                            n = int(upto[stop - 1] - (upto[begin - 1] if begin else 0))
-                            d, s, here = np.empty(n, np.int64), np.empty(n), 0
-                            for x, y, z in zip(lo[begin:stop].tolist(), hi[begin:stop].tolist(), w[begin:stop].tolist(), strict=True):
-                                d[here : here + y - x] = docs[x:y]  # noqa: B023
-                                np.multiply(sat[x:y], z, out=s[here : here + y - x])  # noqa: B023
-                                here += y - x
-                            one = np.bincount(d, weights=s, minlength=size)  # noqa: B023
-                            out = one if out is None else out + one
+                            cut = list(zip(lo[begin:stop].tolist(), hi[begin:stop].tolist(), strict=True))
+                            d = np.concatenate([docs[x:y] for x, y in cut])  # noqa: B023
+                            s = np.concatenate([sat[x:y] for x, y in cut]) * np.repeat(w[begin:stop], (hi - lo)[begin:stop])  # noqa: B023
+                            out += np.bincount(d, weights=s, minlength=size)  # noqa: B023
                             begin = stop
-                        return np.zeros(size) if out is None else out  # noqa: B023
+                        return out
 
                     halves = {h: total(known & ((ts & 1) == h)) for h in (0, 1)} if any(h is not None for _, _, h, _ in lists) else {}
                     halves[None] = halves[0] + halves[1] if halves else total(known)
@@ -346,22 +500,16 @@ def search(queries: DataFrame, index: DataFrame, lists: list[tuple[str, int, int
         every = pa.concat_arrays(names) if names else None
         for qids, _, _, _, bests in states.values():
             for begin in range(0, len(qids), 256):
-                here = [(q, stage, x) for q, best in zip(qids[begin : begin + 256], bests[begin : begin + 256], strict=True) for (stage, _, _, _), x in zip(lists, best, strict=True) if len(x.scores)]
+                here = []
+                for q, best in zip(qids[begin : begin + 256], bests[begin : begin + 256], strict=True):
+                    if any(len(x.scores) for x in best):
+                        ids = every.take(pa.array(np.concatenate([x.documents for x in best]))).to_pylist()
+                        cut = np.cumsum([0, *[len(x.scores) for x in best]])
+                        here.append((q, _packed_lists([_in_order(ids[i:j], x.scores, x.k) for i, j, x in zip(cut[:-1], cut[1:], best, strict=True)])))
                 if here:
-                    cut = pa.array(np.concatenate([[0], np.cumsum([len(x.scores) for _, _, x in here])]), pa.int32())
-                    ids = every.take(pa.array(np.concatenate([x.documents for _, _, x in here])))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([q for q, _, _ in here], pa.string()), pa.array([s for _, s, _ in here], pa.string()), pa.ListArray.from_arrays(cut, ids), pa.ListArray.from_arrays(cut, pa.array(np.concatenate([x.scores for _, _, x in here])))],
-                        names=["query_id", "stage", "docs", "scores"],
-                    )
-
-    found = pairs.mapInArrow(score, "query_id string, stage string, docs array<string>, scores array<double>").repartition("query_id")
-    each = found.select("query_id", "stage", F.explode(F.arrays_zip("docs", "scores")).alias("x")).select("query_id", "stage", F.col("x.docs").alias("doc_id"), F.col("x.scores").alias("score"))
-    w = Window.partitionBy("query_id", "stage").orderBy(F.desc("score"), "doc_id")
-    most = F.lit(None).cast("int")
-    for stage, k, _, _ in lists:
-        most = F.when(F.col("stage") == stage, k).otherwise(most)
-    return each.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).withColumn("rank", F.col("rank").cast("long"))
+                    yield pa.RecordBatch.from_arrays([pa.array([q for q, _ in here], pa.string()), pa.array([x for _, x in here], pa.binary())], names=["query_id", "found"])
+
+    return Found(pairs.mapInArrow(score, "query_id string, found binary"), lists, tasks == 1)
 
 
 def bm25_top_k(queries: DataFrame, fields: list[tuple[DataFrame, float]], k: int, kinds: DataFrame | None = None) -> DataFrame:
@@ -375,14 +523,18 @@ def bm25_top_k(queries: DataFrame, fields: list[tuple[DataFrame, float]], k: int
     N, document frequencies and the mean length still cover the whole index.
     """
     asked = queries if "ts" in queries.columns else queries.groupBy("query_id").agg(F.collect_list(F.xxhash64("term")).alias("ts"))
-    out = None
-    for index, boost in fields:
-        one = search(asked, index if "ts" in index.columns else written(profiles_of(index), "profiles"), [("", k, None, kinds is not None)], kinds)
-        one = one.select("query_id", "doc_id", (F.col("score") * boost).alias("score"), "rank")
-        out = one if out is None else out.unionByName(one)
-    if len(fields) == 1:
-        return out
-    return top_k(out.drop("rank").repartition("query_id").groupBy("query_id", "doc_id").agg(F.max("score").alias("score")), k)
+    found = [find(asked, index if "ts" in index.columns else written(profiles_of(index), "profiles"), [("", k, None, kinds is not None)], kinds) for index, _ in fields]
+    boosts = [boost for _, boost in fields]
+
+    def make(lists: list[dict]) -> tuple:
+        best: dict = {}
+        for own, boost in zip(lists, boosts, strict=True):
+            for ident, score in zip(own[""][0], (own[""][1] * boost).tolist(), strict=True):
+                best[ident] = max(best.get(ident, score), score)
+        ids, scores = _in_order(list(best), np.fromiter(best.values(), float, len(best)), k)
+        return ids, scores.tolist(), range(1, len(ids) + 1)
+
+    return gathered(found, make, "query_id string, doc_id string, score double, rank long")
 
 
 def top_k(scores: DataFrame, k: int, group: str = "query_id", ident: str = "doc_id") -> DataFrame:
@@ -488,6 +640,15 @@ def fuse(rankings: list[tuple[DataFrame, float]], k: int = RRF_K) -> DataFrame:
     return out.repartition("query_id").groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 9).alias("score"))  # one shuffle for the sums and for ranks by query
 
 
+def fused(fields: list[dict], stage: str, weights: tuple[float, ...], k: int) -> tuple[list, np.ndarray]:
+    """The k best ids and scores of :func:`fuse` over the lists of one stage and query; equal scores by id."""
+    parts: dict = {}
+    for own, w in zip(fields, weights, strict=True):
+        for rank, ident in enumerate(own[stage][0], 1):
+            parts[ident] = parts.get(ident, 0.0) + w / (RRF_K + rank)
+    return _in_order(list(parts), np.round(np.fromiter(parts.values(), float, len(parts)), 9), k)
+
+
 # ------------------------------------------------------------------ candidate pools (per query, at most 100 rows each)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from occura import corpus
@@ -40,25 +40,30 @@ _RANKS = f"WITH {_INDEX}, t AS {_TEXT}, w AS {_VARIANTS}"
 
 def _queries(text_index: DataFrame) -> DataFrame:
     number = F.conv(F.substring("doc_id", 1, 8), 16, 10).cast("long")
-    return text_index.where(number % 20 == 0).select(F.col("doc_id").alias("query_id"), "ts")
+    return text_index.where(number % 20 == 0).select(F.col("doc_id").alias("query_id"), "ts", *[c for c in text_index.columns if c == "kinds"])
 
 
-def _text(spark: SparkSession, d: str, kinds: DataFrame | None = None) -> DataFrame:
-    """Profiles of the questions' own texts, as a table; with ``kinds``, each question's kinds lie beside them."""
-    c = corpus.records(spark, d, "canonical", "id", "canonical_text")
-    rows = c if kinds is None else c.join(R.kinds_of(kinds), "id", "left")
-    text = written(R.profiles(rows, "id", terms(F.col("canonical_text")), *["kinds"] * (kinds is not None)), "text")
-    if text.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return text
-    mixed = R.profiles_of(R.postings(c, "id", terms(F.col("canonical_text"))))  # ids with several texts
-    return written(mixed if kinds is None else mixed.join(R.kinds_of(kinds).withColumnRenamed("id", "doc_id"), "doc_id", "left"), "text")
+def _kinds(of: str) -> F.Column:
+    return F.collect_set(F.when(F.col(of).isNotNull(), F.xxhash64(of))).alias("kinds")
 
 
-def _variants(spark: SparkSession, d: str) -> DataFrame:
+def _text(spark: SparkSession, d: str, kinds: bool = False) -> DataFrame:
+    """Profiles of the questions' own texts, as a table; with ``kinds``, each question's types lie beside them."""
+    c = corpus.scan(spark, d, "canonical", "id", "canonical_text", *["question_type"] * kinds)
+    by_id = c.groupBy("id").agg(F.collect_set("canonical_text").alias("texts"), *[_kinds("question_type")] * kinds).withColumn("several", F.size("texts"))
+    text = written(R.profiles(by_id, "id", terms(F.get("texts", F.lit(0))), "several", *["kinds"] * kinds), "text")
+    if text.where("several > 1").isEmpty():
+        return text.drop("several")
+    mixed = R.profiles_of(R.postings(corpus.records(spark, d, "canonical", "id", "canonical_text"), "id", terms(F.col("canonical_text"))))  # ids with several texts
+    return written(mixed.join(by_id.select(F.col("id").alias("doc_id"), "kinds"), "doc_id", "left") if kinds else mixed, "text")
+
+
+def _variants(spark: SparkSession, d: str, kinds: bool = False) -> DataFrame:
     """Profiles of the questions' wordings, as a table. Lengths and term counts are summed per question."""
-    known = corpus.scan(spark, d, "canonical", "id").distinct().select(F.col("id").alias("canonical_question_id"))
-    worded = corpus.scan(spark, d, "occurrence", "canonical_question_id", "normalized_question").distinct().join(known, "canonical_question_id", "left_semi")
-    return written(R.counted_profiles(worded, "canonical_question_id", terms(F.col("normalized_question"))), "variants")
+    c = corpus.scan(spark, d, "canonical", "id", *["question_type"] * kinds).withColumnRenamed("id", "canonical_question_id")
+    known = c.groupBy("canonical_question_id").agg(_kinds("question_type")) if kinds else c.distinct()
+    worded = corpus.scan(spark, d, "occurrence", "canonical_question_id", "normalized_question").distinct().join(known, "canonical_question_id")
+    return written(R.counted_profiles(worded, "canonical_question_id", terms(F.col("normalized_question")), *["kinds"] * kinds), "variants")
 
 
 def _rankings(spark: SparkSession, d: str, k: int = BRANCH) -> tuple[DataFrame, DataFrame]:
@@ -89,41 +94,74 @@ def _rrf_sql(w1: float, w2: float) -> str:
     return f"(SELECT query_id, doc_id, round(sum(part), 9) AS score FROM (SELECT query_id, doc_id, CAST({w1} AS DOUBLE) / (60 + rank) AS part FROM t UNION ALL SELECT query_id, doc_id, CAST({w2} AS DOUBLE) / (60 + rank) FROM w) GROUP BY ALL)"
 
 
-register("rrf_two_way", f"{_RANKS} SELECT * FROM {_ranked_sql(_rrf_sql(1, 1), 10)}")(lambda spark, d: R.top_k(R.fuse([(r, 1.0) for r in _rankings(spark, d)]), 10))
-register("rrf_weighted", f"{_RANKS} SELECT * FROM {_ranked_sql(_rrf_sql(1, 2), 10)}")(lambda spark, d: R.top_k(R.fuse(list(zip(_rankings(spark, d), (1.0, 2.0), strict=True))), 10))
-register("hybrid_rrf_pool50", f"{_RANKS} SELECT * FROM {_ranked_sql(_rrf_sql(1, 1), 50)}")(lambda spark, d: R.top_k(R.fuse([(r, 1.0) for r in _rankings(spark, d)]), 50))
+def _fused(spark: SparkSession, d: str, weights: tuple[float, float], k: int) -> DataFrame:
+    """Both searches, whose lists meet in one shuffle."""
+    text = _text(spark, d)
+    q, lists = _queries(text), [("main", BRANCH, None, False)]
 
+    def make(fields: list[dict]) -> tuple:
+        ids, scores = R.fused(fields, "main", weights, k)
+        return ids, scores.tolist(), range(1, len(ids) + 1)
 
-def _staged(spark: SparkSession, d: str, liked: bool = True) -> DataFrame:
-    """Rankings by stage: main (fused), preferred (fused, over the questions of the query's own type alone), and two
-    lexical facets. One search over the texts and one over the wordings give all of them; without ``liked`` there is no
-    preferred stage."""
-    kind = corpus.records(spark, d, "canonical", "id", "question_type") if liked else None
-    text, variants = _text(spark, d, kind), _variants(spark, d)
+    return R.gathered([R.find(q, text, lists), R.find(q, _variants(spark, d), lists)], make, "query_id string, doc_id string, score double, rank long")
+
+
+register("rrf_two_way", f"{_RANKS} SELECT * FROM {_ranked_sql(_rrf_sql(1, 1), 10)}")(lambda spark, d: _fused(spark, d, (1.0, 1.0), 10))
+register("rrf_weighted", f"{_RANKS} SELECT * FROM {_ranked_sql(_rrf_sql(1, 2), 10)}")(lambda spark, d: _fused(spark, d, (1.0, 2.0), 10))
+register("hybrid_rrf_pool50", f"{_RANKS} SELECT * FROM {_ranked_sql(_rrf_sql(1, 1), 50)}")(lambda spark, d: _fused(spark, d, (1.0, 1.0), 50))
+
+FACETS = ("facet_1", "facet_2")
+
+
+def _stages(spark: SparkSession, d: str, make, schema: str, liked: bool = True) -> DataFrame:
+    """What ``make`` makes of a query's ids by stage: main (fused), preferred (fused, over the questions of the query's own
+    type alone), and two lexical facets. One search over the texts and one over the wordings give all of them; without
+    ``liked`` there is no preferred stage."""
+    text, variants = _text(spark, d, liked), _variants(spark, d, liked)
     q = _queries(text)
-    fused = [("main", BRANCH, None, False), *[("preferred", BRANCH, None, True)] * liked]
-    lists = R.search(q, text, [*fused, ("facet_1", K, 0, False), ("facet_2", K, 1, False)], kind), R.search(q, variants, fused, kind)
-    of_facet = F.when(F.col("stage").startswith("facet"), F.col("rank"))
-    part = F.when(of_facet.isNull(), F.lit(1.0) / (R.RRF_K + F.col("rank")))
-    rows = lists[0].unionByName(lists[1]).select("query_id", "stage", "doc_id", part.alias("part"), of_facet.alias("rank")).repartition("query_id")
-    scored = rows.groupBy("query_id", "stage", "doc_id").agg(F.round(F.sum("part"), 9).alias("score"), F.min("rank").alias("of_facet"))
-    w = Window.partitionBy("query_id", "stage").orderBy(F.desc("score"), "of_facet", "doc_id")
-    return scored.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 100").select("query_id", "stage", "doc_id", "rank")
+    both = [("main", BRANCH, None, False), *[("preferred", BRANCH, None, True)] * liked]
 
+    def staged(fields: list[dict]) -> tuple:
+        by = {stage: R.fused(fields, stage, (1.0, 1.0), BRANCH)[0] for stage, _, _, _ in both}
+        return make(by | {f: fields[0][f][0] if f in fields[0] else [] for f in FACETS})
 
-register("lexical_facet_pool")(lambda spark, d: R.pooled(_staged(spark, d, liked=False), R.facet_pool, ["main"]))
-register("preferred_pool")(lambda spark, d: R.pooled(_staged(spark, d), R.preferred_pool, ["main", "preferred"]))
+    found = [R.find(q, text, [*both, *[(f, K, half, False) for half, f in enumerate(FACETS)]]), R.find(q, variants, both)]
+    return R.gathered(found, staged, schema)
+
+
+def _staged(spark: SparkSession, d: str, liked: bool = True) -> DataFrame:
+    """Rankings by stage."""
+    rows = lambda by: ([s for s, ids in by.items() for _ in ids], [i for ids in by.values() for i in ids], [r for ids in by.values() for r in range(1, len(ids) + 1)])
+    return _stages(spark, d, rows, "query_id string, stage string, doc_id string, rank long", liked)
+
+
+def _pool(pool, *names: str):
+    """Columns of ``pool`` over the named stages and those facets that found anything."""
+
+    def make(by: dict) -> tuple:
+        got = pool(*[by[n] for n in names], [by[f] for f in FACETS if by[f]])
+        return [i for i, _ in got], range(1, len(got) + 1), [source for _, source in got]
+
+    return make
+
+
+_POOLED = "query_id string, doc_id string, place long, source string"
+register("lexical_facet_pool")(lambda spark, d: _stages(spark, d, _pool(R.facet_pool, "main"), _POOLED, liked=False))
+register("preferred_pool")(lambda spark, d: _stages(spark, d, _pool(R.preferred_pool, "main", "preferred"), _POOLED))
 
 
 @register("rerank_select")
 def rerank_select(spark: SparkSession, d: str) -> DataFrame:
     """Ten graded results a query; the grade is an input, here derived from a digest of the pair."""
-    staged = written(_staged(spark, d), "staged")
-    pool = R.pooled(staged, R.preferred_pool, ["main", "preferred"])
-    facet = staged.where("stage LIKE 'facet%'").groupBy("query_id", "doc_id").agg(F.min(F.when(F.col("stage") == "facet_1", F.col("rank"))).alias("f1"), F.min(F.when(F.col("stage") == "facet_2", F.col("rank"))).alias("f2"))
-    rows = pool.join(facet, ["query_id", "doc_id"], "left").withColumn("grade", F.pmod(F.xxhash64("query_id", "doc_id"), F.lit(4)))
+    pooled = _pool(R.preferred_pool, "main", "preferred")
+
+    def make(by: dict) -> tuple:
+        ids, places, _ = pooled(by)
+        ranks = [{i: r for r, i in enumerate(by[f], 1)} for f in FACETS]
+        return ids, places, *[[of.get(i) for i in ids] for of in ranks]
 
-    return R.graded_selection(rows, ["f1", "f2"], 10)
+    rows = _stages(spark, d, make, "query_id string, doc_id string, place long, f1 long, f2 long")
+    return R.graded_selection(rows.withColumn("grade", F.pmod(F.xxhash64("query_id", "doc_id"), F.lit(4))), ["f1", "f2"], 10)
 
 
 # ---------------------------------------------------------------- vectors

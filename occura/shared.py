@@ -23,5 +23,5 @@ def path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` computed once into a table of its own; readers fetch only the columns they name, and lineage ends here."""
     where = path(df.sparkSession, name)
-    df.write.parquet(where)
+    df.write.option("compression", "zstd").parquet(where)
     return df.sparkSession.read.schema(df.schema).parquet(where)

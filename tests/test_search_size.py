@@ -167,3 +167,35 @@ def test_shared_vectors_are_compared_once(spark):
     want = R.cosine_top_k(own.where("id < 'd010'"), own, "id", "embedding", 7)
     got = R.cosine_top_k_shared(q, r, vectors, 7)
     assert rows(got, "query_id", "id", "score", "rank") == rows(want, "query_id", "id", "score", "rank")
+
+
+def ranked_lists(spark):
+    index, queries = random_index(spark)
+    asked = queries.groupBy("query_id").agg(F.collect_list(F.xxhash64("term")).alias("ts"))
+    return index, queries, [R.find(asked, R.profiles_of(index), [("main", k, None, False)]) for k in (6, 9)]
+
+
+def fused_columns(fields):
+    ids, scores = R.fused(fields, "main", (1.0, 2.0), 5)
+    return ids, scores.tolist(), range(1, len(ids) + 1)
+
+
+def test_lists_of_several_tasks_and_fields_are_fused_as_rows(spark, small_blocks):
+    index, queries, found = ranked_lists(spark)
+    assert not found[0].whole
+    got = R.gathered(found, fused_columns, "query_id string, doc_id string, score double, rank long")
+    scores = R.bm25(queries, index)
+    want = R.top_k(R.fuse([(R.top_k(scores, 6), 1.0), (R.top_k(scores, 9), 2.0)]), 5)
+    assert rows(got, *RANKED) == rows(want, *RANKED)
+
+
+def test_packed_lists_are_read_as_they_were():
+    lists = [(["b", None, "", "字"], np.array([3.5, 2.000001, 2.0, 1e-06])), ([], np.zeros(0)), (["x"], np.array([123456.654321]))]
+    got = R._unpacked_lists(R._packed_lists(lists))
+    assert [(i, s.tolist()) for i, s in got] == [(i, s.tolist()) for i, s in lists]
+
+
+def test_rerank_select_reads_places_and_facets_from_one_row_a_query(spark, tmp_path):
+    d, _ = ranked_far_down(spark, str(tmp_path))
+    text = plan(catalogue.queries()["rerank_select"](spark, d))
+    assert "Join" not in text and "FlatMapGroupsInPandas" not in text
