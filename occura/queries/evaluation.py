@@ -49,7 +49,8 @@ def _evaluated(spark: SparkSession, d: str) -> DataFrame:
     q, ranking = _text_ranking(spark, d)
     queries = q.select("query_id").withColumn("failed", corpus.nibble("query_id", 1) == "0")
     m = corpus.records(spark, d, "canonical", "id", "primary_topic_id", "question_type").toDF("id", "topic", "kind").where("topic NOT IN ('misc.unsorted', 'talk.hr')")
-    return E.retrieval_of_groups(written(ranking.select("query_id", "doc_id", "rank"), "ranking"), m, "topic", queries)
+    judged = written(ranking.where("rank <= 50").select("query_id", "doc_id", "rank"), "ranking")  # a search lists a document once
+    return E.retrieval_of_groups(judged, m, "topic", queries, once=True)
 
 
 register("ir_metrics", f"{_EVAL} SELECT * FROM per")(_evaluated)

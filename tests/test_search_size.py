@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pytest
@@ -199,3 +200,12 @@ def test_rerank_select_reads_places_and_facets_from_one_row_a_query(spark, tmp_p
     d, _ = ranked_far_down(spark, str(tmp_path))
     text = plan(catalogue.queries()["rerank_select"](spark, d))
     assert "Join" not in text and "FlatMapGroupsInPandas" not in text
+
+
+def test_rankings_that_name_documents_once_are_not_grouped_by_document(spark):
+    m, ranking, queries = judged(spark)
+    ranking = spark.createDataFrame(ranking.dropDuplicates(["query_id", "doc_id"]).collect(), ranking.schema)
+    want, got = E.retrieval_of_groups(ranking, m, "topic", queries), E.retrieval_of_groups(ranking.where("rank <= 50"), m, "topic", queries, once=True)
+    assert rows(got, *want.columns) == rows(want, *want.columns)
+    keys = r"keys=\[query_id#\d+, doc_id#\d+\]"
+    assert re.search(keys, plan(want)) and not re.search(keys, plan(got))
