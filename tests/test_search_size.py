@@ -209,3 +209,14 @@ def test_rankings_that_name_documents_once_are_not_grouped_by_document(spark):
     assert rows(got, *want.columns) == rows(want, *want.columns)
     keys = r"keys=\[query_id#\d+, doc_id#\d+\]"
     assert re.search(keys, plan(want)) and not re.search(keys, plan(got))
+
+
+def above_union(query: str, spark, d: str) -> str:
+    text = plan(catalogue.queries()[query](spark, d))
+    return text[: text.index("Union")]
+
+
+def test_best_of_two_fields_needs_one_shuffle_of_lists(spark, tmp_path):
+    d, _ = ranked_far_down(spark, str(tmp_path))
+    above = above_union("bm25_two_field_max", spark, d)
+    assert above.count("Exchange") == 1 and "Window" not in above
