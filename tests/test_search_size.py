@@ -220,3 +220,16 @@ def test_best_of_two_fields_needs_one_shuffle_of_lists(spark, tmp_path):
     d, _ = ranked_far_down(spark, str(tmp_path))
     above = above_union("bm25_two_field_max", spark, d)
     assert above.count("Exchange") == 1 and "Window" not in above
+
+
+def test_pools_are_made_where_the_lists_meet(spark, tmp_path):
+    d, _ = ranked_far_down(spark, str(tmp_path))
+    for name in ("lexical_facet_pool", "preferred_pool"):
+        above = above_union(name, spark, d)
+        assert above.count("Exchange") == 1 and "Window" not in above and "FlatMapGroupsInPandas" not in above, name
+
+
+def test_fused_lists_are_ranked_where_they_meet(spark, tmp_path):
+    d, _ = ranked_far_down(spark, str(tmp_path))
+    for name in ("rrf_two_way", "rrf_weighted", "hybrid_rrf_pool50"):
+        assert "Window" not in above_union(name, spark, d), name
